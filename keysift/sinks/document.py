@@ -1,0 +1,54 @@
+"""One JSON document written by many tasks.
+
+The rows of the document's array are sorted over the cluster and written as text
+parts between a header and a footer row.  Up to ``SINGLE_FILE_ROWS`` rows the
+document is one part file.  Beyond that it is several; read in name order they
+are the same single document (``cat part-*``).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+SINGLE_FILE_ROWS = 1_000_000
+
+
+def write_document(
+    table: DataFrame,
+    item: Column,
+    order: list[str],
+    header: str,
+    footer: str,
+    path: str,
+    n_rows: int,
+    single_file_rows: int = SINGLE_FILE_ROWS,
+) -> None:
+    """Write header, the JSON ``item`` of every row of ``table``, and footer.
+
+    ``table`` has to be stored (``session.materialize``): its rows are told apart
+    by file and row index, which decides the one row that takes no comma.
+    """
+    spark = table.sparkSession
+    rows = table.select(
+        F.lit(1).alias("section"),
+        item.alias("item"),
+        F.struct(
+            (-F.col("score")).alias("a"), *order,
+            F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"),
+        ).alias("key"),
+    )
+    first = rows.agg(F.min("key").alias("first_key"))
+    lines = rows.join(F.broadcast(first), F.col("key") == F.col("first_key"), "left").select(
+        "section",
+        "key",
+        F.when(F.col("first_key").isNull(), F.concat(F.lit(","), F.col("item")))
+        .otherwise(F.col("item")).alias("value"),
+    )
+    edges = spark.createDataFrame([(0, header), (2, footer)], "section INT, value STRING")
+    whole = lines.unionByName(edges, allowMissingColumns=True)
+    if n_rows <= single_file_rows:
+        ordered = whole.repartition(1).sortWithinPartitions("section", "key")
+    else:
+        ordered = whole.orderBy("section", "key")
+    ordered.select("value").write.text(path)
