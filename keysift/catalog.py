@@ -10,7 +10,9 @@ character, so of two secrets parted by a single character the second is missed.
 
 ``hints`` are literal fragments of which at least one occurs in every match;
 they let a scan skip text cheaply.  For case-insensitive patterns the hints are
-lower case, and every match also holds ``:`` or ``=``.
+lower case letters, ``_`` and ``-``, and every match also holds ``:`` or ``=``.
+``shape`` is a regex that matches part of every match; it stands in for hints.
+Neither holds a quote or a backslash.
 """
 
 from __future__ import annotations
@@ -33,9 +35,13 @@ class Pattern:
     hints: tuple[str, ...] = ()
     shape: str | None = None
     marker: bool = False
-    custom: bool = False
     description: str = ""
 
+    def __post_init__(self) -> None:
+        for fragment in (*self.hints, self.shape or ""):
+            if "'" in fragment or "\\" in fragment:
+                raise ValueError(f"hint of {self.name} holds a quote or a backslash")
+
     @property
     def regex(self) -> str:
         flags = "(?i)" if self.ignore_case else ""
@@ -97,7 +103,7 @@ PATTERNS: tuple[Pattern, ...] = (
             hints=("hooks.slack.com",), description="Slack incoming webhook"),
     Pattern("DISCORD_BOT_TOKEN", "HIGH", "messaging",
             r"[MN][A-Za-z0-9]{23,25}\.[A-Za-z0-9_-]{6}\.[A-Za-z0-9_-]{27,38}",
-            shape=r"[MN][A-Za-z0-9]{23,25}\.", description="Discord bot token"),
+            shape="[MN][A-Za-z0-9]{23,25}[.]", description="Discord bot token"),
     Pattern("DISCORD_WEBHOOK", "HIGH", "messaging",
             r"https://discord(?:app)?\.com/api/webhooks/[0-9]{17,20}/[A-Za-z0-9_-]{60,72}",
             hints=("/api/webhooks/",), description="Discord webhook"),
@@ -172,5 +178,5 @@ def custom_pattern(
     """A user pattern.  The whole match counts as the secret."""
     return Pattern(
         name or "CUSTOM_PATTERN", severity, "custom", regex,
-        hints=hints, custom=True, description=description or "",
+        hints=hints, description=description or "",
     )

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import functools
-import operator
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,8 +37,7 @@ def is_denylisted(secret: Column, options: ScanOptions) -> Column:
     """The secret holds a word that only made-up values hold."""
     if not options.denylist:
         return F.lit(False)
-    folded = F.lower(secret)
-    return functools.reduce(operator.or_, [folded.contains(w) for w in options.denylist])
+    return F.lower(secret).rlike("|".join(re.escape(word) for word in options.denylist))
 
 
 def risk_score(

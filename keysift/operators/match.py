@@ -1,8 +1,11 @@
-"""Every match of every pattern.
-
-All patterns are literals of one projection, so each regex is compiled once per
-task.  Before it, two cheap conditions (``functions.prefilter``) drop files and
-then lines that cannot match.  Nothing here moves rows between tasks.
+"""Every match of every pattern, in one pass over the files.
+
+A file becomes a short list of texts: the whole content if a file pattern may
+match it, and its numbered lines if a line pattern may.  Two cheap conditions
+(``functions.prefilter``) drop files and then lines that cannot match; what is
+left is tried with the patterns that may match it.  The patterns are literals of
+one projection, so each regex is compiled once per task.  No row moves between
+tasks, and the input is read once.
 """
 
 from __future__ import annotations
@@ -14,17 +17,25 @@ from pyspark.sql import functions as F
 
 from keysift.catalog import PATTERNS, Pattern
 from keysift.functions import prefilter
-from keysift.operators.lines import lines
+from keysift.operators.lines import split_lines_sql
 
-MATCH_COLUMNS = ("repo", "path", "line", "pattern", "occurrence", "severity", "marker", "secret")
+def _texts(by_line: Sequence[Pattern], by_file: Sequence[Pattern], use_prefilter: bool) -> Column:
+    """Element 0 is the content for file patterns or null; element n is line n.
 
+    The content may be a costly expression (unescaped, decoded), so it is named
+    by a one-element ``transform`` and evaluated once.
+    """
+    whole = numbered = "true"
+    if use_prefilter:
+        whole = prefilter.file_condition("c", by_file) if by_file else "false"
+        numbered = prefilter.file_condition("c", by_line) if by_line else "false"
 
-def _attributes(pattern: Pattern) -> list[Column]:
-    return [
-        F.lit(pattern.name).alias("pattern"),
-        F.lit(pattern.severity).alias("severity"),
-        F.lit(pattern.marker).alias("marker"),
-    ]
+    return F.expr(f"""
+        get(transform(array(content), c -> concat(
+            array(CASE WHEN {whole} THEN c END),
+            coalesce(CASE WHEN {numbered} THEN {split_lines_sql('c')} END,
+                     cast(array() AS array<string>)))), 0)
+    """)
 
 
 def _secrets(text: Column, pattern: Pattern, group: int | None = None) -> Column:
@@ -32,86 +43,56 @@ def _secrets(text: Column, pattern: Pattern, group: int | None = None) -> Column
     return F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(wanted))
 
 
-def match_lines(
-    files: DataFrame, patterns: Sequence[Pattern], use_prefilter: bool = True
-) -> DataFrame:
-    """Matches of line patterns; ``use_prefilter=False`` tries every pattern on every line."""
-    if use_prefilter:
-        files = files.where(prefilter.file_may_match(F.col("content"), patterns))
-    numbered = lines(files)
+def _line_breaks(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n")))
+
+
+def _start_lines(content: Column, pattern: Pattern) -> Column:
+    """The line each match of a file pattern starts on: breaks in the text before it, plus one."""
+    whole = _secrets(content, pattern, 0)
+    between = F.split(content, pattern.regex)
+    # Line breaks before each match, and inside the match before that.
+    passed = F.zip_with(
+        between, F.concat(F.array(F.lit("")), whole), lambda gap, match:
+        _line_breaks(F.coalesce(gap, F.lit(""))) + _line_breaks(F.coalesce(match, F.lit(""))))
+    empty = F.array().cast("array<int>")
+    return F.aggregate(
+        passed, empty,
+        lambda lines, n: F.concat(
+            lines, F.array(F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit(1)) + n)))
+
+
+def _applies(pattern: Pattern, use_prefilter: bool) -> Column:
+    scope = "line > 0" if pattern.scope == "line" else "line = 0"
+    if use_prefilter and prefilter.hinted([pattern]):
+        scope += " AND " + prefilter.condition("text", [pattern])
+    return F.expr(scope)
+
+
+def _file_text() -> Column:
     text = F.col("text")
-    if use_prefilter:
-        numbered = numbered.where(prefilter.line_may_match(text, patterns))
+    return F.when(text.contains("\r"), F.regexp_replace(text, "\r\n|\r", "\n")).otherwise(text)
 
-    def attempt(pattern: Pattern) -> Column:
-        found = _secrets(text, pattern)
-        if use_prefilter:
-            found = F.when(prefilter.may_match(text, pattern), found)
-        return F.struct(*_attributes(pattern), found.alias("secrets"))
 
-    tried = numbered.select(
-        "repo", "path", "line", F.explode(F.array(*[attempt(p) for p in patterns])).alias("m")
-    )
-    return (
-        tried.where(F.size("m.secrets") > 0)
-        .select("repo", "path", "line", "m.pattern", "m.severity", "m.marker",
-                F.posexplode_outer("m.secrets").alias("pos", "secret"))
-        .withColumn("occurrence", F.col("pos") + 1)
-        .select(*MATCH_COLUMNS)
-    )
+def _attempts(patterns: Sequence[Pattern], use_prefilter: bool) -> Column:
+    """One array of secrets per pattern, null where the pattern does not apply."""
+    found = []
+    for p in patterns:
+        text = F.col("text") if p.scope == "line" else _file_text()
+        found.append(F.when(_applies(p, use_prefilter), _secrets(text, p)))
+    return F.array(*found)
 
 
-def _line_breaks(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n")))
+def _starts(by_file: Sequence[Pattern], use_prefilter: bool) -> Column:
+    """One array of start lines per file pattern."""
+    return F.array(*[
+        F.when(_applies(p, use_prefilter), _start_lines(_file_text(), p)) for p in by_file
+    ]).cast("array<array<int>>")
 
 
-def _match_lines_of_file(content: Column, pattern: Pattern) -> Column:
-    """Structs (secret, line) of one file pattern; a match starts after all text before it."""
-    unified = F.regexp_replace(content, "\r\n|\r", "\n")
-    whole = _secrets(unified, pattern, 0)
-    between = F.split(unified, pattern.regex)
-
-    def step(state: Column, index: Column) -> Column:
-        line = state["line"] + _line_breaks(F.get(between, index))
-        found = F.struct(
-            F.get(_secrets(unified, pattern), index).alias("secret"),
-            line.alias("line"),
-        )
-        return F.struct(
-            (line + _line_breaks(F.get(whole, index))).alias("line"),
-            F.concat(state["found"], F.array(found)).alias("found"),
-        )
-
-    start = F.struct(
-        F.lit(1).alias("line"),
-        F.array().cast("array<struct<secret: string, line: int>>").alias("found"),
-    )
-    indexes = F.when(F.size(whole) > 0, F.sequence(F.lit(0), F.size(whole) - 1))
-    return F.aggregate(indexes, start, step, lambda state: state["found"])
-
-
-def match_files(files: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
-    """Matches of file patterns (markers that span lines), with the line they start on."""
-    content = F.col("content")
-    tried = files.where(prefilter.file_may_match(content, patterns)).select(
-        "repo", "path",
-        F.explode(F.array(*[
-            F.struct(
-                *_attributes(p),
-                F.when(prefilter.may_match(content, p), _match_lines_of_file(content, p))
-                .alias("found"),
-            )
-            for p in patterns
-        ])).alias("m"),
-    )
-    return (
-        tried.where(F.size("m.found") > 0)
-        .select("repo", "path", "m.pattern", "m.severity", "m.marker",
-                F.posexplode_outer("m.found").alias("pos", "f"))
-        .select("repo", "path", F.col("f.line").alias("line"), "pattern",
-                (F.col("pos") + 1).alias("occurrence"), "severity", "marker",
-                F.col("f.secret").alias("secret"))
-    )
+def _attribute(values: Iterable[str]) -> Column:
+    """The value of pattern number ``p``, from one constant."""
+    return F.get(F.split(F.lit("\x1f".join(values)), "\x1f"), F.col("m.p"))
 
 
 def find_matches(
@@ -120,13 +101,40 @@ def find_matches(
     builtin: Iterable[Pattern] = PATTERNS,
     use_prefilter: bool = True,
 ) -> DataFrame:
-    """All matches of built-in and user patterns.  ``secret`` is raw: do not store this table."""
-    patterns = [*builtin, *custom]
-    by_line = [p for p in patterns if p.scope == "line"]
-    by_file = [p for p in patterns if p.scope == "file"]
-    found = [match_lines(files, by_line, use_prefilter)] if by_line else []
-    if by_file:
-        found.append(match_files(files, by_file))
-    if not found:
+    """All matches of built-in and user patterns.  ``secret`` is raw: do not store this table.
+
+    ``use_prefilter=False`` tries every pattern on every text; the result is the same.
+    """
+    given = [*builtin, *custom]
+    if not given:
         raise ValueError("no patterns given")
-    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    by_file = [p for p in given if p.scope == "file"]
+    by_line = [p for p in given if p.scope == "line"]
+    patterns = by_file + by_line
+
+    texts = _texts(by_line, by_file, use_prefilter)
+    tried = files.select("repo", "path", F.posexplode_outer(texts).alias("line", "text"))
+    tried = tried.where(F.col("text").isNotNull())
+    if use_prefilter:
+        tried = tried.where((F.col("line") == 0) | prefilter.line_may_match("text", by_line))
+    # File patterns come first, so their start lines sit at their own number.
+    matched = F.expr("""
+        filter(transform(found, (s, p) -> struct(p, s AS secrets, get(starts, p) AS starts)),
+               m -> size(m.secrets) > 0)
+    """)
+    return tried.select(
+        "repo", "path", "line",
+        _attempts(patterns, use_prefilter).alias("found"),
+        _starts(by_file, use_prefilter).alias("starts"),
+    ).select(
+        "repo", "path", "line", F.explode_outer(matched).alias("m")
+    ).where(F.col("m").isNotNull()).select(
+        "repo", "path", "line",
+        _attribute(p.name for p in patterns).alias("pattern"),
+        _attribute(p.severity for p in patterns).alias("severity"),
+        _attribute(str(p.marker) for p in patterns).cast("boolean").alias("marker"),
+        "m.starts", F.posexplode_outer("m.secrets").alias("pos", "secret"),
+    ).select(
+        "repo", "path", F.coalesce(F.get("starts", F.col("pos")), F.col("line")).alias("line"),
+        "pattern", (F.col("pos") + 1).alias("occurrence"), "severity", "marker", "secret",
+    )

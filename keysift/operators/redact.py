@@ -40,25 +40,28 @@ def redact(
     whole = original
     if by_file:
         whole = F.when(
-            prefilter.file_may_match(original, by_file), _redact(original, by_file, replacement)
+            F.expr(prefilter.file_condition("content", by_file)),
+            _redact(original, by_file, replacement),
         ).otherwise(original)
 
-    def rewrite(piece: Column) -> Column:
-        return F.when(
-            prefilter.line_may_match(piece, by_line), _redact(piece, by_line, replacement)
-        ).otherwise(piece)
-
     staged = files.withColumn("_whole", whole)
     text = F.col("_whole")
     if by_line:
-        pieces = F.split(text, r"(?<=\n)|(?<=\r)(?!\n)")
-        text = F.when(
-            prefilter.file_may_match(text, by_line),
-            F.array_join(F.transform(pieces, rewrite), ""),
-        ).otherwise(text)
+        staged = staged.withColumn("_pieces", F.when(
+            F.expr(prefilter.file_condition("_whole", by_line)),
+            F.split("_whole", r"(?<=\n)|(?<=\r)(?!\n)")))
+        hinted = prefilter.condition("p", prefilter.hinted(by_line))
+        flags = F.expr(f"transform(_pieces, p -> {hinted})")
+
+        def rewrite(piece: Column, flag: Column) -> Column:
+            for pattern in prefilter.unhinted(by_line):
+                flag = flag | piece.rlike(pattern.regex)
+            return F.when(flag, _redact(piece, by_line, replacement)).otherwise(piece)
+
+        text = F.coalesce(F.array_join(F.zip_with("_pieces", flags, rewrite), ""), text)
     return (
         staged.withColumn("_text", text)
         .withColumn("is_redacted", ~F.col("_text").eqNullSafe(original))
         .withColumn("content", F.col("_text"))
-        .drop("_whole", "_text")
+        .drop("_whole", "_pieces", "_text")
     )

@@ -298,7 +298,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The fourth run of a file is left out, as for lines that nobody committed yet.
     """
-    n_lines = F.size(lines.split_lines(F.col("content")))
+    n_lines = F.size(F.expr(lines.split_lines_sql("content")))
     runs = tables.document_files(spark, sf_dir).select(
         "repo", "path", n_lines.alias("n"),
         F.explode(F.sequence(F.lit(0), F.floor((n_lines - 1) / _RUN).cast("int"))).alias("run"))

@@ -41,8 +41,8 @@ def scan_tree(spark: SparkSession, root: str, options: ScanOptions, repo: str =
         F.lit(repo).alias("repo"),
         F.col("rel").alias("path"),
         F.col("length").alias("size"),
-        # Bytes that are not UTF-8 are replaced, as a text reader would.
-        F.decode(F.col("content"), "UTF-8").alias("content"),
+        # Bytes that are not UTF-8 are replaced; a binary file must not fail the scan.
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )
 
 
