@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -62,3 +62,11 @@ def log_levels(logs: DataFrame) -> DataFrame:
 
 def error_records(logs: DataFrame) -> DataFrame:
     return logs.where(F.upper("level") == "ERROR")
+
+
+def observe_findings(findings: DataFrame) -> tuple[DataFrame, Observation]:
+    """Counts taken while the findings are written, without a job of their own."""
+    seen = Observation()
+    counted = findings.observe(
+        seen, F.count(F.lit(1)).alias("n_findings"), _level("high").alias("n_high_risk"))
+    return counted, seen

@@ -10,6 +10,7 @@ high-risk findings exist and ``--fail-on-high`` is given.
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from collections.abc import Sequence
 
@@ -51,7 +52,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     if args.max_depth is not None:
         options = options.with_(max_depth=args.max_depth)
     if args.local:
-        files = scan_tree(spark, args.local, options)
+        root = args.local if "://" in args.local else os.path.abspath(os.path.expanduser(args.local))
+        files = scan_tree(spark, root, options)
     else:
         # The depth limit is a rule for local trees only.
         table = spread(spark.read.parquet(args.table).select("repo", "path", "content"))

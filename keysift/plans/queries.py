@@ -293,48 +293,54 @@ def remediated_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RUN = 3
 
 
-def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Derived authorship: every three lines of a document are one commit of its source.
+def _authored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with ``runs``: every three lines are one commit.
 
     The fourth run of a file is left out, as for lines that nobody committed yet.
     """
-    n_lines = F.size(F.expr(lines.split_lines_sql("content")))
-    runs = tables.document_files(spark, sf_dir).select(
-        "repo", "path", n_lines.alias("n"),
-        F.explode(F.sequence(F.lit(0), F.floor((n_lines - 1) / _RUN).cast("int"))).alias("run"))
-    return runs.where("run <> 3").select(
-        "repo", "path", (F.col("run") * _RUN + 1).alias("start_line"),
-        F.least(F.col("run") * _RUN + _RUN, F.col("n")).alias("end_line"),
-        F.concat_ws(" ", F.lit("dev"), "run").alias("author"),
-        F.concat(F.lit("dev"), F.col("run"), F.lit("@"), F.col("repo")).alias("email"),
-        F.substring(F.sha2(F.concat_ws(":", "path", "run"), 256), 1, 40).alias("commit"),
-        (F.lit(1700000000) + F.col("run")).cast("bigint").alias("author_time"))
+    files = tables.document_files(spark, sf_dir).select(
+        "repo", "path", F.size(F.expr(lines.split_lines_sql("content"))).alias("n"))
+
+    def run_of(number: Column) -> Column:
+        return F.struct(
+            (number * _RUN + 1).alias("start_line"),
+            F.least(number * _RUN + _RUN, F.col("n")).alias("end_line"),
+            F.concat_ws(" ", F.lit("dev"), number).alias("author"),
+            F.concat(F.lit("dev"), number, F.lit("@"), F.col("repo")).alias("email"),
+            F.substring(F.sha2(F.concat_ws(":", "path", number), 256), 1, 40).alias("commit"),
+            (F.lit(1700000000) + number).cast("bigint").alias("author_time"))
+
+    numbers = F.filter(
+        F.sequence(F.lit(0), F.floor((F.col("n") - 1) / _RUN).cast("int")), lambda k: k != 3)
+    return files.select("repo", "path", F.transform(numbers, run_of).alias("runs"))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _authored_files(spark, sf_dir).select("repo", "path", F.inline("runs"))
 
 
 def _porcelain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived authorship as the text a blame tool prints, one text per file."""
-    runs = _runs(spark, sf_dir)
-
-    def source_line(number: Column) -> Column:
-        header = F.concat_ws(" ", "commit", number, number)
-        length = (F.col("end_line") - F.col("start_line") + 1).cast("string")
-        opening = F.concat_ws(
-            "\n",
-            F.concat_ws(" ", header, length),
-            F.concat(F.lit("author "), F.col("author")),
-            F.concat(F.lit("author-mail <"), F.col("email"), F.lit(">")),
-            F.concat(F.lit("author-time "), F.col("author_time")),
-            F.lit("filename x"),
-        )
-        return F.concat_ws("\n", F.when(number == F.col("start_line"), opening).otherwise(header),
-                           F.lit("\tcode"))
-
-    texts = F.array_join(F.transform(F.sequence("start_line", "end_line"), source_line), "\n")
-    # A file's runs are its own lines over three: bounded by the size of the file.
-    per_file = runs.select("repo", "path", "start_line", texts.alias("text")).groupBy(
-        "repo", "path").agg(F.sort_array(F.collect_list(F.struct("start_line", "text"))).alias("t"))
-    return per_file.select(
-        "repo", "path", F.array_join(F.col("t.text"), "\n").alias("porcelain"))
+
+    def run_text(run: Column) -> Column:
+        def source_line(number: Column) -> Column:
+            header = F.concat_ws(" ", run["commit"], number, number)
+            opening = F.concat_ws(
+                "\n",
+                F.concat_ws(" ", header, run["end_line"] - run["start_line"] + 1),
+                F.concat(F.lit("author "), run["author"]),
+                F.concat(F.lit("author-mail <"), run["email"], F.lit(">")),
+                F.concat(F.lit("author-time "), run["author_time"]),
+                F.lit("filename x"),
+            )
+            first = number == run["start_line"]
+            return F.concat_ws("\n", F.when(first, opening).otherwise(header), F.lit("\tcode"))
+
+        return F.array_join(
+            F.transform(F.sequence(run["start_line"], run["end_line"]), source_line), "\n")
+
+    text = F.array_join(F.transform("runs", run_text), "\n")
+    return _authored_files(spark, sf_dir).select("repo", "path", text.alias("porcelain"))
 
 
 def blame_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:

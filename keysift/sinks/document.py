@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SINGLE_FILE_ROWS = 1_000_000
+SINGLE_FILE_ROWS = 200_000
 
 
 def write_document(

@@ -10,37 +10,37 @@ from keysift.options import ScanOptions
 from keysift.session import key_filter
 
 
-def _relative(file_path: Column, root: str) -> Column:
-    """The part of a file URI below ``root``."""
-    plain = F.url_decode(F.regexp_replace(file_path, r"\+", "%2B"))
-    return F.substring_index(plain, root.rstrip("/") + "/", -1)
+def _below(root: str) -> Column:
+    """The path of the current file below ``root``.
 
+    It comes from file metadata, which is known before a file is opened, so
+    filters on it keep files from being read.
+    """
+    plain_root = root.split("://", 1)[-1].removeprefix("file:").rstrip("/") + "/"
+    # Metadata holds an encoded URI, in which + stands for itself.
+    uri = F.col("_metadata.file_path")
+    file = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    return F.substring(file, F.locate(plain_root, file) + len(plain_root), F.length(file))
 
-def _plain_root(root: str) -> str:
-    return root.split("://", 1)[-1].removeprefix("file:").rstrip("/")
+
+def _tree(spark: SparkSession, root: str) -> DataFrame:
+    return (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        .withColumn("rel", _below(root))
+        .withColumn("bytes", F.col("_metadata.file_size"))
+    )
 
 
 def scan_tree(spark: SparkSession, root: str, options: ScanOptions, repo: str = "local"
               ) -> DataFrame:
-    """Every text file below ``root`` as (repo, path, size, content).
-
-    Depth, size and skip rules act on the file listing, so content is read only
-    for the files that stay.
-    """
-    limit = options.max_file_size_mb * 1024 * 1024
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .where(F.col("length") <= limit)
-        .withColumn("rel", _relative(F.col("path"), _plain_root(root)))
-    )
+    """Every text file below the absolute path ``root`` as (repo, path, size, content)."""
+    listed = _tree(spark, root).where(F.col("bytes") <= options.max_file_size_mb * 1024 * 1024)
     if options.max_depth is not None:
         listed = listed.where(paths.depth(F.col("rel")) <= options.max_depth)
     return listed.where(~paths.is_skipped(F.col("rel"), options.skip_fragments)).select(
         F.lit(repo).alias("repo"),
         F.col("rel").alias("path"),
-        F.col("length").alias("size"),
+        F.col("bytes").alias("size"),
         # Bytes that are not UTF-8 are replaced; a binary file must not fail the scan.
         F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )
@@ -48,13 +48,7 @@ def scan_tree(spark: SparkSession, root: str, options: ScanOptions, repo: str =
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """Path and size of every file below ``root``; no content is read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .select(_relative(F.col("path"), _plain_root(root)).alias("path"),
-                F.col("length").alias("size"))
-    )
+    return _tree(spark, root).select(F.col("rel").alias("path"), F.col("bytes").alias("size"))
 
 
 def from_table(df: DataFrame, repo: Column, path: Column, content: Column) -> DataFrame:
