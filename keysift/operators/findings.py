@@ -26,20 +26,19 @@ def assess(matches: DataFrame, options: ScanOptions, known_fakes: DataFrame | No
     options by whole values and may be large.
     """
     secret = F.col("secret")
-    denied = scoring.is_denylisted(secret, options)
-    rows = matches.withColumn("is_denylisted", denied)
+    rows = matches.withColumns({
+        "entropy": scoring.shannon_entropy(secret),
+        "is_test_path": scoring.is_context_path(F.col("path"), options),
+        "is_denylisted": scoring.is_denylisted(secret, options),
+        "match_preview": scoring.match_preview(secret),
+        "secret_hash": scoring.secret_hash(
+            secret, F.col("marker"), F.col("repo"), F.col("path")),
+    })
     if known_fakes is not None:
         rows = _flag_known_fakes(rows, known_fakes)
-    rows = (
-        rows.withColumn("entropy", scoring.shannon_entropy(secret))
-        .withColumn("is_test_path", scoring.is_context_path(F.col("path"), options))
-        .withColumn("match_preview", scoring.match_preview(secret))
-        .withColumn("secret_hash", scoring.secret_hash(
-            secret, F.col("marker"), F.col("repo"), F.col("path")))
-        .withColumn("score", scoring.risk_score(
-            _base_score(F.col("severity"), options), F.col("entropy"),
-            F.col("is_test_path"), F.col("is_denylisted"), options))
-    )
+    rows = rows.withColumn("score", scoring.risk_score(
+        _base_score(F.col("severity"), options), F.col("entropy"),
+        F.col("is_test_path"), F.col("is_denylisted"), options))
     return rows.select(
         "repo", "path", "line", "pattern", "occurrence", "severity", "score",
         scoring.classification(F.col("score"), options).alias("classification"),

@@ -10,6 +10,7 @@ tasks, and the input is read once.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -74,7 +75,12 @@ def _file_text() -> Column:
     return F.when(text.contains("\r"), F.regexp_replace(text, "\r\n|\r", "\n")).otherwise(text)
 
 
-def _attempts(patterns: Sequence[Pattern], use_prefilter: bool) -> Column:
+# The long expressions depend on the patterns alone and name no table, so a
+# session that scans many inputs (or batches of a stream) builds them once.
+
+
+@functools.cache
+def _attempts(patterns: tuple[Pattern, ...], use_prefilter: bool) -> Column:
     """One array of secrets per pattern, null where the pattern does not apply."""
     found = []
     for p in patterns:
@@ -83,7 +89,8 @@ def _attempts(patterns: Sequence[Pattern], use_prefilter: bool) -> Column:
     return F.array(*found)
 
 
-def _starts(by_file: Sequence[Pattern], use_prefilter: bool) -> Column:
+@functools.cache
+def _starts(by_file: tuple[Pattern, ...], use_prefilter: bool) -> Column:
     """One array of start lines per file pattern."""
     return F.array(*[
         F.when(_applies(p, use_prefilter), _start_lines(_file_text(), p)) for p in by_file
@@ -108,8 +115,8 @@ def find_matches(
     given = [*builtin, *custom]
     if not given:
         raise ValueError("no patterns given")
-    by_file = [p for p in given if p.scope == "file"]
-    by_line = [p for p in given if p.scope == "line"]
+    by_file = tuple(p for p in given if p.scope == "file")
+    by_line = tuple(p for p in given if p.scope == "line")
     patterns = by_file + by_line
 
     texts = _texts(by_line, by_file, use_prefilter)
