@@ -48,4 +48,9 @@ def secret_reuse(findings: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def sort_findings(findings: DataFrame) -> DataFrame:
+    """Report order over all tasks.
+
+    A distributed sort looks at its input twice, first to pick the ranges, so the
+    input should be a stored table and not a scan (``session.materialize``).
+    """
     return findings.orderBy(*report_order())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keysift.functions import scoring
 from keysift.options import ScanOptions
-from keysift.session import fits_broadcast
+from keysift.session import join_keys
 
 
 def _base_score(severity: Column, options: ScanOptions) -> Column:
@@ -48,15 +48,12 @@ def assess(matches: DataFrame, options: ScanOptions, known_fakes: DataFrame | No
 
 
 def _flag_known_fakes(matches: DataFrame, known_fakes: DataFrame) -> DataFrame:
-    """A left join on the hash of the folded value, so no raw secret is shuffled.
-
-    The list is broadcast only when measured small.
-    """
-    fakes = known_fakes.select(F.sha2("secret", 256).alias("_folded")).distinct()
-    if fits_broadcast(fakes, "_folded"):
-        fakes = F.broadcast(fakes)
-    flagged = matches.withColumn("_folded", F.sha2(F.lower("secret"), 256)).join(
-        fakes.withColumn("_known", F.lit(True)), "_folded", "left")
+    """A left join on the hash of the folded value, so no raw secret is shuffled."""
+    fakes = known_fakes.select(F.sha2("secret", 256).alias("_folded")).distinct().withColumn(
+        "_known", F.lit(True))
+    flagged = join_keys(
+        matches.withColumn("_folded", F.sha2(F.lower("secret"), 256)), fakes, "_folded", "left",
+        spread_by=["repo", "path", "line"])
     return flagged.withColumn(
         "is_denylisted", F.col("is_denylisted") | F.coalesce("_known", F.lit(False))
     ).drop("_folded", "_known")

@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from keysift.session import key_filter
 
-def new_findings(findings: DataFrame, baseline: DataFrame) -> DataFrame:
+
+def new_findings(
+    findings: DataFrame, baseline: DataFrame, deduplicated: bool = False
+) -> DataFrame:
     """Findings whose hash is not in ``baseline(secret_hash)``; a null hash is always new.
 
-    No broadcast is asked for: the baseline grows with history, so Spark decides
-    by its measured size.  Deduplicated findings are already partitioned by hash
-    and are not shuffled again; otherwise a hash that fills a partition is split
-    by the adaptive skew join.
+    Deduplicated findings hold a hash once and are already partitioned by it, so
+    a plain anti join moves only the baseline.  Otherwise one hash may fill a
+    third of the rows, and the join is broadcast or salted by measured size.
     """
-    return findings.join(baseline.select("secret_hash").distinct(), "secret_hash", "left_anti")
+    if deduplicated:
+        kept = findings.join(baseline.select("secret_hash"), "secret_hash", "left_anti")
+    else:
+        spread_by = ["repo", "path", "line"]
+        kept = key_filter(findings, baseline, "secret_hash", "left_anti", spread_by)
+    return kept.select(*findings.columns)

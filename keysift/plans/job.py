@@ -56,7 +56,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         files = scan_tree(spark, root, options)
     else:
         # The depth limit is a rule for local trees only.
-        table = spread(spark.read.parquet(args.table).select("repo", "path", "content"))
+        table = spread(spark.read.parquet(args.table).select("repo", "path", "content"), "path")
         files = within_limits(
             from_table(table, F.col("repo"), F.col("path"), F.col("content")),
             options.with_(max_depth=args.max_depth))

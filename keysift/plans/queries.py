@@ -16,7 +16,7 @@ from keysift.operators import (
 from keysift.options import ScanOptions
 from keysift.plans import tables
 from keysift.plans.scan import detect, scan
-from keysift.session import new_scratch, spread
+from keysift.session import materialize, new_scratch, spread
 from keysift.sinks import reports
 from keysift.sources import baseline, files as file_source, logs
 from keysift.sources import blame as blame_source
@@ -248,7 +248,8 @@ def secret_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sorted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.sort_findings(planted_findings(spark, sf_dir)).select(
+    stored = materialize(planted_findings(spark, sf_dir), "findings")
+    return dedup.sort_findings(stored).select(
         "score", "repo", "path", "line", "pattern", "occurrence")
 
 

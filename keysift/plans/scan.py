@@ -39,7 +39,7 @@ def scan(
     if options.deduplicate:
         findings = deduplicate(findings)
     if options.incremental and baseline is not None:
-        findings = new_findings(findings, baseline)
+        findings = new_findings(findings, baseline, options.deduplicate)
     if options.attach_blame and blame is not None:
         findings = with_blame(findings, blame)
     return findings

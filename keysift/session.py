@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,27 +78,34 @@ def fits_broadcast(df: DataFrame, key: str) -> bool:
     return measured["n"] <= BROADCAST_ROWS and measured["size"] <= BROADCAST_KEY_BYTES
 
 
-def key_filter(
+def join_keys(
     df: DataFrame,
     keys: DataFrame,
     key: str,
     how: str,
-    spread_by: str,
+    spread_by: Sequence[str],
     broadcast: bool | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Keep (``left_semi``) or drop (``left_anti``) rows whose ``key`` is in ``keys``.
+    """Join wide rows that may have hot keys with a table that is unique on ``key``.
 
-    Meant for wide rows and hot keys.  A measured-small key list is broadcast and
-    the wide side does not move.  A larger one is joined on (key, salt): a hot key
-    is dealt over ``salts`` tasks by ``spread_by`` and the key list is repeated
-    once per salt.
+    A measured-small table is broadcast and the wide side does not move.  A larger
+    one is joined on (key, salt): the rows of a hot key are dealt over ``salts``
+    tasks by a hash of ``spread_by`` and the table is repeated once per salt.
     """
-    keys = keys.select(key).distinct()
     if broadcast is None:
         broadcast = fits_broadcast(keys, key)
     if broadcast:
         return df.join(F.broadcast(keys), key, how)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    repeated = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    return df.withColumn("_salt", salt).join(
+        keys.withColumn("_salt", every_salt), [key, "_salt"], how).drop("_salt")
+
+
+def key_filter(
+    df: DataFrame, keys: DataFrame, key: str, how: str, spread_by: Sequence[str], **options: object
+) -> DataFrame:
+    """Keep (``left_semi``) or drop (``left_anti``) rows whose ``key`` is in ``keys``."""
+    kept = join_keys(df, keys.select(key).distinct(), key, how, spread_by, **options)
+    return kept.select(*df.columns)

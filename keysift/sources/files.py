@@ -70,7 +70,7 @@ def within_limits(files: DataFrame, options: ScanOptions) -> DataFrame:
 def active_only(files: DataFrame, repos: DataFrame, **join_options: object) -> DataFrame:
     """Files of repositories that are not archived."""
     active = repos.where(~F.col("archived"))
-    return key_filter(files, active, "repo", "left_semi", spread_by="path", **join_options)
+    return key_filter(files, active, "repo", "left_semi", spread_by=["path"], **join_options)
 
 
 def repo_roots(listing: DataFrame) -> DataFrame:
@@ -94,6 +94,6 @@ def label_repos(listing: DataFrame, roots: DataFrame) -> DataFrame:
         lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"),
     )
     offered = listing.select("path", F.explode(parents).alias("root"))
-    found = key_filter(offered, roots, "root", "left_semi", spread_by="path")
+    found = key_filter(offered, roots, "root", "left_semi", spread_by=["path"])
     innermost = found.groupBy("path").agg(F.max_by("root", F.length("root")).alias("repo_root"))
     return listing.join(innermost, "path", "left")

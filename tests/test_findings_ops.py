@@ -70,6 +70,17 @@ def test_baseline_equal_empty_and_null(spark, reused):
     assert incremental.new_findings(unknown, hashes.union(null)).count() == found.count()
 
 
+def test_hot_secret_against_a_large_baseline(spark, reused, monkeypatch):
+    """Without broadcast the salted join gives the same rows."""
+    found = detect(reused)
+    hashes = found.where("pattern = 'NPM_TOKEN'").select("secret_hash")
+    small = plain(incremental.new_findings(found, hashes))
+    monkeypatch.setattr("keysift.session.BROADCAST_ROWS", 0)
+    assert plain(incremental.new_findings(found, hashes)) == small
+    assert plain(incremental.new_findings(found, hashes, deduplicated=True)) == small
+    assert len(small) == 1
+
+
 def test_scan_switches(spark, reused):
     both = scan(reused, ScanOptions(incremental=True, deduplicate=False),
                 baseline=detect(reused).where("pattern = 'NPM_TOKEN'"))
@@ -163,8 +174,8 @@ def test_salted_filter_equals_broadcast(spark, how):
     rows = [("hot" if rng.random() < 0.4 else f"k{rng.randint(0, 50)}", i) for i in range(3000)]
     df = spark.createDataFrame([*rows, (None, -1)], "k STRING, i BIGINT")
     keys = spark.createDataFrame([("hot",), ("k1",), ("k1",), ("absent",), (None,)], "k STRING")
-    small = key_filter(df, keys, "k", how, spread_by="i", broadcast=True)
-    large = key_filter(df, keys, "k", how, spread_by="i", broadcast=False, salts=7)
+    small = key_filter(df, keys, "k", how, spread_by=["i"], broadcast=True)
+    large = key_filter(df, keys, "k", how, spread_by=["i"], broadcast=False, salts=7)
     assert plain(small) == plain(large)
     wanted = {"hot", "k1"}
     count = sum((k in wanted) == (how == "left_semi") for k, _ in rows) + (how == "left_anti")

@@ -88,7 +88,9 @@ def test_short_secrets_are_hidden_whole(spark):
         "***", "1234..."]
 
 
-def test_known_fakes_join(spark, files):
+@pytest.mark.parametrize("rows", [0, 1000])
+def test_known_fakes_join(spark, files, monkeypatch, rows):
+    monkeypatch.setattr("keysift.session.BROADCAST_ROWS", rows)
     key, other = samples.line("NPM_TOKEN"), samples.line("GITLAB_PAT")
     found = find_matches(files(("r", "a", key), ("r", "b", other)))
     fakes = spark.createDataFrame([(key.lower(),), (key.lower(),)], "secret STRING")
