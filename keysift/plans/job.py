@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 
 from keysift.options import ScanOptions
 from keysift.plans.scan import scan
-from keysift.session import spread
+from keysift.session import materialize, spread
 from keysift.sinks.reports import FORMATS, write_reports
 from keysift.sources import baseline as baselines
 from keysift.sources.blame import parse_porcelain
-from keysift.sources.files import active_only, from_table, scan_tree, within_limits
+from keysift.sources.files import active_only, from_table, label_findings, within_limits
 from keysift.sources.patterns import load_custom_patterns
+from keysift.sources.tree import list_tree, scan_tree, tree_roots
 
 
 def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
@@ -47,13 +48,15 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     args = _arguments(argv)
+    roots = None
     spark = spark or SparkSession.builder.appName("keysift").getOrCreate()
     options = ScanOptions.from_env()
     if args.max_depth is not None:
         options = options.with_(max_depth=args.max_depth)
     if args.local:
         root = args.local if "://" in args.local else os.path.abspath(os.path.expanduser(args.local))
-        files = scan_tree(spark, root, options)
+        listing = list_tree(spark, root, options.max_depth, options.skip_fragments)
+        files, roots = scan_tree(spark, root, options, listing=listing), tree_roots(listing)
     else:
         # The depth limit is a rule for local trees only.
         table = spread(spark.read.parquet(args.table).select("repo", "path", "content"), "path")
@@ -73,6 +76,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         options = options.with_(attach_blame=True)
         blame = parse_porcelain(spark.read.parquet(args.blame))
     findings = scan(files, options, custom, baseline, blame)
+    if roots is not None:
+        findings = label_findings(materialize(findings, "findings"), roots)
     formats = FORMATS if args.output_format == "all" else [args.output_format]
     summary = write_reports(findings, args.output, options, formats)
     levels = summary["by_risk_level"]

@@ -16,9 +16,9 @@ from keysift.operators import (
 from keysift.options import ScanOptions
 from keysift.plans import tables
 from keysift.plans.scan import detect, scan
-from keysift.session import materialize, new_scratch, spread
+from keysift.session import materialize, new_scratch
 from keysift.sinks import reports
-from keysift.sources import baseline, files as file_source, logs
+from keysift.sources import baseline, files as file_source, logs, tree
 from keysift.sources import blame as blame_source
 from keysift.sources import patterns as pattern_source
 from keysift.streaming import incremental as streaming
@@ -68,7 +68,7 @@ def file_tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_scratch(spark, "tree")
     tables.document_files(spark, sf_dir).select("repo", F.col("content").alias("value")) \
         .write.option("maxRecordsPerFile", 200).partitionBy("repo").text(root)
-    found = detect(spread(file_source.scan_tree(spark, root, OPTIONS)), OPTIONS, CUSTOM_PATTERNS)
+    found = detect(tree.scan_tree(spark, root, OPTIONS), OPTIONS, CUSTOM_PATTERNS)
     repo = F.regexp_extract("path", "^repo=([^/]+)/", 1)
     return found.groupBy(repo.alias("repo"), "pattern").agg(
         F.count(F.lit(1)).alias("n_findings"),

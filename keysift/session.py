@@ -52,11 +52,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all task slots when a scan would not.
+    """Use all task slots when a scan would leave most of them idle.
 
     A table in a few files (or one large row group) is read by a few tasks.
-    Such a small input is redistributed by ``keys``; anything with enough files
-    is left alone, so large inputs are never shuffled here.
+    Such a small input is redistributed by ``keys``.  An input whose files or
+    splits keep at least half of the slots busy is left alone, so large inputs
+    are never shuffled here.
     """
     if df.isStreaming:
         return df
@@ -64,9 +65,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     tasks = df.rdd.getNumPartitions()
     if tasks >= 4 * slots:
         return df
-    if tasks < slots or len(df.inputFiles()) < slots:
-        return df.repartition(slots, *keys)
-    return df
+    if min(tasks, len(df.inputFiles())) * 2 > slots:
+        return df
+    return df.repartition(slots, *keys)
 
 
 def fits_broadcast(df: DataFrame, key: str) -> bool:
@@ -92,8 +93,11 @@ def join_keys(
     A measured-small table is broadcast and the wide side does not move.  A larger
     one is joined on (key, salt): the rows of a hot key are dealt over ``salts``
     tasks by a hash of ``spread_by`` and the table is repeated once per salt.
+    To be measured and then used, the table is stored first, so what it comes
+    from runs once.
     """
     if broadcast is None:
+        keys = materialize(keys, "keys")
         broadcast = fits_broadcast(keys, key)
     if broadcast:
         return df.join(F.broadcast(keys), key, how)

@@ -1,54 +1,13 @@
-"""Files to scan: directory trees, repository snapshots, and the filters on them."""
+"""Files as tables: repository snapshots, the filters on them, repository roots."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysift.functions import paths
 from keysift.options import ScanOptions
-from keysift.session import key_filter
-
-
-def _below(root: str) -> Column:
-    """The path of the current file below ``root``.
-
-    It comes from file metadata, which is known before a file is opened, so
-    filters on it keep files from being read.
-    """
-    plain_root = root.split("://", 1)[-1].removeprefix("file:").rstrip("/") + "/"
-    # Metadata holds an encoded URI, in which + stands for itself.
-    uri = F.col("_metadata.file_path")
-    file = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
-    return F.substring(file, F.locate(plain_root, file) + len(plain_root), F.length(file))
-
-
-def _tree(spark: SparkSession, root: str) -> DataFrame:
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        .withColumn("rel", _below(root))
-        .withColumn("bytes", F.col("_metadata.file_size"))
-    )
-
-
-def scan_tree(spark: SparkSession, root: str, options: ScanOptions, repo: str = "local"
-              ) -> DataFrame:
-    """Every text file below the absolute path ``root`` as (repo, path, size, content)."""
-    listed = _tree(spark, root).where(F.col("bytes") <= options.max_file_size_mb * 1024 * 1024)
-    if options.max_depth is not None:
-        listed = listed.where(paths.depth(F.col("rel")) <= options.max_depth)
-    return listed.where(~paths.is_skipped(F.col("rel"), options.skip_fragments)).select(
-        F.lit(repo).alias("repo"),
-        F.col("rel").alias("path"),
-        F.col("bytes").alias("size"),
-        # Bytes that are not UTF-8 are replaced; a binary file must not fail the scan.
-        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
-    )
-
-
-def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Path and size of every file below ``root``; no content is read."""
-    return _tree(spark, root).select(F.col("rel").alias("path"), F.col("bytes").alias("size"))
+from keysift.session import join_keys, key_filter
 
 
 def from_table(df: DataFrame, repo: Column, path: Column, content: Column) -> DataFrame:
@@ -97,3 +56,14 @@ def label_repos(listing: DataFrame, roots: DataFrame) -> DataFrame:
     found = key_filter(offered, roots, "root", "left_semi", spread_by=["path"])
     innermost = found.groupBy("path").agg(F.max_by("root", F.length("root")).alias("repo_root"))
     return listing.join(innermost, "path", "left")
+
+
+def label_findings(findings: DataFrame, roots: DataFrame) -> DataFrame:
+    """Findings of a tree with the innermost repository root as ``repo``, where there is one.
+
+    Findings are labelled and not files, so no text is moved.
+    """
+    labels = label_repos(findings.select("path").distinct(), roots).where(
+        F.coalesce("repo_root", F.lit("")) != "")
+    labelled = join_keys(findings, labels, "path", "left", ["line", "pattern", "occurrence"])
+    return labelled.withColumn("repo", F.coalesce("repo_root", "repo")).select(*findings.columns)

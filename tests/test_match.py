@@ -1,3 +1,6 @@
+import random
+import re
+
 import samples
 from keysift.catalog import PATTERNS, custom_pattern
 from keysift.operators.lines import lines
@@ -80,3 +83,30 @@ def test_markers_in_two_files_stay_two_secrets(files):
 
 def test_empty_and_null_files(files):
     assert find_matches(files(("r", "a", ""), ("r", "b", None))).count() == 0
+
+
+def test_random_texts_equal_python(files):
+    """Whole samples, cut samples and noise in random order, against Python's own matching."""
+    rng = random.Random(11)
+    pieces = [samples.line(n) for n in samples.POSITIVE if n not in ("PEM_PRIVATE_KEY",)]
+    noise = ["", " ", "é", "ünï code", "token", "secret=", "password: x", "://", "sk-", "AKIA", "=="]
+
+    def text():
+        chosen = []
+        for _ in range(rng.randint(1, 12)):
+            piece = rng.choice(pieces + noise)
+            chosen.append(piece if rng.random() < 0.7 else piece[: rng.randint(0, len(piece))])
+            chosen.append(rng.choice(["\n", "\n", " ", ";", "\"", "é"]))
+        return "".join(chosen)
+
+    rows = [("r", str(i), text()) for i in range(150)]
+    want = sorted(
+        (path, number, p.name, i, m.group(p.group))
+        for _, path, content in rows
+        for number, row in enumerate(content.split("\n"), 1)
+        for p in PATTERNS if p.scope == "line"
+        for i, m in enumerate(re.finditer(p.regex, row), 1))
+    line_patterns = [p for p in PATTERNS if p.scope == "line"]
+    got = sorted((r["path"], r["line"], r["pattern"], r["occurrence"], r["secret"])
+                 for r in find_matches(files(*rows), builtin=line_patterns).collect())
+    assert got == want and len(got) > 300

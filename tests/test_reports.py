@@ -119,14 +119,18 @@ def test_job_on_a_tree_and_incrementally(spark, tmp_path, monkeypatch):
     (tree / "src").mkdir(parents=True)
     (tree / "src/a.py").write_text("x = 1\n" + samples.line("GITHUB_TOKEN"))
     (tree / "src/b.py").write_text(samples.line("GITHUB_TOKEN"))
+    (tree / "sub/.git").mkdir(parents=True)
+    (tree / "sub/.git/HEAD").write_text(samples.line("STRIPE_SECRET_KEY"))
+    (tree / "sub/x.py").write_text(samples.line("SLACK_TOKEN"))
     patterns = tmp_path / "p.json"
     patterns.write_text('{"patterns": [{"name": "X", "regex": "^x = [0-9]"}]}')
     first = str(tmp_path / "one")
     args = ["--local", str(tree), "--custom-patterns", str(patterns), "--output-format", "all"]
     assert job.main([*args, "--output", first, "--fail-on-high"], spark) == 1
     report = json.loads(text(first + "/report.json"))
-    assert {(f["pattern"], f["path"]) for f in report["findings"]} == {
-        ("GITHUB_TOKEN", "src/a.py"), ("X", "src/a.py")}
+    assert {(f["pattern"], f["path"], f["repo"]) for f in report["findings"]} == {
+        ("GITHUB_TOKEN", "src/a.py", "local"), ("X", "src/a.py", "local"),
+        ("SLACK_TOKEN", "sub/x.py", "sub")}
 
     (tree / "src/c.py").write_text(samples.line("GITLAB_PAT"))
     second = str(tmp_path / "two")

@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 from keysift.operators.path_audit import audit_paths
 from keysift.options import ScanOptions
-from keysift.sources import baseline, blame, files as file_source, logs, patterns
+from keysift.sources import baseline, blame, files as file_source, logs, patterns, tree
 
 
 @pytest.fixture()
-def tree(tmp_path):
+def root(tmp_path):
     def write(name, data):
         target = tmp_path / name
         target.parent.mkdir(parents=True, exist_ok=True)
@@ -17,21 +17,51 @@ def tree(tmp_path):
 
     write("top.txt", b"a\n")
     write("one/two/deep.txt", b"x")
-    write("sp ace+x%41/n\xc3\xbcll.txt".encode("latin-1").decode("utf-8"), b"b")
+    write("sp ace+x%41/nüll.txt", b"b")
     write("node_modules/m/i.js", b"c")
     write("bin.dat", b"\xff\xfe\x00bin")
     write("big.txt", b"y" * (1024 * 1024 + 1))
+    write(".env", b"e")
+    write("_pkg/__init__.py", b"i")
+    write(".git/HEAD", b"h")
+    write("one/.git/HEAD", b"h")
     write(tmp_path.name + "/again.txt", b"z")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    (tmp_path / "link.txt").symlink_to(tmp_path / "top.txt")
     return tmp_path
 
 
-def test_tree_scan_applies_all_limits(spark, tree):
-    got = file_source.scan_tree(spark, str(tree), ScanOptions(max_file_size_mb=1, max_depth=1))
+def test_tree_scan_applies_all_limits(spark, root):
+    got = tree.scan_tree(spark, str(root) + "/", ScanOptions(max_file_size_mb=1, max_depth=1))
     by_path = {r["path"]: r for r in got.collect()}
-    assert set(by_path) == {"top.txt", "sp ace+x%41/nüll.txt", "bin.dat", f"{tree.name}/again.txt"}
+    assert set(by_path) == {"top.txt", "sp ace+x%41/nüll.txt", "bin.dat", ".env",
+                            "_pkg/__init__.py", f"{root.name}/again.txt"}
     assert by_path["top.txt"]["content"] == "a\n"
     assert by_path["bin.dat"]["content"].endswith("\x00bin")
-    assert file_source.list_tree(spark, f"file://{tree}").count() == 7
+    assert by_path[".env"]["repo"] == "local"
+
+
+def test_listing_by_level_and_roots(spark, root):
+    listing = tree.list_tree(spark, str(root), skip_fragments=("/.git/", "/node_modules/"))
+    rows = {r["path"]: r for r in listing.collect()}
+    assert rows["one/two/deep.txt"]["size"] == 1 and rows["one/two"]["is_dir"]
+    assert "node_modules" in rows and "node_modules/m" not in rows and "link.txt" not in rows
+    assert {r["root"] for r in tree.tree_roots(listing).collect()} == {"", "one"}
+    assert max(p.count("/") for p in rows) == 2
+    flat = tree.list_tree(spark, str(root), max_depth=0)
+    assert all("/" not in r["path"] for r in flat.collect())
+
+
+def test_tree_by_uri_and_unreadable_places(spark, root):
+    by_uri = tree.list_tree(spark, f"file://{root}/one")
+    assert {r["path"] for r in by_uri.where("NOT is_dir").collect()} == {
+        "two/deep.txt", ".git/HEAD"}
+    missing = tree.list_tree(spark, str(root / "absent")).collect()
+    assert len(missing) == 1 and missing[0]["error"]
+    listing = tree.list_tree(spark, str(root), max_depth=0)
+    (root / "top.txt").unlink()
+    got = tree.scan_tree(spark, str(root), ScanOptions(), listing=listing).collect()
+    assert {r["path"]: r["content"] for r in got}["top.txt"] is None
 
 
 def test_limits_on_a_files_table(files):
