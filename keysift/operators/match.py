@@ -20,6 +20,7 @@ from keysift.catalog import PATTERNS, Pattern
 from keysift.functions import prefilter
 from keysift.operators.lines import split_lines_sql
 
+
 def _texts(by_line: Sequence[Pattern], by_file: Sequence[Pattern], use_prefilter: bool) -> Column:
     """Element 0 is the content for file patterns or null; element n is line n.
 
@@ -30,7 +31,6 @@ def _texts(by_line: Sequence[Pattern], by_file: Sequence[Pattern], use_prefilter
     if use_prefilter:
         whole = prefilter.file_condition("c", by_file) if by_file else "false"
         numbered = prefilter.file_condition("c", by_line) if by_line else "false"
-
     return F.expr(f"""
         get(transform(array(content), c -> concat(
             array(CASE WHEN {whole} THEN c END),
@@ -44,23 +44,20 @@ def _secrets(text: Column, pattern: Pattern, group: int | None = None) -> Column
     return F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(wanted))
 
 
-def _line_breaks(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n")))
+def _start_lines(content: Column, pattern: Pattern) -> Column:
+    """The line each match of a file pattern starts on.
+
+    A control character is put before every match; each line then gives its
+    number once per such character.  The work is linear in the size of the file.
+    """
+    mark = "\x01"
+    clean = F.replace(content, F.lit(mark), F.lit("\x02"))
+    marked = F.regexp_replace(clean, F.lit(pattern.regex), F.lit(mark + "$0"))
 
+    def repeated(line: Column, index: Column) -> Column:
+        return F.array_repeat(index + 1, F.length(line) - F.length(F.replace(line, F.lit(mark))))
 
-def _start_lines(content: Column, pattern: Pattern) -> Column:
-    """The line each match of a file pattern starts on: breaks in the text before it, plus one."""
-    whole = _secrets(content, pattern, 0)
-    between = F.split(content, pattern.regex)
-    # Line breaks before each match, and inside the match before that.
-    passed = F.zip_with(
-        between, F.concat(F.array(F.lit("")), whole), lambda gap, match:
-        _line_breaks(F.coalesce(gap, F.lit(""))) + _line_breaks(F.coalesce(match, F.lit(""))))
-    empty = F.array().cast("array<int>")
-    return F.aggregate(
-        passed, empty,
-        lambda lines, n: F.concat(
-            lines, F.array(F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit(1)) + n)))
+    return F.flatten(F.transform(F.split(marked, "\n"), repeated))
 
 
 def _applies(pattern: Pattern, use_prefilter: bool) -> Column:

@@ -54,7 +54,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     if args.max_depth is not None:
         options = options.with_(max_depth=args.max_depth)
     if args.local:
-        root = args.local if "://" in args.local else os.path.abspath(os.path.expanduser(args.local))
+        root = args.local
+        if "://" not in root:
+            root = os.path.abspath(os.path.expanduser(root))
         listing = list_tree(spark, root, options.max_depth, options.skip_fragments)
         files, roots = scan_tree(spark, root, options, listing=listing), tree_roots(listing)
     else:

@@ -471,7 +471,7 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = tables.document_files(spark, sf_dir)
     lang = F.substring_index("path", "/", 1)
     edited = before.where(lang != "es").withColumn(
-        "content", F.when(lang == "de", F.concat("content", F.lit("\n"))).otherwise(F.col("content")))
+        "content", F.concat("content", F.when(lang == "de", "\n").otherwise("")))
     after = edited.unionByName(tables.page_files(spark, sf_dir))
     return snapshot.snapshot_diff(before, after).select("repo", "path", "change")
 

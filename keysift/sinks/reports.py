@@ -96,7 +96,8 @@ def _now() -> str:
 def report_summary(findings: DataFrame) -> dict:
     """Counts for the report head: one row of levels and one row per pattern."""
     risk = risk_summary(findings).first()
-    by_pattern = {r["pattern"]: r["n_findings"] for r in pattern_summary(findings).toLocalIterator()}
+    counts = pattern_summary(findings).collect()
+    by_pattern = {r["pattern"]: r["n_findings"] for r in counts}
     return {
         "total_findings": risk["total_findings"],
         "by_risk_level": {k: risk[k] for k in ("high_risk", "medium_risk", "low_risk")},

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _HEADER = r"^([0-9a-f]{40}) ([0-9]+) ([0-9]+)(?: ([0-9]+))?"
-_META = "struct<author: string, email: string, author_time: bigint>"
+_AUTHOR = "struct<author: string, email: string, author_time: bigint>"
 
 
 def _field(block: Column, name: str) -> Column:
@@ -15,42 +15,42 @@ def _field(block: Column, name: str) -> Column:
     return F.when(found != "", found)
 
 
+def _author(block: Column) -> Column:
+    return F.struct(
+        _field(block, "author"),
+        F.translate(_field(block, "author-mail"), "<>", ""),
+        _field(block, "author-time").try_cast("bigint"),
+    ).cast(_AUTHOR)
+
+
+def _commit(block: Column) -> Column:
+    return F.regexp_extract(block, _HEADER, 1)
+
+
 def parse_porcelain(outputs: DataFrame) -> DataFrame:
     """(repo, path, porcelain) to one row per run of lines from one commit.
 
     One row holds the blame of one file.  Its text is cut into blocks, one per
     source line; a block that opens a run states the run's length.  Author lines
-    come once per commit, so they are kept in a map and looked up from the same
-    row: the whole parse needs neither a shuffle nor a window.
+    come once per commit, in the first block of it, and are looked up there for
+    the other runs of the commit: the whole parse needs neither a shuffle nor a
+    window.
     """
     blocks = F.split("porcelain", r"\n(?=[0-9a-f]{40} [0-9]+ [0-9]+)")
-
-    def commit_of(block: Column) -> Column:
-        return F.regexp_extract(block, _HEADER, 1)
-
-    def entry(block: Column) -> Column:
-        return F.struct(
-            commit_of(block).alias("key"),
-            F.struct(
-                _field(block, "author").alias("author"),
-                F.translate(_field(block, "author-mail"), "<>", "").alias("email"),
-                _field(block, "author-time").try_cast("bigint").alias("author_time"),
-            ).alias("value"),
-        )
-
-    described = F.filter("blocks", lambda b: _field(b, "author").isNotNull())
-    by_commit = F.map_from_entries(F.array_distinct(F.transform(described, entry)))
     opening = F.filter("blocks", lambda b: F.regexp_extract(b, _HEADER, 4) != "")
+    described = F.filter("blocks", lambda b: _field(b, "author").isNotNull())
     start = F.regexp_extract("block", _HEADER, 3).try_cast("int")
     length = F.regexp_extract("block", _HEADER, 4).try_cast("int")
+    known_at = F.array_position("commits", F.col("commit")).cast("int")
     return (
         outputs.select("repo", "path", blocks.alias("blocks"))
-        .select("repo", "path", by_commit.alias("commits"), F.explode(opening).alias("block"))
-        .select("repo", "path", "commits", start.alias("start_line"),
-                (start + length - 1).alias("end_line"),
-                commit_of(F.col("block")).alias("commit"))
+        .select("repo", "path", F.transform(described, _commit).alias("commits"),
+                F.transform(described, _author).alias("authors"),
+                F.explode(opening).alias("block"))
+        .select("repo", "path", "commits", "authors", start.alias("start_line"),
+                (start + length - 1).alias("end_line"), _commit(F.col("block")).alias("commit"))
         .select("repo", "path", "start_line", "end_line",
-                F.element_at("commits", F.col("commit")).cast(_META).alias("m"), "commit")
-        .select("repo", "path", "start_line", "end_line", "m.author", "m.email", "commit",
-                "m.author_time")
+                F.get("authors", known_at - 1).alias("a"), "commit")
+        .select("repo", "path", "start_line", "end_line", "a.author", "a.email", "commit",
+                "a.author_time")
     )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +19,7 @@ NESTED_REPEAT = r"\([^()]*[+*][^()]*\)[+*{]"
 
 
 def read_custom_patterns(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (name, regex, description) of ``{"patterns": [...]}``; rows without regex are dropped."""
+    """Rows (name, regex, description) of ``{"patterns": [...]}``, those without regex dropped."""
     raw = spark.read.schema(schemas.CUSTOM_PATTERNS).json(path, multiLine=True)
     rows = raw.select(F.inline("patterns"))
     return rows.where(F.coalesce(F.col("regex"), F.lit("")) != "").select(

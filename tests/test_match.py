@@ -35,6 +35,16 @@ def test_two_key_blocks_and_an_open_one(files):
     assert pem == {(p, n, i) for p in ("two", "crlf") for n, i in ((3, 1), (second, 2))}
 
 
+def test_many_blocks_in_one_file(files):
+    marker = samples.line("GCP_SERVICE_ACCOUNT")
+    rows = ["\x01 x", *[marker + " " + marker] * 3000, PEM]
+    found = find_matches(files(("r", "a", "\n".join(rows)))).collect()
+    lines_found = sorted((r["occurrence"], r["line"]) for r in found
+                         if r["pattern"] == "GCP_SERVICE_ACCOUNT")
+    assert lines_found == [(i + 1, 2 + i // 2) for i in range(6000)]
+    assert [r["line"] for r in found if r["pattern"] == "PEM_PRIVATE_KEY"] == [3002]
+
+
 def test_several_matches_on_one_line_are_numbered(files):
     token = samples.line("NPM_TOKEN")
     other = token[:-1] + "Z"
