@@ -31,59 +31,53 @@ _LIST_ROWS = 10_000
 _CHUNK_BYTES = 16 * 1024 * 1024
 _TASK_BYTES = 64 * 1024 * 1024
 
-_Entry = tuple[str, "int | None", bool, "str | None"]
+_Batches = Iterator[pd.DataFrame]
 
 
-def _local_entries(directory: str) -> Iterator[_Entry]:
-    with os.scandir(directory) as found:
-        for entry in found:
-            if entry.is_symlink():
-                continue
-            is_dir = entry.is_dir()
-            if is_dir or entry.is_file():
-                yield entry.name, None if is_dir else entry.stat().st_size, is_dir, None
+# The task functions are nested, so they travel to the workers whole and this
+# package need not be installed there.
 
 
-def _remote_entries(directory: str) -> Iterator[_Entry]:
-    system, inside = arrow_fs.FileSystem.from_uri(directory)
-    for info in system.get_file_info(arrow_fs.FileSelector(inside)):
-        is_dir = info.type == arrow_fs.FileType.Directory
-        yield info.base_name, None if is_dir else info.size, is_dir, None
+def _lister(root: str) -> Callable[[_Batches], _Batches]:
+    """A task that lists the directories it is given."""
 
+    def local_entries(directory: str) -> Iterator[tuple]:
+        with os.scandir(directory) as found:
+            for entry in found:
+                if entry.is_symlink():
+                    continue
+                is_dir = entry.is_dir()
+                if is_dir or entry.is_file():
+                    yield entry.name, None if is_dir else entry.stat().st_size, is_dir
 
-def _read(file: str) -> bytes:
-    if "://" not in file:
-        with open(file, "rb") as source:
-            return source.read()
-    system, inside = arrow_fs.FileSystem.from_uri(file)
-    with system.open_input_stream(inside) as source:
-        return source.read()
+    def remote_entries(directory: str) -> Iterator[tuple]:
+        system, inside = arrow_fs.FileSystem.from_uri(directory)
+        for info in system.get_file_info(arrow_fs.FileSelector(inside)):
+            is_dir = info.type == arrow_fs.FileType.Directory
+            yield info.base_name, None if is_dir else info.size, is_dir
 
-
-def _lister(root: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    entries_of = _remote_entries if "://" in root else _local_entries
-    columns = ["path", "size", "is_dir", "error"]
-
-    def frame(rows: list[_Entry]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=columns).astype({"size": "Int64"})
-
-    def entries(directory: str) -> Iterator[_Entry]:
+    def rows_of(directory: str) -> Iterator[tuple]:
+        entries = remote_entries if "://" in root else local_entries
         try:
-            for name, size, is_dir, error in entries_of(f"{root}/{directory}".rstrip("/")):
-                storable = name.encode("utf-8", "replace").decode()
+            for name, size, is_dir in entries(f"{root}/{directory}".rstrip("/")):
+                error, storable = None, name.encode("utf-8", "replace").decode()
                 if storable != name:
                     # The name cannot be kept as text and used to open the file later.
-                    name, error = storable, "name is not UTF-8"
-                yield f"{directory}/{name}".lstrip("/"), size, is_dir, error
+                    error = "name is not UTF-8"
+                yield f"{directory}/{storable}".lstrip("/"), size, is_dir, error
         except OSError as problem:
             yield directory, None, True, str(problem)
 
-    def list_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[_Entry] = []
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        columns = ["path", "size", "is_dir", "error"]
+        return pd.DataFrame(rows, columns=columns).astype({"size": "Int64"})
+
+    def list_all(batches: _Batches) -> _Batches:
+        rows: list[tuple] = []
         for batch in batches:
             for directory in batch["path"]:
-                for entry in entries(directory):
-                    rows.append(entry)
+                for row in rows_of(directory):
+                    rows.append(row)
                     if len(rows) >= _LIST_ROWS:
                         yield frame(rows)
                         rows = []
@@ -92,21 +86,32 @@ def _lister(root: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFra
     return list_all
 
 
-def _reader(root: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def read_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _reader(root: str) -> Callable[[_Batches], _Batches]:
+    """A task that adds the content of the files it is given."""
+
+    def read(file: str) -> bytes | None:
+        try:
+            if "://" not in file:
+                with open(file, "rb") as source:
+                    return source.read()
+            system, inside = arrow_fs.FileSystem.from_uri(file)
+            with system.open_input_stream(inside) as source:
+                return source.read()
+        except OSError:
+            return None
+
+    def read_all(batches: _Batches) -> _Batches:
+        columns = ["path", "size", "content"]
         rows, held = [], 0
         for batch in batches:
             for path, size in zip(batch["path"], batch["size"]):
-                try:
-                    content = _read(f"{root}/{path}")
-                except OSError:
-                    content = None
+                content = read(f"{root}/{path}")
                 rows.append((path, size, content))
                 held += len(content or b"")
                 if held >= _CHUNK_BYTES or len(rows) >= _LIST_ROWS:
-                    yield pd.DataFrame(rows, columns=["path", "size", "content"])
+                    yield pd.DataFrame(rows, columns=columns)
                     rows, held = [], 0
-        yield pd.DataFrame(rows, columns=["path", "size", "content"])
+        yield pd.DataFrame(rows, columns=columns)
 
     return read_all
 

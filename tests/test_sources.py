@@ -1,6 +1,10 @@
 import json
+import os
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from keysift.operators.path_audit import audit_paths
@@ -64,6 +68,25 @@ def test_tree_by_uri_and_unreadable_places(spark, root):
     assert {r["path"]: r["content"] for r in got}["top.txt"] is None
 
 
+def test_task_functions_run_without_the_package(root, tmp_path_factory):
+    """As on an executor that has pandas and Arrow but not this library."""
+    elsewhere = tmp_path_factory.mktemp("elsewhere")
+    tasks = [tree._lister(str(root)), tree._reader(str(root))]
+    (elsewhere / "tasks").write_bytes(cloudpickle.dumps(tasks))
+    code = """
+import pickle, sys, pandas as pd
+assert not any("keysift" in p or p == "/root/repo" for p in sys.path)
+lister, reader = pickle.load(open("tasks", "rb"))
+found = pd.concat(lister(iter([pd.DataFrame({"path": ["one/two"]})])))
+content = pd.concat(reader(iter([found])))
+print(list(found["path"]), list(content["content"]))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", code], cwd=elsewhere, env=env, text=True,
+                         capture_output=True, check=True)
+    assert run.stdout.strip() == "['one/two/deep.txt'] [b'x']"
+
+
 def test_limits_on_a_files_table(files):
     df = files(("r", "a.py", "x"), ("r", "vendor/a.py", "x"), ("r", "a/b/c/d.py", "x"),
                ("r", "big", "x" * (1024 * 1024 + 1)), ("r", "a/vendor.py", "x"))
