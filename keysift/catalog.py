@@ -17,6 +17,7 @@ Neither holds a quote or a backslash.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
@@ -168,6 +169,15 @@ PATTERNS: tuple[Pattern, ...] = (
 )
 
 
+def leading_text(regex: str) -> str:
+    """Plain characters that every match begins with, or nothing when that is not certain."""
+    if "|" in regex or "(?" in regex:
+        return ""
+    plain = re.match("[A-Za-z0-9_/@=-]*", regex)[0]
+    # A quantifier may make the last character optional.
+    return plain[:-1] if regex[len(plain):][:1] in ("?", "*", "{") else plain
+
+
 def custom_pattern(
     name: str | None,
     regex: str,
@@ -175,7 +185,13 @@ def custom_pattern(
     severity: str = "MEDIUM",
     hints: tuple[str, ...] = (),
 ) -> Pattern:
-    """A user pattern.  The whole match counts as the secret."""
+    """A user pattern.  The whole match counts as the secret.
+
+    Without hints, a plain beginning of the regex serves as one.
+    """
+    beginning = leading_text(regex)
+    if not hints and len(beginning) >= 3:
+        hints = (beginning,)
     return Pattern(
         name or "CUSTOM_PATTERN", severity, "custom", regex,
         hints=hints, description=description or "",

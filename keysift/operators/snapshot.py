@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # 256 bits of a file hash as hexadecimal slices that fit a bigint.
 _SLICES = ((1, 15), (16, 15), (31, 15), (46, 15), (61, 4))
 
 
-def _content_hash():
+def _content_hash() -> Column:
     """A file without content counts as empty."""
     return F.sha2(F.coalesce("content", F.lit("")), 256)
 
@@ -19,17 +19,30 @@ def file_hashes(files: DataFrame) -> DataFrame:
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(repo, path, change): added, removed, changed or same.  Only hashes are shuffled."""
-    old = file_hashes(before).withColumnRenamed("content_hash", "hash_before")
-    new = file_hashes(after).withColumnRenamed("content_hash", "hash_after")
+    """(repo, path, change): added, removed, changed or same.
+
+    Only hashes are shuffled, and each task combines its rows per file first.  If a
+    snapshot holds a path several times, its copies count as one file that is the
+    same when their number and their least and greatest hash are.
+    """
+    both = file_hashes(before).withColumn("side", F.lit(0)).unionByName(
+        file_hashes(after).withColumn("side", F.lit(1)))
+
+    def of(side: int) -> Column:
+        return F.when(F.col("side") == side, F.col("content_hash"))
+
+    per_file = both.groupBy("repo", "path").agg(
+        F.min(of(0)).alias("hash_before"),
+        F.min(of(1)).alias("hash_after"),
+        (F.max(of(0)).eqNullSafe(F.max(of(1))) & (F.count(of(0)) == F.count(of(1)))).alias("_rest"),
+    )
     change = (
         F.when(F.col("hash_before").isNull(), "added")
         .when(F.col("hash_after").isNull(), "removed")
-        .when(F.col("hash_before") != F.col("hash_after"), "changed")
-        .otherwise("same")
+        .when((F.col("hash_before") == F.col("hash_after")) & F.col("_rest"), "same")
+        .otherwise("changed")
     )
-    return old.join(new, ["repo", "path"], "full").select(
-        "repo", "path", change.alias("change"), "hash_before", "hash_after")
+    return per_file.select("repo", "path", change.alias("change"), "hash_before", "hash_after")
 
 
 def tree_digest(files: DataFrame) -> DataFrame:
@@ -42,7 +55,7 @@ def tree_digest(files: DataFrame) -> DataFrame:
     identity = F.sha2(F.concat_ws("\n", "repo", "path", _content_hash()), 256)
     hashed = files.select(identity.alias("h"))
 
-    def slice_sum(at: int, size: int):
+    def slice_sum(at: int, size: int) -> Column:
         number = F.conv(F.substring("h", at, size), 16, 10).cast("decimal(20,0)")
         return F.coalesce(F.sum(number), F.lit(0)).cast("string")
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
-def _level(name: str):
+def _level(name: str) -> Column:
     return F.count_if(F.col("risk_level") == name)
 
 

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import samples
-from keysift.catalog import PATTERNS, SEVERITIES, Pattern, custom_pattern
+from keysift.catalog import PATTERNS, SEVERITIES, Pattern, custom_pattern, leading_text
 from keysift.operators.match import find_matches
 from keysift.remediation import template_for, templates
 
@@ -66,6 +66,25 @@ def test_every_match_holds_a_hint():
             assert any(h in text for h in pattern.hints)
 
 
+@pytest.mark.parametrize("regex,beginning", [
+    ("mycompany_api_[A-Za-z0-9]{32}", "mycompany_api_"), ("abc?d", "ab"), ("abc*", "ab"),
+    ("abcd{0,2}x", "abc"), ("abc+", "abc"), ("abc|xyz", ""), ("(?i)abc", ""), ("[ab]cde", ""),
+    ("^abc", ""), ("abc\\.def", "abc"), ("abc(d|e)", ""), ("it's", "it"), ("abc.d", "abc"),
+])
+def test_beginning_of_a_user_regex(regex, beginning):
+    assert leading_text(regex) == beginning
+    assert custom_pattern("X", regex).hints == ((beginning,) if len(beginning) > 2 else ())
+
+
+def test_user_regex_with_a_beginning_loses_nothing(files):
+    custom = [custom_pattern(None, r) for r in ("abcd?e", "key-[0-9]{3}", "xyz+", "ab|cd")]
+    df = files(("r", "a", "abce abcde\nkey-123\nxy xyzz\nab cd"), ("r", "b", "plain\nKEY-123"))
+    found = find_matches(df, custom, builtin=()).collect()
+    assert sorted((r["line"], r["secret"]) for r in found) == [
+        (1, "ab"), (1, "ab"), (1, "abcde"), (1, "abce"), (1, "cd"), (2, "key-123"), (3, "xyzz"),
+        (4, "ab"), (4, "cd")]
+
+
 def test_hint_with_quote_is_refused():
     with pytest.raises(ValueError):
         Pattern("X", "LOW", "c", "a", hints=("it's",))

@@ -214,6 +214,10 @@ def test_snapshots(files):
     got = {r["path"]: r["change"] for r in snapshot.snapshot_diff(before, after).collect()}
     assert got == {"same": "same", "edit": "changed", "gone": "removed", "new": "added",
                    "null": "same"}
+    copies = files(*[("r", "c", "x")] * 3, ("r", "d", "x"), ("r", "d", "y"))
+    fewer = files(*[("r", "c", "x")] * 2, ("r", "d", "y"), ("r", "d", "x"))
+    got = {r["path"]: r["change"] for r in snapshot.snapshot_diff(copies, fewer).collect()}
+    assert got == {"c": "changed", "d": "same"}
     assert snapshot.is_unchanged(before, before.repartition(7))
     assert not snapshot.is_unchanged(before, after)
     assert snapshot.tree_digest(before.limit(0)).first()["n_files"] == 0
