@@ -24,16 +24,14 @@ def with_blame(findings: DataFrame, blame: DataFrame) -> DataFrame:
 
     Both sides meet on (repo, path, bucket of lines), so a file with very many
     findings is spread over its buckets and a finding is compared with the few
-    ranges of its own bucket only.  Ranges of a file must not overlap
-    (``overlapping_ranges`` lists offenders).
+    ranges of its own bucket only.  Copies of a range count once; other ranges of
+    a file must not overlap (``overlapping_ranges`` lists offenders).
     """
-    ranges = _by_bucket(blame).select(
-        "repo", "path", "_bucket", "start_line", "end_line",
-        F.struct(
-            "author", "email", "commit",
-            F.timestamp_seconds("author_time").alias("authored_at"),
-        ).alias("git_blame"),
-    )
+    author = F.struct(
+        "author", "email", "commit", F.timestamp_seconds("author_time").alias("authored_at"))
+    ranges = _by_bucket(blame).groupBy(
+        "repo", "path", "_bucket", "start_line", "end_line"
+    ).agg(F.min(author).alias("git_blame"))
     asked = findings.withColumn("_bucket", F.floor(F.col("line") / BUCKET_LINES)).alias("f")
     on = (
         (F.col("f.repo") == F.col("b.repo"))
@@ -46,15 +44,19 @@ def with_blame(findings: DataFrame, blame: DataFrame) -> DataFrame:
 
 
 def overlapping_ranges(blame: DataFrame) -> DataFrame:
-    """Ranges that begin before an earlier range of their file has ended.
+    """Ranges that begin before an earlier range of their file has ended, or are there twice.
 
     Ranges are cut at bucket borders; two ranges overlap exactly when their
     pieces do in some bucket, so no window spans a whole file.
     """
     low = F.col("_bucket") * BUCKET_LINES
-    pieces = _by_bucket(blame).withColumn(
-        "_from", F.greatest(F.col("start_line"), low)
-    ).withColumn("_to", F.least(F.col("end_line"), low + BUCKET_LINES - 1))
+    pieces = (
+        _by_bucket(blame)
+        .groupBy(*blame.columns, "_bucket")
+        .agg(F.count(F.lit(1)).alias("_copies"))
+        .withColumn("_from", F.greatest(F.col("start_line"), low))
+        .withColumn("_to", F.least(F.col("end_line"), low + BUCKET_LINES - 1))
+    )
     before = (
         Window.partitionBy("repo", "path", "_bucket")
         .orderBy("_from", "start_line", "end_line", "commit")
@@ -62,7 +64,7 @@ def overlapping_ranges(blame: DataFrame) -> DataFrame:
     )
     return (
         pieces.withColumn("_reached", F.max("_to").over(before))
-        .where(F.col("_from") <= F.col("_reached"))
+        .where((F.col("_from") <= F.col("_reached")) | (F.col("_copies") > 1))
         .select(*blame.columns)
         .distinct()
     )

@@ -150,6 +150,9 @@ def test_blame_covering_gap_and_outside(spark, files):
         assert (who["author"] if who else None) == want
     assert got[("a", 1)]["authored_at"].year == 2023
     assert blame.overlapping_ranges(ranges).count() == 0
+    copied = ranges.unionByName(ranges)
+    assert blame.with_blame(found, copied).count() == 401
+    assert blame.overlapping_ranges(copied).count() == 3
 
 
 def test_overlaps_equal_brute_force(spark):
