@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 # A side is broadcast only when both counts were measured and are below these.
 BROADCAST_ROWS = 500_000
 BROADCAST_KEY_BYTES = 64 * 1024 * 1024
+# A larger key table is repeated once per salt, but not beyond so many rows.
 SALTS = 32
+SALTED_ROWS = 8_000_000
 
 
 @functools.cache
@@ -70,13 +72,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(slots, *keys)
 
 
-def fits_broadcast(df: DataFrame, key: str) -> bool:
-    """Measure a side before broadcasting it."""
-    measured = df.agg(
+def _measure(keys: DataFrame, key: str) -> tuple[int, int]:
+    """Rows and key bytes of a table."""
+    found = keys.agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.octet_length(key)), F.lit(0)).alias("size"),
     ).first()
-    return measured["n"] <= BROADCAST_ROWS and measured["size"] <= BROADCAST_KEY_BYTES
+    return found["n"], found["size"]
 
 
 def join_keys(
@@ -90,17 +92,23 @@ def join_keys(
 ) -> DataFrame:
     """Join wide rows that may have hot keys with a table that is unique on ``key``.
 
-    A measured-small table is broadcast and the wide side does not move.  A larger
-    one is joined on (key, salt): the rows of a hot key are dealt over ``salts``
-    tasks by a hash of ``spread_by`` and the table is repeated once per salt.
-    To be measured and then used, the table is stored first, so what it comes
-    from runs once.
+    The table is stored first, so that measuring it does not repeat what it comes
+    from.  A small one is broadcast and the wide side does not move.  A middling
+    one is joined on (key, salt): the rows of a hot key are dealt over salts by a
+    hash of ``spread_by`` and the table is repeated once per salt, up to
+    ``SALTED_ROWS`` in all.  Beyond that both sides are shuffled by key alone, and
+    since the stored table is shuffled straight from its files, the adaptive skew
+    join can split the partition of a hot key.
     """
     if broadcast is None:
         keys = materialize(keys, "keys")
-        broadcast = fits_broadcast(keys, key)
+        rows, size = _measure(keys, key)
+        broadcast = rows <= BROADCAST_ROWS and size <= BROADCAST_KEY_BYTES
+        salts = min(salts, SALTED_ROWS // max(rows, 1))
     if broadcast:
         return df.join(F.broadcast(keys), key, how)
+    if salts < 2:
+        return df.join(keys, key, how)
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     return df.withColumn("_salt", salt).join(

@@ -77,6 +77,8 @@ def test_hot_secret_against_a_large_baseline(spark, reused, monkeypatch):
     small = plain(incremental.new_findings(found, hashes))
     monkeypatch.setattr("keysift.session.BROADCAST_ROWS", 0)
     assert plain(incremental.new_findings(found, hashes)) == small
+    monkeypatch.setattr("keysift.session.SALTED_ROWS", 0)
+    assert plain(incremental.new_findings(found, hashes)) == small
     assert plain(incremental.new_findings(found, hashes, deduplicated=True)) == small
     assert len(small) == 1
 
