@@ -25,10 +25,11 @@ def rows(values):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    own = entry._queries.QUERIES
+    assert set(own) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     got = entry.queries()[name](spark, SF)
     result = duck.execute(entry.oracle_sql()[name])
