@@ -6,17 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keysift.llm import digest, langid, mixing, simhash, warc
+import corpus_pipeline
+from keysift.llm import (
+    digest, knn, langid, linededup, mixing, pieces, pii, pitmanyor, simhash, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_pieces": pieces.op3_pieces,
+    "op4_language_model": pitmanyor.op4_language_model,
+    "op5_line_dedup": linededup.op5_line_dedup,
+    "op6_personal_data": pii.op6_personal_data,
     "op7_simhash_near_duplicates": simhash.op7_simhash_near_duplicates,
     "op8_language_id": langid.op8_language_id,
+    "op9_exact_top_k": knn.op9_exact_top_k,
     "op10_document_fingerprints": digest.op10_document_fingerprints,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {
     "op1_warc": warc.SQL,
     "op2_mix_sources": mixing.SQL,
+    "op9_exact_top_k": knn.SQL,
 }
