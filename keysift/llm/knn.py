@@ -69,7 +69,7 @@ def best(scores: np.ndarray, ids: np.ndarray, top: int) -> np.ndarray:
 def _pivots(vectors: DataFrame, n: int) -> list[np.ndarray]:
     """A bounded sample: the vectors with the smallest hashes of their ids."""
     drawn = vectors.where("vec_id IS NOT NULL").orderBy(F.xxhash64("vec_id"), "vec_id").limit(n)
-    table = pa.Table.from_batches(drawn.select("embedding").toArrow().to_batches())
+    table = drawn.select("embedding").toArrow()
     chunks = table.column("embedding").combine_chunks() if table.num_rows else []
     found = [x for x in (whole(chunks) if table.num_rows else []) if x is not None]
     return [np.array(x) for x in dict.fromkeys(tuple(x.tolist()) for x in found)]
