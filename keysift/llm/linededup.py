@@ -168,7 +168,8 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 ], ["row", "text", "n_lines", "n_deleted", "runs", "left"])
 
     kind = docs.schema["row"].dataType.simpleString()
-    return rows.join(spans, "at", "left").select("row", "text", "spans").mapInArrow(
+    # Texts are shuffled once at every size; whether the spans could be broadcast is left out of it.
+    return rows.join(spans.hint("merge"), "at", "left").select("row", "text", "spans").mapInArrow(
         task, f"row {kind}, text string, n_lines long, n_deleted long, runs string, left boolean")
 
 
