@@ -130,7 +130,7 @@ def mix(docs: DataFrame) -> DataFrame:
                     .alias("row"), DOCUMENT), "rows")  # the numbers of the rows have to stay
     taken = copies(rows.select("row", f"{DOCUMENT}.source", f"{DOCUMENT}.text"))
     taken = materialize(taken.where("copies > 0").select("row.at", "copies"), "taken")
-    return rows.join(taken, F.col("row.at") == F.col("at")).select(
+    return rows.join(taken.hint("merge"), F.col("row.at") == F.col("at")).select(
         DOCUMENT, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(
         f"{DOCUMENT}.*")
 

@@ -164,4 +164,5 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     kept = near_duplicates(rows).groupBy("label").agg(F.min(F.struct(
         F.col("row.doc_id").isNull(), "row.doc_id", "row.at")).alias("first"))
     kept = materialize(kept.select(F.col("first.at").alias("kept_at")), "kept")
-    return rows.join(kept, F.col("row.at") == F.col("kept_at")).select(f"{DOCUMENT}.*")
+    return rows.join(kept.hint("merge"), F.col("row.at") == F.col("kept_at")).select(
+        f"{DOCUMENT}.*")
