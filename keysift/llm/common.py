@@ -7,12 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysift.session import materialize, new_scratch
 
 __all__ = ["materialize", "new_scratch", "read_table", "remainder", "slices", "byte_lists",
+           "with_place",
            "word_count", "DOCUMENT"]
 
 # Bytes of text that a task holds in Python objects at a time.
@@ -38,6 +40,24 @@ def word_count(text: Column) -> Column:
     return F.length(F.translate(marked, WORD_GAPS, "")).cast("long")
 
 
+def with_place(df: DataFrame) -> DataFrame:
+    """``df`` with ``at``, which tells its rows apart and is the same whenever they are read.
+
+    Rows of files are told apart by file and place in it.  Rows that come from elsewhere are stored
+    and numbered.
+    """
+    try:
+        place = df.metadataColumn("_metadata")
+        found = df.withColumn("at", F.struct(
+            F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("number")))
+        found.schema  # noqa: B018  raises if the rows are not those of files
+        return found
+    except AnalysisException:
+        number = F.monotonically_increasing_id()
+        return materialize(df.withColumn("at", F.struct(
+            F.lit(0).cast("long").alias("file"), number.alias("number"))), "rows")
+
+
 def slices(
     batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keysift.llm.common import DOCUMENT, materialize, read_table, slices, word_count
+from keysift.llm.common import DOCUMENT, materialize, read_table, slices, with_place, word_count
 
 MIN_WORDS = 50
 
@@ -150,8 +150,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     stays null, an empty one has one empty line.  Runs below ``min_words`` words stay.  Of repeated
     rows all but one lose their repeated runs.  An empty table gives no rows.
     """
-    rows = docs.select("row", "text", F.monotonically_increasing_id().alias("at"))
-    rows = materialize(rows, "rows")  # the numbers of the rows have to stay as they are
+    rows = with_place(docs.select("row", "text"))
     spans = later_copies(rows.select("at", F.col("row.doc_id").alias("doc_id"), "text"), min_words)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

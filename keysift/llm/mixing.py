@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keysift.llm.common import DOCUMENT, materialize, read_table, word_count
+from keysift.llm.common import DOCUMENT, materialize, read_table, with_place, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -124,13 +124,13 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The documents of the mix; one taken twice is there twice."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(DOCUMENT))
-    rows = materialize(
-        rows.select(F.struct(f"{DOCUMENT}.doc_id", F.monotonically_increasing_id().alias("at"))
-                    .alias("row"), DOCUMENT), "rows")  # the numbers of the rows have to stay
-    taken = copies(rows.select("row", f"{DOCUMENT}.source", f"{DOCUMENT}.text"))
-    taken = materialize(taken.where("copies > 0").select("row.at", "copies"), "taken")
-    return rows.join(taken.hint("merge"), F.col("row.at") == F.col("at")).select(
+    rows = with_place(docs.select("doc_id", "source", "text", F.struct(
+        *[F.col(f"`{c}`") for c in docs.columns]).alias(DOCUMENT)))
+    taken = copies(rows.select(F.struct("doc_id", "at").alias("row"), "source", "text"))
+    taken = materialize(taken.where("copies > 0").select(
+        F.col("row.at").alias("taken_at"), "copies"), "taken")
+    return rows.select("at", DOCUMENT).join(
+        taken.hint("merge"), F.col("at") == F.col("taken_at")).select(
         DOCUMENT, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(
         f"{DOCUMENT}.*")
 

@@ -32,9 +32,11 @@ from keysift.llm.common import read_table, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-_BATCH_BYTES = 8 << 20
+_BATCH_BYTES = 2 << 20
+# Characters of new words that are matched at a time.
+_INDEXED = 1 << 18
 # Words whose ids a task keeps; it begins anew beyond that.
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 300_000
 _NEVER = np.int64(1) << 40
 
 
@@ -324,6 +326,15 @@ class Encoder:
             grown[begins[i]:begins[i] + len(data)] = self.p.byte_ids[list(data)]
         return grown, np.bincount(word, times, counts.size).astype(np.int64)
 
+    def _learn(self, words: list[str]) -> None:
+        found, start, held = [(self.ids, self.counts)], 0, 0
+        for i, word in enumerate(words, 1):
+            held += len(word)
+            if held >= _INDEXED or i == len(words):
+                found.append(self.words(words[start:i]))
+                start, held = i, 0
+        self.ids, self.counts = (np.concatenate(x) for x in zip(*found))
+
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
         found = [self.pattern.findall(self.model.normalize(t)) if t else [] for t in texts]
@@ -333,9 +344,7 @@ class Encoder:
         number, known = self.number, len(self.number)
         codes = np.array([number.setdefault(w, len(number)) for f in found for w in f], np.int64)
         if len(number) > known:
-            ids, counts = self.words(list(itertools.islice(number, known, None)))
-            self.ids = np.concatenate((self.ids, ids))
-            self.counts = np.concatenate((self.counts, counts))
+            self._learn(list(itertools.islice(number, known, None)))
         ids, counts = self.ids, self.counts
         begins, each = (np.cumsum(counts) - counts)[codes], counts[codes]
         at = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
@@ -344,25 +353,52 @@ class Encoder:
         return ids[np.repeat(begins, each) + at], total[ends] - total[ends - sizes]
 
 
-def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """(row, ids array<int>) for each row of ``docs`` (row, text).
+class Decoder:
+    """Joins pieces to texts again."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        model = sentencepiece.SentencePieceProcessor(model_proto=pieces.proto)
+        self.first = model.normalize("a")[:1] == BLANK  # a blank was put before the text
+        self.pieces = pieces.texts
+
+    def texts(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        if ids.size and (ids.min() < 0 or ids.max() >= len(self.pieces)):
+            raise ValueError("an id outside the vocabulary")
+        found, at = [], 0
+        for n in counts.tolist():
+            text = b"".join([self.pieces[i] for i in ids[at:at + n].tolist()]).decode("utf-8", "replace")
+            found.append(text[1:] if self.first and text[:1] == " " else text)
+            at += n
+        return found
+
+
+def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
+
+
+def encode(docs: DataFrame, path: str = MODEL, decoded: bool = False) -> DataFrame:
+    """(row, ids array<int>) for each row of ``docs`` (row, text); with ``decoded`` also the text
+    that the ids decode to.
 
     Null and empty texts have no ids.  Texts are taken whole; repeated rows stay repeated.
     """
     pieces = Pieces.load(path)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(pieces)
+        encoder, decoder = Encoder(pieces), Decoder(pieces)
         for batch in batches:
             for part in slices(batch, limit=_BATCH_BYTES):
                 ids, counts = encoder.texts(part.column("text").to_pylist())
-                offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), pa.ListArray.from_arrays(offsets, pa.array(ids))],
-                    ["row", "ids"])
+                columns, names = [part.column("row"), _lists(ids, counts)], ["row", "ids"]
+                if decoded:
+                    columns.append(pa.array(decoder.texts(ids, counts), pa.string()))
+                    names.append("decoded")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema["row"].dataType.simpleString()
-    return docs.select("row", "text").mapInArrow(task, f"row {kind}, ids array<int>")
+    return docs.select("row", "text").mapInArrow(
+        task, f"row {kind}, ids array<int>" + (", decoded string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -371,27 +407,17 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     Bytes that are no UTF-8 become U+FFFD.  An id that the model does not have is an error.
     """
     pieces = Pieces.load(path)
-    first = sentencepiece.SentencePieceProcessor(model_proto=pieces.proto).normalize("a")[:1] == BLANK
-    texts = pieces.texts
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def one(ids: np.ndarray) -> str:
-            found = b"".join([texts[i] for i in ids]).decode("utf-8", "replace")
-            return found[1:] if first and found[:1] == " " else found
-
+        decoder = Decoder(pieces)
         for batch in batches:
-            column = batch.column("ids")
-            values = column.values.to_numpy()
-            if values.size and (values.min() < 0 or values.max() >= len(texts)):
-                raise ValueError("an id outside the vocabulary")
-            offsets, null = column.offsets.to_pylist(), column.is_null().to_pylist()
             for at in range(0, batch.num_rows, 512):
-                to = min(at + 512, batch.num_rows)
-                found = ["" if null[i] else one(values[offsets[i]:offsets[i + 1]].tolist())
-                         for i in range(at, to)]
+                part = batch.slice(at, 512)
+                column = part.column("ids")
+                counts = np.array([len(x) if x.is_valid else 0 for x in column], np.int64)
+                texts = decoder.texts(column.flatten().to_numpy(), counts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").slice(at, to - at), pa.array(found, pa.string())],
-                    ["row", "text"])
+                    [part.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
     kind = encoded.schema["row"].dataType.simpleString()
     return encoded.select("row", "ids").mapInArrow(task, f"row {kind}, text string")
@@ -400,23 +426,18 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the comma-joined ids), text_sha256 (of the decoded text) and
     same (whether it is the text that was encoded; a null text decodes to an empty one)."""
-    text = F.coalesce("text", F.lit(""))
-    docs = read_table(spark, sf_dir, "documents").select(
-        F.struct("doc_id", F.sha2(text, 256).alias("was")).alias("row"), "text")
-    ids = encode(docs).select("ids", F.struct(
-        "row.*", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256")
-    ).alias("row"))
-    back = decode(ids).select("row.*", F.sha2("text", 256).alias("text_sha256"))
-    return back.select("doc_id", "n_tokens", "ids_sha256", "text_sha256",
-                       (F.col("text_sha256") == F.col("was")).alias("same"))
+    docs = read_table(spark, sf_dir, "documents").select(F.struct(
+        "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("was")).alias("row"), "text")
+    return encode(docs, decoded=True).select(
+        "row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("text_sha256"),
+        (F.sha2("decoded", 256) == F.col("row.was")).alias("same"))
 
 
 def tokenize(docs: DataFrame) -> DataFrame:
     """The documents with ``ids``, ``n_tokens`` and ``decoded``, the text made of the ids again."""
     new = ("ids", "n_tokens", "decoded")
     columns = [F.col(f"`{c}`") for c in docs.columns if c not in new]
-    found = encode(docs.select(F.struct(*columns).alias("row"), "text"))
-    back = decode(found.select(F.struct("row.*", "ids").alias("row"), "ids"))
-    return back.select("row.*", F.size("row.ids").cast("long").alias("n_tokens"),
-                       F.col("text").alias("decoded"))
+    found = encode(docs.select(F.struct(*columns).alias("row"), "text"), decoded=True)
+    return found.select("row.*", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded")

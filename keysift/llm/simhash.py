@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysift.llm.common import DOCUMENT, byte_lists, materialize, read_table, slices
+from keysift.llm.common import DOCUMENT, byte_lists, materialize, read_table, slices, with_place
 from keysift.llm.components import components
 
 SEED = 42
@@ -157,12 +157,10 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Of repeated rows with that id, and in components without any id, one row stays too.
     """
-    rows = docs.select(F.struct(
-        "doc_id", F.monotonically_increasing_id().alias("at")).alias("row"), "text",
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(DOCUMENT))
-    rows = materialize(rows, "rows")  # the numbers of the rows have to stay as they are
-    kept = near_duplicates(rows).groupBy("label").agg(F.min(F.struct(
+    rows = with_place(docs.select("doc_id", "text", F.struct(
+        *[F.col(f"`{c}`") for c in docs.columns]).alias(DOCUMENT)))
+    kept = near_duplicates(rows.select(F.struct("doc_id", "at").alias("row"), "text")).groupBy("label").agg(F.min(F.struct(
         F.col("row.doc_id").isNull(), "row.doc_id", "row.at")).alias("first"))
     kept = materialize(kept.select(F.col("first.at").alias("kept_at")), "kept")
-    return rows.join(kept.hint("merge"), F.col("row.at") == F.col("kept_at")).select(
-        f"{DOCUMENT}.*")
+    return rows.select("at", DOCUMENT).join(
+        kept.hint("merge"), F.col("at") == F.col("kept_at")).select(f"{DOCUMENT}.*")
