@@ -72,7 +72,7 @@ PATTERNS: tuple[Pattern, ...] = (
     Pattern("AWS_ACCESS_KEY_ID", "CRITICAL", "cloud", "A[KS]IA[0-9A-Z]{16}",
             lead="(?:^|[^A-Z0-9])", tail="(?:[^A-Z0-9]|$)", hints=("AKIA", "ASIA"),
             description="AWS access key id"),
-    Pattern("AWS_SECRET_ACCESS_KEY", "CRITICAL", "cloud", "[a-z0-9/+=]{40}",
+    Pattern("AWS_SECRET_ACCESS_KEY", "CRITICAL", "cloud", "[a-z0-9/+=]{40,}",
             lead="aws[a-z_]{0,20}secret[a-z_]{0,20}" + _ASSIGN, ignore_case=True, hints=("aws",),
             description="AWS secret access key"),
     Pattern("GCP_SERVICE_ACCOUNT", "CRITICAL", "cloud", r'"type"[ \t]*:[ \t]*"service_account"',
@@ -85,40 +85,40 @@ PATTERNS: tuple[Pattern, ...] = (
             hints=("AIza",), description="Firebase or Google API key"),
     Pattern("AZURE_STORAGE_KEY", "CRITICAL", "cloud", "[A-Za-z0-9+/]{86}==",
             lead="AccountKey=", hints=("AccountKey=",), description="Azure storage account key"),
-    Pattern("AZURE_CLIENT_SECRET", "CRITICAL", "cloud", "[a-z0-9~._-]{34,40}",
+    Pattern("AZURE_CLIENT_SECRET", "CRITICAL", "cloud", "[a-z0-9~._-]{34,}",
             lead="azure[a-z_]{0,20}secret" + _ASSIGN, ignore_case=True, hints=("azure",),
             description="Azure client secret"),
-    Pattern("GITHUB_TOKEN", "CRITICAL", "source_control", "gh[pou]_[A-Za-z0-9]{36}",
+    Pattern("GITHUB_TOKEN", "CRITICAL", "source_control", "gh[pou]_[A-Za-z0-9]{36,}",
             hints=("ghp_", "gho_", "ghu_"), description="GitHub access token"),
-    Pattern("GITHUB_APP_TOKEN", "CRITICAL", "source_control", "gh[sr]_[A-Za-z0-9]{36}",
+    Pattern("GITHUB_APP_TOKEN", "CRITICAL", "source_control", "gh[sr]_[A-Za-z0-9]{36,}",
             hints=("ghs_", "ghr_"), description="GitHub app token"),
     Pattern("GITHUB_FINE_GRAINED_PAT", "CRITICAL", "source_control",
-            "github_pat_[A-Za-z0-9_]{22,90}", hints=("github_pat_",),
+            "github_pat_[A-Za-z0-9_]{22,}", hints=("github_pat_",),
             description="GitHub fine-grained access token"),
-    Pattern("GITLAB_PAT", "CRITICAL", "source_control", "glpat-[A-Za-z0-9_-]{20}",
+    Pattern("GITLAB_PAT", "CRITICAL", "source_control", "glpat-[A-Za-z0-9_-]{20,}",
             hints=("glpat-",), description="GitLab access token"),
-    Pattern("SLACK_TOKEN", "HIGH", "messaging", "xox[pbar]-[0-9A-Za-z-]{10,72}",
+    Pattern("SLACK_TOKEN", "HIGH", "messaging", "xox[pbar]-[0-9A-Za-z-]{10,}",
             hints=("xox",), description="Slack token"),
     Pattern("SLACK_WEBHOOK", "HIGH", "messaging",
             r"https://hooks\.slack\.com/services/T[A-Z0-9]{6,12}/B[A-Z0-9]{6,12}/[A-Za-z0-9]{20,28}",
             hints=("hooks.slack.com",), description="Slack incoming webhook"),
     Pattern("DISCORD_BOT_TOKEN", "HIGH", "messaging",
-            r"[MN][A-Za-z0-9]{23,25}\.[A-Za-z0-9_-]{6}\.[A-Za-z0-9_-]{27,38}",
+            r"[MN][A-Za-z0-9]{23,25}\.[A-Za-z0-9_-]{6}\.[A-Za-z0-9_-]{27,}",
             shape="[MN][A-Za-z0-9]{23,25}[.]", description="Discord bot token"),
     Pattern("DISCORD_WEBHOOK", "HIGH", "messaging",
-            r"https://discord(?:app)?\.com/api/webhooks/[0-9]{17,20}/[A-Za-z0-9_-]{60,72}",
+            r"https://discord(?:app)?\.com/api/webhooks/[0-9]{17,20}/[A-Za-z0-9_-]{60,}",
             hints=("/api/webhooks/",), description="Discord webhook"),
-    Pattern("STRIPE_SECRET_KEY", "CRITICAL", "payment", "sk_live_[0-9A-Za-z]{16,99}",
+    Pattern("STRIPE_SECRET_KEY", "CRITICAL", "payment", "sk_live_[0-9A-Za-z]{16,}",
             hints=("sk_live_",), description="Stripe secret key"),
-    Pattern("STRIPE_RESTRICTED_KEY", "CRITICAL", "payment", "rk_live_[0-9A-Za-z]{16,99}",
+    Pattern("STRIPE_RESTRICTED_KEY", "CRITICAL", "payment", "rk_live_[0-9A-Za-z]{16,}",
             hints=("rk_live_",), description="Stripe restricted key"),
     Pattern("PAYPAL_BRAINTREE_TOKEN", "CRITICAL", "payment",
             r"access_token\$production\$[0-9a-z]{16}\$[0-9a-f]{32}",
             hints=("access_token$production$",), description="PayPal Braintree access token"),
-    Pattern("OPENAI_API_KEY", "CRITICAL", "ai", "sk-(?:proj-)?[A-Za-z0-9]{20,64}",
+    Pattern("OPENAI_API_KEY", "CRITICAL", "ai", "sk-(?:proj-[A-Za-z0-9_-]{20,}|[A-Za-z0-9]{20,})",
             lead=_NOT_ALNUM_BEFORE, tail=_NOT_ALNUM_AFTER, hints=("sk-",),
             description="OpenAI API key"),
-    Pattern("ANTHROPIC_API_KEY", "CRITICAL", "ai", "sk-ant-[A-Za-z0-9_-]{24,110}",
+    Pattern("ANTHROPIC_API_KEY", "CRITICAL", "ai", "sk-ant-[A-Za-z0-9_-]{24,}",
             hints=("sk-ant-",), description="Anthropic API key"),
     Pattern("JWT", "MEDIUM", "token",
             r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
@@ -130,22 +130,22 @@ PATTERNS: tuple[Pattern, ...] = (
     Pattern("SSH_PUBLIC_KEY", "LOW", "private_key",
             "ssh-(?:rsa|ed25519) [A-Za-z0-9+/]{60,}={0,2}",
             hints=("ssh-rsa ", "ssh-ed25519 "), description="SSH public key"),
-    Pattern("DATABASE_URI", "HIGH", "database", r"[^\s:/@]{1,128}",
+    Pattern("DATABASE_URI", "HIGH", "database", r"[^\s:/@]+",
             lead=r"(?:mongodb(?:\+srv)?|postgres(?:ql)?|mysql|redis)://[^\s:/@]{1,64}:",
             tail=r"""@[^\s"']{1,256}""",
             hints=("mongodb://", "mongodb+srv://", "postgres://", "postgresql://", "mysql://",
                    "redis://"),
             description="database URI with a password"),
-    Pattern("DOCKER_AUTH", "HIGH", "registry", "[A-Za-z0-9+/]{16,200}={0,2}",
+    Pattern("DOCKER_AUTH", "HIGH", "registry", "[A-Za-z0-9+/]{16,}={0,2}",
             lead=r'"auth"[ \t]*:[ \t]*"', tail='"', hints=('"auth"',),
             description="Docker registry login"),
-    Pattern("DOCKER_PAT", "HIGH", "registry", "dckr_pat_[A-Za-z0-9_-]{27}",
+    Pattern("DOCKER_PAT", "HIGH", "registry", "dckr_pat_[A-Za-z0-9_-]{27,}",
             hints=("dckr_pat_",), description="Docker access token"),
-    Pattern("NPM_TOKEN", "HIGH", "registry", "npm_[A-Za-z0-9]{36}",
+    Pattern("NPM_TOKEN", "HIGH", "registry", "npm_[A-Za-z0-9]{36,}",
             hints=("npm_",), description="npm access token"),
-    Pattern("PYPI_TOKEN", "HIGH", "registry", "pypi-[A-Za-z0-9_-]{50,200}",
+    Pattern("PYPI_TOKEN", "HIGH", "registry", "pypi-[A-Za-z0-9_-]{50,}",
             hints=("pypi-",), description="PyPI upload token"),
-    Pattern("DATADOG_KEY", "HIGH", "monitoring", "[a-f0-9]{32,40}",
+    Pattern("DATADOG_KEY", "HIGH", "monitoring", "[a-f0-9]{32,}",
             lead="(?:datadog|dd)[_-]?(?:api|app)[_-]?key" + _ASSIGN, ignore_case=True,
             hints=("datadog", "dd_ap", "dd-ap", "ddap"), description="Datadog key"),
     Pattern("NEW_RELIC_KEY", "HIGH", "monitoring", "NRAK-[A-Z0-9]{27}",
@@ -162,7 +162,7 @@ PATTERNS: tuple[Pattern, ...] = (
     Pattern("MAILGUN_API_KEY", "HIGH", "messaging", "key-[0-9a-f]{32}",
             lead=_NOT_ALNUM_BEFORE, tail=_NOT_HEX_AFTER, hints=("key-",),
             description="Mailgun API key"),
-    Pattern("GENERIC_ASSIGNMENT", "MEDIUM", "generic", "[a-z0-9_-]{16,64}",
+    Pattern("GENERIC_ASSIGNMENT", "MEDIUM", "generic", "[a-z0-9_-]{16,}",
             lead="(?:api[_-]?key|token|secret|password|passwd)" + _ASSIGN, ignore_case=True,
             hints=("api_key", "api-key", "apikey", "token", "secret", "passw"),
             description="value assigned to a key, token, secret or password"),

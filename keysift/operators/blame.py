@@ -29,6 +29,8 @@ def with_blame(findings: DataFrame, blame: DataFrame) -> DataFrame:
     """
     author = F.struct(
         "author", "email", "commit", F.timestamp_seconds("author_time").alias("authored_at"))
+    files = findings.select("repo", "path").distinct()
+    blame = blame.join(files, ["repo", "path"], "left_semi")  # before ranges are cut up
     ranges = _by_bucket(blame).groupBy(
         "repo", "path", "_bucket", "start_line", "end_line"
     ).agg(F.min(author).alias("git_blame"))

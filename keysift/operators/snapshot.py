@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +21,16 @@ def file_hashes(files: DataFrame) -> DataFrame:
     return files.select("repo", "path", _content_hash().alias("content_hash"))
 
 
+def _slice_sum(digest: Column, at: int, size: int) -> Column:
+    return F.sum(F.conv(F.substring(digest, at, size), 16, 10).cast("decimal(20,0)"))
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """(repo, path, change): added, removed, changed or same.
 
     Only hashes are shuffled, and each task combines its rows per file first.  If a
     snapshot holds a path several times, its copies count as one file that is the
-    same when their number and their least and greatest hash are.
+    same when their number and the sums of slices of their hashes are.
     """
     both = file_hashes(before).withColumn("side", F.lit(0)).unionByName(
         file_hashes(after).withColumn("side", F.lit(1)))
@@ -34,7 +41,9 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     per_file = both.groupBy("repo", "path").agg(
         F.min(of(0)).alias("hash_before"),
         F.min(of(1)).alias("hash_after"),
-        (F.max(of(0)).eqNullSafe(F.max(of(1))) & (F.count(of(0)) == F.count(of(1)))).alias("_rest"),
+        (functools.reduce(operator.and_, (_slice_sum(of(0), at, n).eqNullSafe(_slice_sum(of(1), at, n))
+                                          for at, n in _SLICES))
+         & (F.count(of(0)) == F.count(of(1)))).alias("_rest"),
     )
     change = (
         F.when(F.col("hash_before").isNull(), "added")
@@ -55,11 +64,8 @@ def tree_digest(files: DataFrame) -> DataFrame:
     identity = F.sha2(F.concat_ws("\n", "repo", "path", _content_hash()), 256)
     hashed = files.select(identity.alias("h"))
 
-    def slice_sum(at: int, size: int) -> Column:
-        number = F.conv(F.substring("h", at, size), 16, 10).cast("decimal(20,0)")
-        return F.coalesce(F.sum(number), F.lit(0)).cast("string")
-
-    sums = [slice_sum(at, size).alias(f"s{at}") for at, size in _SLICES]
+    sums = [F.coalesce(_slice_sum(F.col("h"), at, size), F.lit(0)).cast("string").alias(f"s{at}")
+            for at, size in _SLICES]
     return hashed.agg(F.count(F.lit(1)).alias("n_files"), *sums).select(
         "n_files",
         F.sha2(F.concat_ws(":", F.col("n_files").cast("string"),

@@ -4,7 +4,8 @@
     python -m keysift.plans.job --table /data/snapshots --repos /data/repos --output /data/out
 
 A snapshot table has the columns repo, path and content.  The exit code is 1 when
-high-risk findings exist and ``--fail-on-high`` is given.
+high-risk findings exist and ``--fail-on-high`` is given, 2 when something could not be scanned
+(listed in ``unscanned.json`` with the reason) unless ``--allow-unscanned`` is given.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from keysift.session import materialize, spread
 from keysift.sinks.reports import FORMATS, write_reports
 from keysift.sources import baseline as baselines
 from keysift.sources.blame import parse_porcelain
-from keysift.sources.files import active_only, from_table, label_findings, within_limits
+from keysift.sources.files import active_only, from_table, label_repos, within_limits
 from keysift.sources.patterns import load_custom_patterns
-from keysift.sources.tree import list_tree, scan_tree, tree_roots
+from keysift.sources.tree import list_tree, scan_tree, tree_roots, unscanned
 
 
 def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
@@ -38,8 +39,8 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
     parser.add_argument("--max-depth", type=int)
     parser.add_argument("--custom-patterns", metavar="FILE")
     parser.add_argument("--baseline", metavar="PATH", help="earlier JSON report")
-    parser.add_argument("--baseline-layout", choices=["lines", "object"], default="lines",
-                        help="lines: as written by this job; object: any single JSON object")
+    parser.add_argument("--allow-unscanned", action="store_true",
+                        help="exit normally though some files could not be scanned")
     parser.add_argument("--output", metavar="DIR", required=True)
     parser.add_argument("--output-format", choices=[*FORMATS, "all"], default="json")
     parser.add_argument("--fail-on-high", action="store_true")
@@ -48,7 +49,6 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     args = _arguments(argv)
-    roots = None
     spark = spark or SparkSession.builder.appName("keysift").getOrCreate()
     options = ScanOptions.from_env()
     if args.max_depth is not None:
@@ -58,34 +58,52 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         if "://" not in root:
             root = os.path.abspath(os.path.expanduser(root))
         listing = list_tree(spark, root, options.max_depth, options.skip_fragments)
-        files, roots = scan_tree(spark, root, options, listing=listing), tree_roots(listing)
+        # Labels come first: they decide what --repos keeps and what --blame belongs to.
+        labels = label_repos(listing.where("NOT is_dir").select("path"), tree_roots(listing))
+        owner = F.when(F.coalesce("repo_root", F.lit("")) != "", F.col("repo_root"))
+        labels = materialize(labels.select(
+            "path", F.coalesce(owner, F.lit("local")).alias("repo")), "labels")
+        wanted = listing.join(labels, "path", "left")
+        if args.repos:
+            wanted = active_only(wanted, spark.read.parquet(args.repos))
+        files = scan_tree(spark, root, options, listing=wanted)
+        problems = unscanned(listing, options)
     else:
         # The depth limit is a rule for local trees only.
         table = spread(spark.read.parquet(args.table).select("repo", "path", "content"), "path")
         files = within_limits(
             from_table(table, F.col("repo"), F.col("path"), F.col("content")),
             options.with_(max_depth=args.max_depth))
-    if args.repos:
-        files = active_only(files, spark.read.parquet(args.repos))
+        problems = table.where(
+            F.octet_length("content") > options.max_file_size_mb * 1024 * 1024).select(
+            "path", F.lit("too large").alias("reason"))
+        if args.repos:
+            files = active_only(files, spark.read.parquet(args.repos))
     custom = load_custom_patterns(spark, args.custom_patterns) if args.custom_patterns else []
     baseline = blame = None
     known = args.baseline or (options.baseline_path if options.incremental else None)
     if known:
         options = options.with_(incremental=True)
-        read = {"lines": baselines.baseline_from_lines, "object": baselines.baseline_from_report}
-        baseline = read[args.baseline_layout](spark, known)
+        baseline = baselines.read_baseline(spark, known)
     if args.blame:
         options = options.with_(attach_blame=True)
         blame = parse_porcelain(spark.read.parquet(args.blame))
     findings = scan(files, options, custom, baseline, blame)
-    if roots is not None:
-        findings = label_findings(materialize(findings, "findings"), roots)
     formats = FORMATS if args.output_format == "all" else [args.output_format]
-    summary = write_reports(findings, args.output, options, formats)
+    summary = write_reports(findings, args.output, options, formats,
+                            described={c.name: c.description for c in custom})
+    problems.write.json(f"{args.output}/unscanned.json")
+    left_out = {r["reason"]: r["n"] for r in spark.read.schema("path STRING, reason STRING").json(
+        f"{args.output}/unscanned.json").groupBy("reason").agg(F.count("*").alias("n")).orderBy(
+        F.desc("n")).limit(20).collect()}
     levels = summary["by_risk_level"]
     print(f"{levels['high_risk']} high-risk, {levels['medium_risk']} medium-risk, "
           f"{levels['low_risk']} low-risk")
-    return 1 if args.fail_on_high and levels["high_risk"] > 0 else 0
+    if left_out:
+        print("not scanned: " + ", ".join(f"{n} {reason}" for reason, n in left_out.items()))
+    if args.fail_on_high and levels["high_risk"] > 0:
+        return 1
+    return 2 if left_out and not args.allow_unscanned else 0
 
 
 if __name__ == "__main__":

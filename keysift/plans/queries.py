@@ -144,7 +144,7 @@ def custom_pattern_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]}
     path = new_scratch(spark, "patterns")
     spark.createDataFrame([(json.dumps(document),)], "value STRING").write.text(path)
-    custom = pattern_source.load_custom_patterns(spark, path)
+    custom = pattern_source.load_custom_patterns(spark, path, strict=False)
     found = detect(tables.document_files(spark, sf_dir), OPTIONS, custom)
     return summary.pattern_summary(found)
 
@@ -383,38 +383,38 @@ def csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("rotation_command", F.coalesce("rotation_command", F.lit("")))
 
 
-_REPORT = """
+_HEAD = """
     scan_metadata STRUCT<timestamp: STRING, organization: STRING, total_findings: BIGINT,
                          scanner_version: STRING>,
     summary STRUCT<by_risk_level: STRUCT<high_risk: BIGINT, medium_risk: BIGINT, low_risk: BIGINT>,
-                   by_pattern: MAP<STRING, BIGINT>>,
-    findings ARRAY<STRUCT<repo: STRING, path: STRING, line: INT, pattern: STRING, score: INT,
-                          classification: STRING, entropy: DOUBLE, match_preview: STRING,
-                          secret_hash: STRING,
-                          remediation: STRUCT<severity: STRING, rotation_command: STRING>>>
+                   by_pattern: MAP<STRING, BIGINT>>
+"""
+_FINDING = """
+    repo STRING, path STRING, line INT, pattern STRING, score INT, classification STRING,
+    entropy DOUBLE, match_preview STRING, secret_hash STRING,
+    remediation STRUCT<severity: STRING, rotation_command: STRING>
 """
 
 
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The JSON report, read back: its head beside every finding."""
+    """The JSON report, read back: its summary beside every finding."""
     out = new_scratch(spark, "report")
     reports.write_reports(custom_findings(spark, sf_dir), out, OPTIONS, ["json"])
-    report = spark.read.schema(_REPORT).json(f"{out}/report.json", multiLine=True)
     by_level = F.col("summary.by_risk_level")
-    return report.select(
+    head = spark.read.schema(_HEAD).json(f"{out}/report_summary.json").select(
         F.col("scan_metadata.total_findings").alias("total_findings"),
         by_level["high_risk"].alias("high_risk"), by_level["medium_risk"].alias("medium_risk"),
-        by_level["low_risk"].alias("low_risk"), F.col("summary.by_pattern").alias("by_pattern"),
-        F.explode("findings").alias("f"),
-    ).select(
+        by_level["low_risk"].alias("low_risk"), F.col("summary.by_pattern").alias("by_pattern"))
+    found = spark.read.schema(_FINDING).json(f"{out}/report.json")
+    return found.join(F.broadcast(head)).select(  # one row
         "total_findings", "high_risk", "medium_risk", "low_risk",
-        F.col("by_pattern")[F.col("f.pattern")].alias("n_of_pattern"),
-        "f.repo", "f.path", "f.line", "f.pattern", "f.score", "f.classification", "f.entropy",
-        "f.match_preview", "f.secret_hash", "f.remediation.severity")
+        F.col("by_pattern")[F.col("pattern")].alias("n_of_pattern"),
+        "repo", "path", "line", "pattern", "score", "classification", "entropy",
+        "match_preview", "secret_hash", "remediation.severity")
 
 
 _SARIF = """
-    version STRING,
+    version STRING, repo STRING,
     runs ARRAY<STRUCT<
         tool: STRUCT<driver: STRUCT<rules: ARRAY<STRUCT<id: STRING, helpUri: STRING>>>>,
         results: ARRAY<STRUCT<
@@ -426,20 +426,20 @@ _SARIF = """
 
 
 def sarif_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The SARIF report, read back as one row per result."""
+    """The SARIF report, read back as one row per result; the folder names the repository."""
     out = new_scratch(spark, "report")
     reports.write_reports(custom_findings(spark, sf_dir), out, OPTIONS, ["sarif"])
-    report = spark.read.schema(_SARIF).json(f"{out}/report.sarif", multiLine=True)
-    run = report.select("version", F.explode("runs").alias("run"))
+    report = spark.read.schema(_SARIF).json(f"{out}/report.sarif")
+    run = report.select("version", "repo", F.explode("runs").alias("run"))
     result = run.select(
-        "version", F.col("run.tool.driver.rules.id").alias("rules"),
+        "version", "repo", F.col("run.tool.driver.rules.id").alias("rules"),
         F.explode("run.results").alias("r"))
     place = F.get(F.col("r.locations"), F.lit(0))["physicalLocation"]
     return result.select(
         "version", F.col("r.ruleId").alias("rule_id"), F.col("r.level").alias("level"),
         F.array_contains("rules", F.col("r.ruleId")).alias("has_rule"),
         F.col("r.message.text").alias("message"),
-        place["artifactLocation"]["uri"].alias("uri"),
+        F.concat_ws("/", "repo", place["artifactLocation"]["uri"]).alias("uri"),
         place["region"]["startLine"].alias("start_line"),
         F.col("r.partialFingerprints.secretHash").alias("secret_hash"))
 

@@ -159,15 +159,6 @@ _SIBLINGS = {
     "DOCKER_PAT": "DOCKER_AUTH",
 }
 
-HISTORY_REMOVAL_STEPS = (
-    "Work on a fresh clone of the repository",
-    "git filter-repo --path PATH --invert-paths        # drop a whole file",
-    "git filter-repo --replace-text replacements.txt   # or replace the value everywhere",
-    "Force-push all branches and tags once the team agrees",
-    "Have every contributor clone again",
-)
-
-
 def template_for(pattern: str) -> Template:
     if pattern in ("AWS_ACCESS_KEY_ID", "AWS_SECRET_ACCESS_KEY"):
         return _AWS_ACCESS_KEY

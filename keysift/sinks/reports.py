@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
@@ -14,9 +14,7 @@ from keysift.operators.dedup import report_order
 from keysift.operators.remediate import with_remediation
 from keysift.operators.summary import pattern_summary, risk_summary
 from keysift.options import ScanOptions
-from keysift.remediation import DEFAULT_TEMPLATE, template_for
 from keysift.session import materialize
-from keysift.sinks.document import SINGLE_FILE_ROWS, write_document
 
 # The CSV columns in order.
 CSV_COLUMNS = (
@@ -29,7 +27,8 @@ SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 # SARIF level by risk level.
 SARIF_LEVELS = {"high": "error", "medium": "warning", "low": "note"}
 
-_ORDER = ["repo", "path", "line", "pattern", "occurrence"]
+# Results in one SARIF log; a repository with more has several.
+SARIF_RESULTS = 5_000
 
 
 def finding_json(findings: DataFrame) -> Column:
@@ -60,16 +59,27 @@ def sarif_level(risk_level: Column) -> Column:
     )
 
 
-def sarif_rules(remediated: DataFrame) -> DataFrame:
-    """(rule_id, description, help_uri, severity), one row per pattern that was found."""
+def sarif_rules(remediated: DataFrame, described: Mapping[str, str] | None = None) -> DataFrame:
+    """(rule_id, description, help_uri, severity), one row per pattern that was found.
+
+    ``described`` holds the patterns' own descriptions; the others get a general one.
+    """
+    general = F.concat(F.lit("Possible "), F.col("pattern"), F.lit(" in source"))
+    named = [F.lit(x) for kv in (described or {}).items() if kv[1] for x in kv]
+    own = F.create_map(*named)[F.col("pattern")] if named else F.lit(None).cast("string")
     return remediated.groupBy(F.col("pattern").alias("rule_id")).agg(
-        F.max(F.concat(F.lit("Possible "), F.col("pattern"), F.lit(" in source")))
-        .alias("description"),
+        F.max(F.coalesce(own, general)).alias("description"),
         F.max("remediation.docs_url").alias("help_uri"),
         F.max("severity").alias("severity"),
     )
 
 
+def relative_uri(path: Column) -> Column:
+    """A path as a URI reference: every part is escaped, the slashes stay."""
+    escaped = F.replace(F.url_encode(path), F.lit("+"), F.lit("%20"))
+    return F.replace(escaped, F.lit("%2F"), F.lit("/"))
+
+
 def sarif_result() -> Column:
     """One finding as a SARIF result; the fingerprint is the hash, never the secret."""
     message = F.concat(
@@ -77,7 +87,7 @@ def sarif_result() -> Column:
         F.col("score").cast("string"), F.lit(")"),
     )
     location = F.struct(F.struct(
-        F.struct(F.concat_ws("/", "repo", "path").alias("uri")).alias("artifactLocation"),
+        F.struct(relative_uri(F.col("path")).alias("uri")).alias("artifactLocation"),
         F.struct(F.col("line").alias("startLine")).alias("region"),
     ).alias("physicalLocation"))
     return F.to_json(F.struct(
@@ -105,11 +115,16 @@ def report_summary(findings: DataFrame) -> dict:
     }
 
 
+def _sorted(stored: DataFrame) -> DataFrame:
+    """Findings with their advice, in report order (Spark drops a sort that stands below a join)."""
+    return with_remediation(stored).orderBy(*report_order())
+
+
 def write_json_report(
-    stored: DataFrame, path: str, options: ScanOptions, summary: dict,
-    timestamp: str | None = None, single_file_rows: int = SINGLE_FILE_ROWS,
+    stored: DataFrame, path: str, summary_path: str, options: ScanOptions, summary: dict,
+    timestamp: str | None = None,
 ) -> None:
-    """The report as one JSON object: metadata, summary, sorted findings."""
+    """Sorted findings as JSON Lines, and one object with metadata and summary beside them."""
     head = {
         "scan_metadata": {
             "timestamp": timestamp or _now(),
@@ -119,47 +134,44 @@ def write_json_report(
         },
         "summary": {k: summary[k] for k in ("by_risk_level", "by_pattern")},
     }
-    header = json.dumps(head)[:-1] + ', "findings": ['
-    write_document(stored, finding_json(stored), _ORDER, header, "]}", path,
-                   summary["total_findings"], single_file_rows)
+    ordered = _sorted(stored)
+    ordered.select(finding_json(ordered).alias("value")).write.text(path)
+    stored.sparkSession.createDataFrame([(json.dumps(head),)], "value STRING").coalesce(
+        1).write.text(summary_path)
 
 
-def write_json_lines(stored: DataFrame, path: str) -> None:
-    """Sorted findings, one JSON object per line."""
-    stored.orderBy(*report_order()).select(finding_json(stored).alias("value")).write.text(path)
-
-
-def write_csv_report(
-    stored: DataFrame, path: str, n_rows: int, single_file_rows: int = SINGLE_FILE_ROWS
-) -> None:
-    if n_rows <= single_file_rows:
-        ordered = stored.repartition(1).sortWithinPartitions(*report_order())
-    else:
-        ordered = stored.orderBy(*report_order())
-    csv_rows(ordered).write.option("escape", '"').csv(path, header=True)
+def write_csv_report(stored: DataFrame, path: str) -> None:
+    """Sorted parts, each with the head line."""
+    csv_rows(_sorted(stored)).write.option("escape", '"').csv(path, header=True)
 
 
 def write_sarif_report(
-    stored: DataFrame, path: str, options: ScanOptions, summary: dict,
-    single_file_rows: int = SINGLE_FILE_ROWS,
+    stored: DataFrame, path: str, options: ScanOptions, described: Mapping[str, str] | None = None,
 ) -> None:
-    """One SARIF run: a rule per pattern found and a result per finding."""
-    rules = []
-    described = {p.name: p.description for p in PATTERNS}
-    for name in sorted(summary["by_pattern"]):
-        known = template_for(name) if name in described else DEFAULT_TEMPLATE
-        rules.append({
-            "id": name,
-            "shortDescription": {"text": described.get(name) or name},
-            "helpUri": known.docs_url,
-        })
-    driver = {"name": "keysift", "version": options.scanner_version, "rules": rules}
-    header = (
-        f'{{"version": "{SARIF_VERSION}", "$schema": "{SARIF_SCHEMA}", "runs": [{{"tool": '
-        + json.dumps({"driver": driver}) + ', "results": ['
-    )
-    write_document(stored, sarif_result(), _ORDER, header, "]}]}", path,
-                   summary["total_findings"], single_file_rows)
+    """SARIF logs, one per line, in a folder for each repository; paths are relative to it.
+
+    Findings are sorted over the cluster and cut where the repository changes or a log is full,
+    so no task holds all findings of a large repository.
+    """
+    names = {p.name: p.description for p in PATTERNS} | dict(described or {})
+    rules = sarif_rules(with_remediation(stored), names).collect()  # a row for each pattern
+    rule = F.create_map(*[F.lit(x) for r in rules for x in (r["rule_id"], json.dumps({
+        "id": r["rule_id"], "shortDescription": {"text": r["description"]},
+        "helpUri": r["help_uri"]}))]) if rules else F.lit(None).cast("map<string,string>")
+    number = F.monotonically_increasing_id()
+    ordered = stored.orderBy("repo", *report_order()).select(
+        "repo", "pattern", sarif_result().alias("result"), number.alias("n"))
+    ordered = ordered.withColumn("log", F.floor(F.col("n") / SARIF_RESULTS))
+    logs = ordered.groupBy("repo", "log").agg(
+        F.array_sort(F.collect_list(F.struct("n", "result"))).alias("results"),
+        F.array_sort(F.collect_set("pattern")).alias("patterns"))
+    driver = json.dumps({"name": "keysift", "version": options.scanner_version})[:-1]
+    value = F.concat(
+        F.lit(f'{{"version": "{SARIF_VERSION}", "$schema": "{SARIF_SCHEMA}", "runs": [{{"tool": '
+              f'{{"driver": {driver}, "rules": ['),
+        F.array_join(F.transform("patterns", lambda p: rule[p]), ", "),
+        F.lit(']}}, "results": ['), F.array_join("results.result", ", "), F.lit("]}]}"))
+    logs.select("repo", value.alias("value")).write.partitionBy("repo").text(path)
 
 
 def write_reports(
@@ -168,25 +180,25 @@ def write_reports(
     options: ScanOptions | None = None,
     formats: Iterable[str] = FORMATS,
     timestamp: str | None = None,
-    single_file_rows: int = SINGLE_FILE_ROWS,
+    described: Mapping[str, str] | None = None,
 ) -> dict:
     """Write the wanted formats below ``out_dir`` and return the summary.
 
-    The findings are stored once; the scan is not repeated per format.
+    The layout is the same for every size: folders of parts.  The findings are stored once; the
+    scan is not repeated per format.  ``described`` has the descriptions of user patterns.
     """
     options = options or ScanOptions()
     formats = list(formats)
     unknown = set(formats) - set(FORMATS)
     if unknown:
         raise ValueError(f"unknown report formats: {sorted(unknown)}")
-    stored = materialize(with_remediation(findings), "findings")
+    stored = materialize(findings, "findings")
     summary = report_summary(stored)
     if "json" in formats:
-        write_json_report(stored, f"{out_dir}/report.json", options, summary, timestamp,
-                          single_file_rows)
+        write_json_report(stored, f"{out_dir}/report.json", f"{out_dir}/report_summary.json",
+                          options, summary, timestamp)
     if "csv" in formats:
-        write_csv_report(stored, f"{out_dir}/report.csv", summary["total_findings"],
-                         single_file_rows)
+        write_csv_report(stored, f"{out_dir}/report.csv")
     if "sarif" in formats:
-        write_sarif_report(stored, f"{out_dir}/report.sarif", options, summary, single_file_rows)
+        write_sarif_report(stored, f"{out_dir}/report.sarif", options, described)
     return summary

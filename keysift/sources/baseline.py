@@ -29,5 +29,19 @@ def baseline_from_lines(spark: SparkSession, path: str) -> DataFrame:
     return _hashes(spark.read.text(path).select(finding.alias("f")).select("f.secret_hash"))
 
 
+def read_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """Hashes in an earlier report, whichever of the two layouts it has.
+
+    A report without findings is an empty baseline; a text in which no hash is found is an error.
+    """
+    for read in (baseline_from_lines, baseline_from_report):
+        found = read(spark, path)
+        if not found.isEmpty():
+            return found
+    if spark.read.text(path).where(F.trim("value") != "").isEmpty():
+        return found
+    raise ValueError(f"no secret_hash in the baseline {path}")
+
+
 def baseline_from_table(findings: DataFrame) -> DataFrame:
     return _hashes(findings)

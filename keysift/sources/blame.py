@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _HEADER = r"^([0-9a-f]{40}) ([0-9]+) ([0-9]+)(?: ([0-9]+))?"
@@ -30,27 +30,22 @@ def _commit(block: Column) -> Column:
 def parse_porcelain(outputs: DataFrame) -> DataFrame:
     """(repo, path, porcelain) to one row per run of lines from one commit.
 
-    One row holds the blame of one file.  Its text is cut into blocks, one per
-    source line; a block that opens a run states the run's length.  Author lines
-    come once per commit, in the first block of it, and are looked up there for
-    the other runs of the commit: the whole parse needs neither a shuffle nor a
-    window.
+    One row holds the blame of one file.  Its text is cut into blocks, one per source line, and each
+    block is read by itself; a block that opens a run states the run's length.  Author lines
+    come once per commit, in the first block of it, and reach the other runs of the commit
+    through a window over (file, commit), so the work grows with the text.
     """
     blocks = F.split("porcelain", r"\n(?=[0-9a-f]{40} [0-9]+ [0-9]+)")
-    opening = F.filter("blocks", lambda b: F.regexp_extract(b, _HEADER, 4) != "")
-    described = F.filter("blocks", lambda b: _field(b, "author").isNotNull())
-    start = F.regexp_extract("block", _HEADER, 3).try_cast("int")
-    length = F.regexp_extract("block", _HEADER, 4).try_cast("int")
-    known_at = F.array_position("commits", F.col("commit")).cast("int")
-    return (
-        outputs.select("repo", "path", blocks.alias("blocks"))
-        .select("repo", "path", F.transform(described, _commit).alias("commits"),
-                F.transform(described, _author).alias("authors"),
-                F.explode(opening).alias("block"))
-        .select("repo", "path", "commits", "authors", start.alias("start_line"),
-                (start + length - 1).alias("end_line"), _commit(F.col("block")).alias("commit"))
-        .select("repo", "path", "start_line", "end_line",
-                F.get("authors", known_at - 1).alias("a"), "commit")
-        .select("repo", "path", "start_line", "end_line", "a.author", "a.email", "commit",
-                "a.author_time")
+    block = F.col("block")
+    length = F.regexp_extract(block, _HEADER, 4)
+    runs = (
+        outputs.select("repo", "path", F.explode(blocks).alias("block"))
+        .where(length != "")
+        .select("repo", "path", F.regexp_extract(block, _HEADER, 3).try_cast("int").alias("start_line"),
+                length.try_cast("int").alias("length"), _commit(block).alias("commit"),
+                F.when(_field(block, "author").isNotNull(), _author(block)).alias("told"))
     )
+    of_commit = Window.partitionBy("repo", "path", "commit")
+    return runs.withColumn("a", F.max("told").over(of_commit)).select(
+        "repo", "path", "start_line", (F.col("start_line") + F.col("length") - 1).alias("end_line"),
+        "a.author", "a.email", "commit", "a.author_time")

@@ -27,8 +27,8 @@ def within_limits(files: DataFrame, options: ScanOptions) -> DataFrame:
 
 
 def active_only(files: DataFrame, repos: DataFrame, **join_options: object) -> DataFrame:
-    """Files of repositories that are not archived."""
-    active = repos.where(~F.col("archived"))
+    """Files of repositories that are not archived; an unknown flag counts as not archived."""
+    active = repos.where(~F.coalesce(F.col("archived"), F.lit(False)))
     return key_filter(files, active, "repo", "left_semi", spread_by=["path"], **join_options)
 
 

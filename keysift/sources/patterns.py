@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import PySparkException
@@ -14,8 +12,41 @@ from keysift.catalog import Pattern, custom_pattern
 # Limits on user patterns.
 MAX_PATTERNS = 100
 MAX_PATTERN_LENGTH = 500
-# A group that repeats inside and is repeated outside, as in (a+)+.
-NESTED_REPEAT = r"\([^()]*[+*][^()]*\)[+*{]"
+
+
+def repeats_inside_repeat(regex: str) -> bool:
+    """Whether a repeated group holds a repetition or a choice, at any depth, as in ((a+))+ or (a|a)*."""
+    held, closed, i, in_class = [False], False, 0, False
+    while i < len(regex):
+        c = regex[i]
+        if c == "\\":
+            i, closed = i + 2, False
+            continue
+        if in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class, closed = True, False
+            i += regex[i + 1:i + 2] == "]"
+        elif c == "(":
+            held.append(False)
+            closed = False
+            i += regex[i + 1:i + 2] == "?"
+        elif c == ")" and len(held) > 1:
+            inner = held.pop()
+            held[-1] |= inner
+            closed = inner
+            i += 1
+            continue
+        elif c in "*+" or c == "{" and regex[i + 1:i + 2].isdigit():
+            if closed:
+                return True
+            held[-1] = True
+        elif c == "|":
+            held[-1] = True
+        if c not in "?":
+            closed = False
+        i += 1
+    return False
 
 
 def read_custom_patterns(spark: SparkSession, path: str) -> DataFrame:
@@ -29,31 +60,43 @@ def read_custom_patterns(spark: SparkSession, path: str) -> DataFrame:
 
 
 def check_custom_patterns(rows: DataFrame) -> DataFrame:
-    """Adds ``reason``: why a pattern is refused, or null."""
-    return rows.withColumn(
-        "reason",
-        F.when(F.length("regex") > MAX_PATTERN_LENGTH, "too long")
-        .when(F.col("regex").rlike(NESTED_REPEAT), "nested quantifiers"),
-    )
+    """Adds ``reason``: why a pattern is refused by its length, or null."""
+    return rows.withColumn("reason", F.when(F.length("regex") > MAX_PATTERN_LENGTH, "too long"))
 
 
-def _compiles(spark: SparkSession, regex: str) -> bool:
-    """Whether the engine that will run the pattern accepts it."""
+def _problem(spark: SparkSession, regex: str) -> str | None:
+    """Why a pattern cannot be used: it may take for ever, or the engine refuses it."""
+    if repeats_inside_repeat(regex):
+        return "nested quantifiers"
     try:
         spark.range(1).select(F.lit("").rlike(regex)).first()
     except PySparkException:
-        return False
-    return True
+        return "does not compile"
+    return None
+
+
+class RefusedPatterns(ValueError):
+    """A file of user patterns that cannot be used as it is; ``reasons`` by pattern."""
+
+    def __init__(self, path: str, reasons: dict[str, str]) -> None:
+        self.reasons = reasons
+        super().__init__(f"{path}: " + "; ".join(f"{k}: {v}" for k, v in reasons.items()))
+
 
+def load_custom_patterns(spark: SparkSession, path: str, strict: bool = True) -> list[Pattern]:
+    """The patterns of a file.
 
-def load_custom_patterns(spark: SparkSession, path: str) -> list[Pattern]:
-    """The accepted patterns.  More than ``MAX_PATTERNS`` entries refuse the whole file."""
+    A refused entry, more than ``MAX_PATTERNS`` entries or a file without any raise
+    ``RefusedPatterns``, so no pattern is left out unseen; without ``strict`` the accepted ones are
+    returned.
+    """
     rows = check_custom_patterns(read_custom_patterns(spark, path)).take(MAX_PATTERNS + 1)
-    if len(rows) > MAX_PATTERNS:
-        return []
-    compiles = functools.partial(_compiles, spark)
-    return [
-        custom_pattern(r["name"], r["regex"], r["description"])
-        for r in rows
-        if r["reason"] is None and compiles(r["regex"])
-    ]
+    if not rows or len(rows) > MAX_PATTERNS:
+        raise RefusedPatterns(path, {"file": f"more than {MAX_PATTERNS} patterns" if rows else
+                                     "no pattern found"})
+    reasons = [r["reason"] or _problem(spark, r["regex"]) for r in rows]
+    refused = {f"{n}. {r['name']}": why for n, (r, why) in enumerate(zip(rows, reasons), 1) if why}
+    if refused and strict:
+        raise RefusedPatterns(path, refused)
+    return [custom_pattern(r["name"], r["regex"], r["description"])
+            for r, why in zip(rows, reasons) if why is None]

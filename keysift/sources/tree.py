@@ -25,7 +25,7 @@ from keysift.options import ScanOptions
 from keysift.session import new_scratch
 
 LISTING = "path STRING, size BIGINT, is_dir BOOLEAN, error STRING"
-_READ = "path STRING, size BIGINT, content BINARY"
+_READ = "repo STRING, path STRING, size BIGINT, content BINARY"
 _LIST_ROWS = 10_000
 # Content handed over at a time, and content per task.
 _CHUNK_BYTES = 16 * 1024 * 1024
@@ -59,7 +59,7 @@ def _lister(root: str) -> Callable[[_Batches], _Batches]:
     def rows_of(directory: str) -> Iterator[tuple]:
         entries = remote_entries if "://" in root else local_entries
         try:
-            for name, size, is_dir in entries(f"{root}/{directory}".rstrip("/")):
+            for name, size, is_dir in entries(f"{root}/{directory}".rstrip("/") or "/"):
                 error, storable = None, name.encode("utf-8", "replace").decode()
                 if storable != name:
                     # The name cannot be kept as text and used to open the file later.
@@ -101,12 +101,12 @@ def _reader(root: str) -> Callable[[_Batches], _Batches]:
             return None
 
     def read_all(batches: _Batches) -> _Batches:
-        columns = ["path", "size", "content"]
+        columns = ["repo", "path", "size", "content"]
         rows, held = [], 0
         for batch in batches:
-            for path, size in zip(batch["path"], batch["size"]):
-                content = read(f"{root}/{path}")
-                rows.append((path, size, content))
+            for repo, path, size in zip(batch["repo"], batch["path"], batch["size"]):
+                content = read(f"{root.rstrip('/')}/{path}")
+                rows.append((repo, path, size, content))
                 held += len(content or b"")
                 if held >= _CHUNK_BYTES or len(rows) >= _LIST_ROWS:
                     yield pd.DataFrame(rows, columns=columns)
@@ -122,17 +122,22 @@ def list_tree(
 ) -> DataFrame:
     """All files and directories below ``root`` (path, size, is_dir, error).
 
+    A root that cannot be listed is an error.
+
     Directories under a skip fragment appear but are not entered; those that
     cannot be listed carry an error.  Levels are stored in the scratch folder.
     """
-    root = root.rstrip("/")
+    root = root.rstrip("/") or "/"
     slots = spark.sparkContext.defaultParallelism
     stored = new_scratch(spark, "listing")
     level, depth = spark.createDataFrame([("",)], "path STRING"), 0
     while True:
         target = f"{stored}/level={depth}"
         level.select("path").mapInPandas(_lister(root), LISTING).write.parquet(target)
-        directories = spark.read.schema(LISTING).parquet(target).where("is_dir AND error IS NULL")
+        listed = spark.read.schema(LISTING).parquet(target)
+        if depth == 0 and (failed := listed.where("path = '' AND error IS NOT NULL").first()):
+            raise FileNotFoundError(f"{root} cannot be listed: {failed['error']}")
+        directories = listed.where("is_dir AND error IS NULL")
         inside = F.concat(F.col("path"), F.lit("/"))
         level = directories.where(~paths.is_skipped(inside, skip_fragments))
         if depth == max_depth or level.isEmpty():
@@ -147,10 +152,12 @@ def scan_tree(
 ) -> DataFrame:
     """Every file below ``root`` that the options admit as (repo, path, size, content).
 
+    A listing may name the repository of each file in a column ``repo``.
+
     Content is null for a file that cannot be read, and bytes that are not UTF-8
     are replaced: neither a lock nor a binary file fails the scan.
     """
-    root = root.rstrip("/")
+    root = root.rstrip("/") or "/"
     if listing is None:
         listing = list_tree(spark, root, options.max_depth, options.skip_fragments)
     wanted = listing.where("NOT is_dir AND error IS NULL").where(
@@ -160,10 +167,11 @@ def scan_tree(
     wanted = wanted.where(~paths.is_skipped(F.col("path"), options.skip_fragments))
     total = wanted.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()["bytes"]
     tasks = max(spark.sparkContext.defaultParallelism, -(-total // _TASK_BYTES))
-    read = wanted.select("path", "size").repartition(tasks, "path").mapInPandas(
+    owner = F.col("repo") if "repo" in wanted.columns else F.lit(repo).alias("repo")
+    read = wanted.select(owner, "path", "size").repartition(tasks, "path").mapInPandas(
         _reader(root), _READ)
     return read.select(
-        F.lit(repo).alias("repo"), "path", "size",
+        "repo", "path", "size",
         F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
@@ -173,3 +181,21 @@ def tree_roots(listing: DataFrame) -> DataFrame:
     root = F.substring(name, F.lit(1), F.length(name) - len("/.git"))
     return listing.where(F.col("is_dir") & name.endswith("/.git")).select(
         F.ltrim(root, F.lit("/")).alias("root")).distinct()
+
+
+def unscanned(
+    listing: DataFrame, options: ScanOptions, files: DataFrame | None = None
+) -> DataFrame:
+    """(path, reason) of what a scan of the listing leaves out without a rule on paths for it.
+
+    Directories that cannot be listed, names that cannot be kept and files over the size limit come
+    from the listing; with ``files``, the rows of ``scan_tree``, also files that could not be read.
+    """
+    limit = options.max_file_size_mb * 1024 * 1024
+    kept = listing.where(~paths.is_skipped(F.col("path"), options.skip_fragments))
+    reason = F.coalesce("error", F.when(~F.col("is_dir") & (F.col("size") > limit), "too large"))
+    found = kept.select("path", reason.alias("reason")).where("reason IS NOT NULL")
+    if files is not None:
+        unread = files.where("content IS NULL").select("path", F.lit("cannot be read").alias("reason"))
+        found = found.unionByName(unread)
+    return found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from keysift.operators.dedup import deduplicate
 from keysift.options import ScanOptions
 from keysift.plans.scan import detect
 
-_TABLE = schemas.FINDINGS + ", batch_id BIGINT"
+_TABLE = schemas.FINDINGS + ", run STRING, batch_id BIGINT"
 
 
 def read_findings_table(spark: SparkSession, table: str) -> DataFrame:
@@ -25,7 +26,7 @@ def create_findings_table(spark: SparkSession, table: str, known: DataFrame | No
     """An empty findings table, or one holding the findings of an earlier scan (batch -1)."""
     columns = [f.name for f in spark.createDataFrame([], schemas.FINDINGS).schema]
     rows = spark.createDataFrame([], schemas.FINDINGS) if known is None else known.select(*columns)
-    rows.write.mode("overwrite").parquet(f"{table}/batch_id=-1")
+    rows.write.mode("overwrite").parquet(f"{table}/run=before/batch_id=-1")
 
 
 def scan_new(
@@ -37,24 +38,26 @@ def scan_new(
 ) -> StreamingQuery:
     """Scan what has arrived, append findings with unseen hashes to ``table``, and stop.
 
-    Each batch owns the directory ``batch_id=N`` and replaces it, and compares
-    itself with all other batches, so a batch that is run again after a failure
+    Each batch owns a directory named by its checkpoint and number and replaces it, so streams with
+    checkpoints of their own can share a table.  It compares itself with all other batches, so a batch that is run again after a failure
     leaves the same rows.  Only the hash column of the table is read, and only its
     hashes that the batch holds are kept, so the history does not have to be
     shuffled for a small batch.
     """
     options = options or ScanOptions()
     custom = list(custom)
+    run = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
     def emit(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         found = deduplicate(detect(batch, options, custom)).persist()
         try:
-            earlier = read_findings_table(spark, table).where(F.col("batch_id") != batch_id)
+            earlier = read_findings_table(spark, table).where(
+                (F.col("run") != run) | (F.col("batch_id") != batch_id))
             seen = earlier.select("secret_hash").join(
                 found.select("secret_hash"), "secret_hash", "left_semi").distinct()
             fresh = found.join(seen, "secret_hash", "left_anti")
-            fresh.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+            fresh.write.mode("overwrite").parquet(f"{table}/run={run}/batch_id={batch_id}")
         finally:
             found.unpersist()
 

@@ -226,3 +226,23 @@ def test_snapshots(files):
     assert snapshot.is_unchanged(before, before.repartition(7))
     assert not snapshot.is_unchanged(before, after)
     assert snapshot.tree_digest(before.limit(0)).first()["n_files"] == 0
+
+
+def test_copies_of_a_path_with_another_middle_one_are_changed(files):
+    before = files(("r", "a", "1"), ("r", "a", "2"), ("r", "a", "3"))
+    for middle in "123456789":
+        after = files(("r", "a", "1"), ("r", "a", middle), ("r", "a", "3"))
+        change, = [r["change"] for r in snapshot.snapshot_diff(before, after).collect()]
+        assert (change == "same") == (middle == "2")
+
+
+def test_long_secrets_are_whole_and_redacted(files):
+    tail = "z" * 70
+    rows = [f'password = "{"a" * 64}{x}{tail}"' for x in "bc"] + [
+        "gh" + "p_" + "A" * 60, "postgres" + "://u:" + "p" * 140 + "@h/db", "sk" + "-proj-" + "a_-" * 45]
+    df = files(*[("r", str(i), x) for i, x in enumerate(rows)])
+    found = detect(df).collect()
+    assert len({r["secret_hash"] for r in found if r["pattern"] == "GENERIC_ASSIGNMENT"}) == 2
+    assert {r["pattern"] for r in found} >= {"GITHUB_TOKEN", "DATABASE_URI", "OPENAI_API_KEY"}
+    for r in redact.redact(df).collect():
+        assert tail not in r["content"] and "AAAA" not in r["content"] and "pppp" not in r["content"]

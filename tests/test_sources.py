@@ -60,12 +60,16 @@ def test_tree_by_uri_and_unreadable_places(spark, root):
     by_uri = tree.list_tree(spark, f"file://{root}/one")
     assert {r["path"] for r in by_uri.where("NOT is_dir").collect()} == {
         "two/deep.txt", ".git/HEAD"}
-    missing = tree.list_tree(spark, str(root / "absent")).collect()
-    assert len(missing) == 1 and missing[0]["error"]
+    with pytest.raises(FileNotFoundError):
+        tree.list_tree(spark, str(root / "absent"))
+    assert {r["path"] for r in tree.list_tree(spark, "/", max_depth=0).collect()} >= {"tmp", "root"}
     listing = tree.list_tree(spark, str(root), max_depth=0)
     (root / "top.txt").unlink()
     got = tree.scan_tree(spark, str(root), ScanOptions(), listing=listing).collect()
     assert {r["path"]: r["content"] for r in got}["top.txt"] is None
+    lost = tree.unscanned(listing, ScanOptions(), tree.scan_tree(
+        spark, str(root), ScanOptions(), listing=listing))
+    assert ("top.txt", "cannot be read") in [tuple(r) for r in lost.collect()]
 
 
 def test_task_functions_run_without_the_package(root, tmp_path_factory):
@@ -78,7 +82,7 @@ import pickle, sys, pandas as pd
 assert not any("keysift" in p or p == "/root/repo" for p in sys.path)
 lister, reader = pickle.load(open("tasks", "rb"))
 found = pd.concat(lister(iter([pd.DataFrame({"path": ["one/two"]})])))
-content = pd.concat(reader(iter([found])))
+content = pd.concat(reader(iter([found.assign(repo="r")])))
 print(list(found["path"]), list(content["content"]))
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
@@ -136,7 +140,11 @@ def test_custom_patterns_are_checked(spark, tmp_path):
         {"name": "LONG", "regex": "a" * 501}, {"name": "EDGE", "regex": "a" * 500},
         {"name": "EVIL", "regex": "(a+)+b"}, {"name": "BAD", "regex": "(["},
     ])
-    loaded = patterns.load_custom_patterns(spark, path)
+    with pytest.raises(patterns.RefusedPatterns) as refused:
+        patterns.load_custom_patterns(spark, path)
+    assert list(refused.value.reasons.values()) == [
+        "too long", "nested quantifiers", "does not compile"]
+    loaded = patterns.load_custom_patterns(spark, path, strict=False)
     assert [p.name for p in loaded] == ["GOOD", "CUSTOM_PATTERN", "EDGE"]
     assert loaded[0].regex == "it's_[a-z]\\d{3}" and loaded[0].group == 0
 
@@ -145,7 +153,18 @@ def test_too_many_patterns_refuse_all(spark, tmp_path):
     hundred = [{"name": f"P{i}", "regex": f"x{i}"} for i in range(100)]
     assert len(patterns.load_custom_patterns(spark, patterns_file(tmp_path, hundred))) == 100
     hundred.append({"name": "ONE_MORE", "regex": "y"})
-    assert patterns.load_custom_patterns(spark, patterns_file(tmp_path, hundred)) == []
+    with pytest.raises(patterns.RefusedPatterns):
+        patterns.load_custom_patterns(spark, patterns_file(tmp_path, hundred))
+    with pytest.raises(patterns.RefusedPatterns):
+        patterns.load_custom_patterns(spark, patterns_file(tmp_path, []))
+
+
+@pytest.mark.parametrize("regex,nested", [
+    ("(a+)+b", True), ("((a+))+b", True), ("(a|a)+b", True), ("(a|aa)*b", True), ("(?:x*y){2,}", True),
+    ("(ab)+c", False), ("a+b+", False), ("(a|b)c", False), (r"(\(a\+)+", False), ("([+*|]x)+", False),
+    ("(a+)?b", False), ("[(a+]+", False), ("((ab)c)*", False), ("(a+)b+", False)])
+def test_repeats_of_repeats(regex, nested):
+    assert patterns.repeats_inside_repeat(regex) == nested
 
 
 def test_baseline_readers(spark, tmp_path):
@@ -158,8 +177,14 @@ def test_baseline_readers(spark, tmp_path):
     (parts / "part-0").write_text('{"scan_metadata": {}, "findings": [\n{"secret_hash":"h1"}\n')
     (parts / "part-1").write_text(',{"secret_hash":"h2"}\n,{"pattern":"old"}\n]}\n')
     for got in (baseline.baseline_from_report(spark, str(whole)),
-                baseline.baseline_from_lines(spark, str(parts))):
+                baseline.baseline_from_lines(spark, str(parts)),
+                baseline.read_baseline(spark, str(whole)), baseline.read_baseline(spark, str(parts))):
         assert sorted(r[0] for r in got.collect()) == ["h1", "h2"]
+    (tmp_path / "none").write_text("")
+    assert baseline.read_baseline(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "other").write_text('{"findings": [{"pattern": "old"}]}')
+    with pytest.raises(ValueError):
+        baseline.read_baseline(spark, str(tmp_path / "other"))
 
 
 def test_logs(spark, tmp_path):

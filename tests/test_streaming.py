@@ -50,6 +50,16 @@ def test_a_repeated_batch_leaves_the_same_rows(spark, arriving, tmp_path):
         assert streaming.read_findings_table(spark, table).count() == 2
 
 
+def test_two_streams_share_a_table(spark, files, tmp_path):
+    table = str(tmp_path / "table")
+    streaming.create_findings_table(spark, table)
+    for name, line in (("one", KEY), ("two", OTHER)):
+        files(("r", name, line)).coalesce(1).write.parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(schemas.FILES).parquet(str(tmp_path / name))
+        streaming.scan_new(stream, table, str(tmp_path / f"{name}-progress")).awaitTermination()
+    assert streaming.read_findings_table(spark, table).count() == 2
+
+
 def test_earlier_findings_are_known(spark, files, arriving, tmp_path):
     add, stream = arriving
     table = str(tmp_path / "table")
