@@ -2,19 +2,23 @@
 
 Pivots part the space into cells.  The queries of a cell are a group; each lies within the group's
 radius R of its pivot p, so for a vector x every query q of the group has q.x between p.x - R|x|
-and p.x + R|x|.  The summary of each data cell holds its smallest distances to its pivot;
-from these follows, for every group, a score that each of its queries reaches k times at
-least.  A vector is sent to a group only if its upper bound reaches that score.  Vectors travel
-in blocks, each block meets the group's blocks of queries, and the best of every meeting
-are merged.
+and p.x + R|x|.  The summary of each data cell holds its smallest and largest distances to its pivot;
+from these follow, for every group, a score that each of its queries reaches k times at least, and
+the cells that can reach it.  Vectors travel once, in blocks, to their own cell, unless no group
+needs them; a group's blocks of queries, the smaller side, go to the cells that the group needs.  Where
+a block of data meets one of queries, only vectors whose upper bound reaches the group's score are
+compared.  A cell with many vectors is dealt over parts, and the best of every part are merged.
 """
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,24 +28,36 @@ TOP = 5
 QUERY_EVERY = 50
 SCALE = 256
 PIVOTS = 24
+# Cells are dealt over about so many parts in all; queries are copied once for each part at most.
+PARTS = 48
 _DATA_BLOCK, _QUERY_BLOCK = 2048, 256
+_MEETINGS_HELD = 512
 _NO_ID = np.iinfo(np.int64).max  # stands for a null id: after all others
 
 VECTOR = "vec_id long, dims int, cell int, query boolean, apart double, norm double, vec binary"
-BLOCK = "cell int, n int, ids binary, vecs binary"
+BLOCK = "cell int, part int, n int, ids binary, vecs binary"
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers in the narrowest type that holds them, its letter in front."""
+    most = np.abs(x).max() if x.size else 0
+    kind = "h" if most < 2 ** 15 else "i" if most < 2 ** 31 else "d"
+    return kind.encode() + x.astype(kind).tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, chr(data[0]), offset=1).astype(np.float64)
 
 
 def whole(column: pa.Array) -> list[np.ndarray | None]:
     """floor(SCALE x) of each vector; None where it is null or a component is null or not finite."""
-    found: list[np.ndarray | None] = []
-    for one in column:
-        values = one.values if one.is_valid else None
-        if values is None or values.null_count:
-            found.append(None)
-            continue
-        x = values.cast(pa.float64()).to_numpy(zero_copy_only=False)
-        found.append(np.floor(SCALE * x) if np.isfinite(SCALE * x).all() else None)
-    return found
+    values = pc.fill_null(column.flatten().cast(pa.float64()), float("nan"))
+    x = np.floor(SCALE * values.to_numpy(zero_copy_only=False))
+    good = np.isfinite(x)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy()).tolist()
+    there = column.is_valid().to_pylist()
+    return [x[start:end] if there[i] and good[start:end].all() else None
+            for i, (start, end) in enumerate(zip([0, *ends], ends))]
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -82,18 +98,20 @@ def place(vectors: DataFrame, pivots: list[np.ndarray], query_every: int) -> Dat
     """
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("vec_id").to_pylist()
+            ids, found = batch.column("vec_id").to_pylist(), whole(batch.column("embedding"))
             rows = []
-            for vec_id, x in zip(ids, whole(batch.column("embedding"))):
-                if x is None:
-                    continue
-                own = [i for i, p in enumerate(pivots) if p.size == x.size]
-                apart = [float(np.linalg.norm(x - pivots[i])) for i in own]
-                at = int(np.argmin(apart)) if own else -1
-                norm = float(np.linalg.norm(x))
-                rows.append((vec_id, x.size, own[at] if own else -1 - x.size,
-                             vec_id is not None and vec_id % query_every == 0,
-                             apart[at] if own else norm, norm, x.tobytes()))
+            for dims in {x.size for x in found if x is not None}:
+                at = [i for i, x in enumerate(found) if x is not None and x.size == dims]
+                x = np.array([found[i] for i in at])
+                norms = np.linalg.norm(x, axis=1)
+                cells, apart = np.full(len(at), -1 - dims), norms
+                if own := [i for i, p in enumerate(pivots) if p.size == dims]:
+                    p = np.array([pivots[i] for i in own])
+                    nearest = np.argmin((p * p).sum(axis=1) - 2 * (x @ p.T), axis=1)
+                    cells, apart = np.array(own)[nearest], np.linalg.norm(x - p[nearest], axis=1)
+                rows += [(ids[i], dims, int(c), ids[i] is not None and ids[i] % query_every == 0,
+                          float(a), float(n), pack(v))
+                         for i, c, a, n, v in zip(at, cells, apart, norms, x)]
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.float64(), pa.float64(),
                      pa.binary()]
             columns = zip(*rows) if rows else [()] * len(kinds)
@@ -104,6 +122,10 @@ def place(vectors: DataFrame, pivots: list[np.ndarray], query_every: int) -> Dat
     return materialize(vectors.select("vec_id", "embedding").mapInArrow(task, VECTOR), "placed")
 
 
+def _pivot(row: object, pivots: list[np.ndarray]) -> np.ndarray:
+    return pivots[row["cell"]] if row["cell"] >= 0 else np.zeros(row["dims"])
+
+
 def _group_bounds(placed: DataFrame, pivots: list[np.ndarray], top: int) -> dict[int, tuple]:
     """cell of each group of queries -> (pivot, radius, score that all its queries reach).
 
@@ -114,13 +136,12 @@ def _group_bounds(placed: DataFrame, pivots: list[np.ndarray], top: int) -> dict
     summary = placed.where("NOT query").withColumn("n", F.row_number().over(nearest)).where(
         F.col("n") <= top).select("cell", "dims", "apart").collect()
     radii = placed.where("query").groupBy("cell", "dims").agg(F.max("apart").alias("r")).collect()
-    pivot = lambda r: pivots[r["cell"]] if r["cell"] >= 0 else np.zeros(r["dims"])
     bounds = {}
     for g in radii:
-        p, low = pivot(g), []
+        p, low = _pivot(g, pivots), []
         for s in summary:
             if s["dims"] == g["dims"]:
-                c = pivot(s)
+                c = _pivot(s, pivots)
                 low.append(p @ c - np.linalg.norm(p) * s["apart"]
                            - g["r"] * (np.linalg.norm(c) + s["apart"]))
         reached = sorted(low)[-top] if len(low) >= top else -np.inf
@@ -129,49 +150,98 @@ def _group_bounds(placed: DataFrame, pivots: list[np.ndarray], top: int) -> dict
     return bounds
 
 
-def _blocks(placed: DataFrame, bounds: dict[int, tuple] | None, limit: int) -> DataFrame:
-    """``BLOCK`` rows: vectors by the groups that need them, or queries by their own group."""
+def _routes(
+    placed: DataFrame, pivots: list[np.ndarray], bounds: dict[int, tuple], parts: int
+) -> tuple[dict[int, int], list[tuple[int, int, int]]]:
+    """Parts of each cell, and (group, cell, part) for the cells whose vectors a group may need.
+
+    The summary has one row for each cell; a cell gets parts by its share of all vectors.
+    """
+    cells = placed.groupBy("cell", "dims").agg(
+        F.max("apart").alias("far"), F.count(F.lit(1)).alias("n")).collect()
+    total = sum(c["n"] for c in cells)
+    dealt = {c["cell"]: -(-c["n"] * parts // total) for c in cells}
+    found = []
+    for g, (p, r, reached) in bounds.items():
+        for c in cells:
+            if c["dims"] == p.size:
+                x = _pivot(c, pivots)
+                upper = p @ x + np.linalg.norm(p) * c["far"] + r * (np.linalg.norm(x) + c["far"])
+                if upper + 1e-6 * (1 + abs(upper)) >= reached:
+                    found += [(g, c["cell"], part) for part in range(dealt[c["cell"]])]
+    return dealt, found
+
+
+def _needed(x: np.ndarray, bound: tuple) -> np.ndarray:
+    """Which rows of ``x`` a group may need."""
+    p, r, reached = bound
+    return x @ p + r * np.linalg.norm(x, axis=1) >= reached
+
+
+def _blocks(
+    placed: DataFrame, bounds: dict[int, tuple] | None, limit: int,
+    parts: dict[int, int] | None = None
+) -> DataFrame:
+    """``BLOCK`` rows: the vectors of a cell, without those that no group needs if bounds are given.
+
+    A block goes to one of the parts of its cell, chosen by its ids.
+    """
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
 
         def block(cell: int, rows: list) -> pa.RecordBatch:
             ids, vecs = zip(*rows)
+            ids = np.array(ids, np.int64).tobytes()
+            part = zlib.crc32(ids) % parts[cell] if parts else 0
             return pa.RecordBatch.from_arrays(
-                [pa.array([cell], pa.int32()), pa.array([len(rows)], pa.int32()),
-                 pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
-                 pa.array([np.array(vecs).tobytes()], pa.binary())],
-                ["cell", "n", "ids", "vecs"])
+                [pa.array([cell], pa.int32()), pa.array([part], pa.int32()),
+                 pa.array([len(rows)], pa.int32()), pa.array([ids], pa.binary()),
+                 pa.array([pack(np.array(vecs))], pa.binary())],
+                [c.split()[0] for c in BLOCK.split(", ")])
 
         for batch in batches:
             ids = batch.column("vec_id").fill_null(_NO_ID).to_numpy()
-            vecs = [np.frombuffer(x, np.float64) for x in batch.column("vec").to_pylist()]
-            cells, dims = batch.column("cell").to_numpy(), batch.column("dims").to_numpy()
-            norms = batch.column("norm").to_numpy()
-            for g, (p, r, reached) in (bounds or {int(c): (None, 0, 0) for c in set(cells)}).items():
-                if bounds is None:
-                    need = np.flatnonzero(cells == g)
-                else:
-                    same = np.flatnonzero(dims == p.size)
-                    if not same.size:
-                        continue
-                    upper = np.array([vecs[i] for i in same]) @ p + r * norms[same]
-                    need = same[upper >= reached]
-                rows = held.setdefault(g, [])
-                for i in need.tolist():
-                    rows.append((ids[i], vecs[i]))
+            cells = batch.column("cell").to_numpy()
+            packed = batch.column("vec")
+            for cell in np.unique(cells).tolist():
+                at = np.flatnonzero(cells == cell)
+                x = np.array([unpack(packed[i].as_py()) for i in at.tolist()])
+                if bounds is not None:
+                    kept = np.zeros(at.size, bool)
+                    for bound in bounds.values():
+                        if bound[0].size == x.shape[1]:
+                            kept |= _needed(x, bound)
+                    at, x = at[kept], x[kept]
+                rows = held.setdefault(cell, [])
+                for i, v in zip(at.tolist(), x):
+                    rows.append((ids[i], v))
                     if len(rows) == limit:
-                        yield block(g, rows)
+                        yield block(cell, rows)
                         rows.clear()
-        for g, rows in held.items():
+        for cell, rows in held.items():
             if rows:
-                yield block(g, rows)
+                yield block(cell, rows)
 
-    return materialize(
-        placed.select("vec_id", "dims", "cell", "norm", "vec").mapInArrow(task, BLOCK), "blocks")
+    return placed.select("vec_id", "cell", "vec").mapInArrow(task, BLOCK)
+
+
+def _meet(state: list, asked: np.ndarray, a: np.ndarray, ids: np.ndarray, x: np.ndarray,
+          top: int) -> None:
+    """Merge a block of vectors into the best (scores, ids) of each query of a block."""
+    scores = products(a, x)
+    highest = scores.max(axis=1)
+    for j, (old, old_ids) in enumerate(state):
+        if old.size == top and highest[j] < old[-1]:
+            continue
+        others = np.flatnonzero(ids != asked[j])
+        both, both_ids = np.append(old, scores[j, others]), np.append(old_ids, ids[others])
+        kept = best(both, both_ids, top)
+        state[j] = both[kept], both_ids[kept]
 
 
 def top_k(
-    vectors: DataFrame, top: int = TOP, query_every: int = QUERY_EVERY, pivots: int = PIVOTS
+    vectors: DataFrame, top: int = TOP, query_every: int = QUERY_EVERY, pivots: int = PIVOTS,
+    parts: int = PARTS
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` best rows of ``vectors`` for every query.
 
@@ -182,38 +252,58 @@ def top_k(
     null last.  Vectors null or with null or non-finite components take no part.  Scores beyond a
     long are held at its ends.  An empty table gives no rows.
     """
+    spark = vectors.sparkSession
     chosen = _pivots(vectors, pivots)
     placed = place(vectors, chosen, query_every)
     bounds = _group_bounds(placed, chosen, top)
+    dealt, routes = _routes(placed, chosen, bounds, parts)
     asked = placed.where("query").dropDuplicates(["vec_id", "vec"])
-    queries = _blocks(asked, None, _QUERY_BLOCK)
-    data = _blocks(placed, bounds, _DATA_BLOCK)
-    names = {"n": "q", "ids": "query_ids", "vecs": "query_vecs"}
-    met = data.join(queries.withColumnsRenamed(names), "cell")
+    queries = _blocks(asked, None, _QUERY_BLOCK).select(
+        F.col("cell").alias("group"), F.col("n").alias("q"), F.col("ids").alias("query_ids"),
+        F.col("vecs").alias("query_vecs"))
+    # At most one row for each pair of pivots and each part.
+    sent = queries.join(F.broadcast(spark.createDataFrame(
+        routes, "group int, cell int, part int")), "group")
+    met = _blocks(placed, bounds, _DATA_BLOCK, dealt).join(sent, ["cell", "part"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+
+        def emptied() -> pa.RecordBatch:
+            out: list[tuple] = []
+            for (query_ids, query_vecs), state in held.items():
+                rows = unpack(query_vecs).reshape(len(state), -1)
+                for q, v, (scores, ids) in zip(np.frombuffer(query_ids, np.int64), rows, state):
+                    which = hashlib.blake2b(v.tobytes(), digest_size=16).digest()
+                    out += [(int(q), which, i, s) for i, s in zip(ids.tolist(), scores.tolist())]
+            held.clear()
+            columns = list(zip(*out)) if out else [(), (), (), ()]
+            found = np.array(columns[2], np.int64)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()),
+                 pa.array(found, pa.int64(), mask=found == _NO_ID),
+                 pa.array(columns[3], pa.int64())],
+                ["query_id", "query_vec", "vec_id", "score"])
+
         for batch in batches:
             for row in range(batch.num_rows):
-                n, q, ids, vecs, query_ids, query_vecs = (
+                g, n, q, ids, vecs, query_ids, query_vecs = (
                     batch.column(c)[row].as_py()
-                    for c in ("n", "q", "ids", "vecs", "query_ids", "query_vecs"))
-                ids, asked = np.frombuffer(ids, np.int64), np.frombuffer(query_ids, np.int64)
-                x = np.frombuffer(vecs, np.float64).reshape(n, -1)
-                a = np.frombuffer(query_vecs, np.float64).reshape(q, -1)
-                out = []
-                for j, scores in enumerate(products(a, x)):
-                    others = np.flatnonzero(ids != asked[j])
-                    for i in others[best(scores[others], ids[others], top)].tolist():
-                        out.append((int(asked[j]), a[j].tobytes(), int(ids[i]), int(scores[i])))
-                columns = list(zip(*out)) if out else [(), (), (), ()]
-                found = np.array(columns[2], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()),
-                     pa.array(found, pa.int64(), mask=found == _NO_ID),
-                     pa.array(columns[3], pa.int64())],
-                    ["query_id", "query_vec", "vec_id", "score"])
-
-    found = met.select("n", "q", "ids", "vecs", "query_ids", "query_vecs").mapInArrow(
+                    for c in ("group", "n", "q", "ids", "vecs", "query_ids", "query_vecs"))
+                x = unpack(vecs).reshape(n, -1)
+                need = np.flatnonzero(_needed(x, bounds[g]))
+                if not need.size:
+                    continue
+                none = np.empty(0, np.int64)
+                state = held.setdefault((query_ids, query_vecs), [(none, none)] * q)
+                _meet(state, np.frombuffer(query_ids, np.int64),
+                      unpack(query_vecs).reshape(q, -1),
+                      np.frombuffer(ids, np.int64)[need], x[need], top)
+                if len(held) >= _MEETINGS_HELD:
+                    yield emptied()
+        yield emptied()
+
+    found = met.select("group", "n", "q", "ids", "vecs", "query_ids", "query_vecs").mapInArrow(
         task, "query_id long, query_vec binary, vec_id long, score long")
     order = Window.partitionBy("query_id", "query_vec").orderBy(
         F.col("score").desc(), F.col("vec_id").asc_nulls_last())
