@@ -26,7 +26,7 @@ HEADLINE = (
     "pattern_summary", "pem_whole_file", "redacted_text", "dedup_findings", "secret_reuse",
     "incremental_hash_set", "remediated_findings", "blame_attribution", "sorted_findings",
     "snapshot_diff", "tree_digest", "csv_report", "json_report", "sarif_report",
-    "event_log_levels",
+    "event_log_levels", "file_tree_scan", "blame_ranges", "stream_new_secrets",
 )
 
 
@@ -71,7 +71,7 @@ def main() -> None:
         "files": n_files,
         "files_per_sec": {
             name: round(n_files / times[name])
-            for name in ("scored_findings", "planted_scores", "json_report")
+            for name in ("scored_findings", "planted_scores", "json_report", "file_tree_scan")
         },
     }))
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from keysift.options import ScanOptions
 from keysift.plans.scan import scan
-from keysift.session import materialize, spread
+from keysift.session import materialize
 from keysift.sinks.reports import FORMATS, write_reports
 from keysift.sources import baseline as baselines
 from keysift.sources.blame import parse_porcelain
@@ -37,6 +37,8 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
     parser.add_argument("--repos", metavar="PATH", help="parquet table (repo, archived)")
     parser.add_argument("--blame", metavar="PATH", help="parquet table (repo, path, porcelain)")
     parser.add_argument("--max-depth", type=int)
+    parser.add_argument("--spread", action="store_true",
+                        help="shuffle a table of few files by path before the scan")
     parser.add_argument("--custom-patterns", metavar="FILE")
     parser.add_argument("--baseline", metavar="PATH", help="earlier JSON report")
     parser.add_argument("--allow-unscanned", action="store_true",
@@ -70,7 +72,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         problems = unscanned(listing, options)
     else:
         # The depth limit is a rule for local trees only.
-        table = spread(spark.read.parquet(args.table).select("repo", "path", "content"), "path")
+        table = spark.read.parquet(args.table).select("repo", "path", "content")
+        if args.spread:
+            table = table.repartition("path")
         files = within_limits(
             from_table(table, F.col("repo"), F.col("path"), F.col("content")),
             options.with_(max_depth=args.max_depth))

@@ -406,9 +406,10 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         by_level["high_risk"].alias("high_risk"), by_level["medium_risk"].alias("medium_risk"),
         by_level["low_risk"].alias("low_risk"), F.col("summary.by_pattern").alias("by_pattern"))
     found = spark.read.schema(_FINDING).json(f"{out}/report.json")
-    return found.join(F.broadcast(head)).select(  # one row
-        "total_findings", "high_risk", "medium_risk", "low_risk",
-        F.col("by_pattern")[F.col("pattern")].alias("n_of_pattern"),
+    head = head.select(F.struct("*").alias("head")).scalar()  # one row
+    return found.withColumn("head", head).select(
+        "head.total_findings", "head.high_risk", "head.medium_risk", "head.low_risk",
+        F.col("head.by_pattern")[F.col("pattern")].alias("n_of_pattern"),
         "repo", "path", "line", "pattern", "score", "classification", "entropy",
         "match_preview", "secret_hash", "remediation.severity")
 

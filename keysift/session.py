@@ -33,7 +33,7 @@ def scratch_dir(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     master = spark.conf.get("spark.master", "local")
-    if not master.startswith("local"):
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     return _local_scratch()
 

@@ -22,8 +22,8 @@ def baseline_from_report(spark: SparkSession, path: str) -> DataFrame:
 def baseline_from_lines(spark: SparkSession, path: str) -> DataFrame:
     """Hashes in a report with one finding per line, read in parallel.
 
-    Takes JSON Lines as well as the report folder of ``sinks.json_report``, where
-    a finding may follow a comma and the first and last line are not findings.
+    Takes the parts of the JSON report of ``write_reports``, and files where a finding may follow
+    a comma and some lines are no findings.
     """
     finding = F.from_json(F.ltrim("value", F.lit(",")), _FINDING)
     return _hashes(spark.read.text(path).select(finding.alias("f")).select("f.secret_hash"))
