@@ -26,8 +26,10 @@ from keysift.llm.common import read_table, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 24
-# Documents to train on: those with the smallest hashes of their ids that hold a digit or "@".
+# Documents to train on: those with the smallest hashes that hold a digit or "@".
 SAMPLE_DOCS = 600
+# The smallest hashes are sought among about so many times as many documents.
+SAMPLE_MARGIN = 2
 SAMPLE_STRETCHES = 800
 MADE_UP = 40  # of each sort
 # A segment is taken if it adds at least so much to the score (log odds).
@@ -367,8 +369,11 @@ def fit(docs: DataFrame) -> Field:
                         found.append(text[max(0, a - 30):b + 20])
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["around"])
 
-    sample = docs.where(F.col("text").rlike("[0-9@]")).orderBy(
-        F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(SAMPLE_DOCS)
+    hashed = docs.where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("doc_id", "text"))
+    # Hashes of about so many documents lie below; the others never reach the task that sorts.
+    share = min(1.0, SAMPLE_MARGIN * SAMPLE_DOCS / max(hashed.count(), 1))
+    below = hashed.where(F.col("h") <= F.lit(min(int((share - 0.5) * 2**64), 2**63 - 1)))
+    sample = below.orderBy("h", "doc_id").limit(SAMPLE_DOCS)
     drawn = sample.select("text").mapInArrow(task, "around string").where(
         F.length("around") < 400).distinct().orderBy(F.xxhash64("around"), "around")
     labelled = [(r["around"], base_spans(r["around"])) for r in drawn.limit(SAMPLE_STRETCHES).collect()]
