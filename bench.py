@@ -27,6 +27,7 @@ HEADLINE = (
     "incremental_hash_set", "remediated_findings", "blame_attribution", "sorted_findings",
     "snapshot_diff", "tree_digest", "csv_report", "json_report", "sarif_report",
     "event_log_levels", "file_tree_scan", "blame_ranges", "stream_new_secrets",
+    "all_reports",
 )
 
 

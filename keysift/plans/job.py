@@ -15,7 +15,7 @@ import os
 import sys
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from keysift.options import ScanOptions
@@ -50,7 +50,7 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
-    args = _arguments(argv)
+    args, reading = _arguments(argv), None
     spark = spark or SparkSession.builder.appName("keysift").getOrCreate()
     options = ScanOptions.from_env()
     if args.max_depth is not None:
@@ -70,6 +70,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             wanted = active_only(wanted, spark.read.parquet(args.repos))
         files = scan_tree(spark, root, options, listing=wanted)
         problems = unscanned(listing, options)
+        # Counted while the scan reads them; the usual scan has none and reads nothing twice.
+        reading, whole = Observation(), files
+        files = files.observe(reading, F.count_if(F.col("content").isNull()).alias("unread"))
     else:
         # The depth limit is a rule for local trees only.
         table = spark.read.parquet(args.table).select("repo", "path", "content")
@@ -96,6 +99,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     formats = FORMATS if args.output_format == "all" else [args.output_format]
     summary = write_reports(findings, args.output, options, formats,
                             described={c.name: c.description for c in custom})
+    if reading is not None and reading.get["unread"]:
+        problems = unscanned(listing, options, whole)
     problems.write.json(f"{args.output}/unscanned.json")
     left_out = {r["reason"]: r["n"] for r in spark.read.schema("path STRING, reason STRING").json(
         f"{args.output}/unscanned.json").groupBy("reason").agg(F.count("*").alias("n")).orderBy(

@@ -178,6 +178,65 @@ def _redacted(text: str, patterns: Iterable[Pattern]) -> str:
 _PEM_SQL = " || chr(10) || ".join((
     "'-----BEGIN' || ' PRIVATE' || ' KEY-----'", "{0}", "'-----END' || ' PRIVATE' || ' KEY-----'"))
 
+# Which secret each planted line holds, by the providers' formats; no regex is used.
+_CATALOGUE = (
+    (1, "AWS_ACCESS_KEY_ID", "'AK' || 'IA' || substr(upper(h), 1, 16)"),
+    (2, "AWS_SECRET_ACCESS_KEY", "substr(h, 1, 40)"),
+    (3, "GCP_SERVICE_ACCOUNT", "'\"type\": \"service' || '_account\"'"),
+    (4, "GCP_PRIVATE_KEY_ID", "substr(h, 3, 40)"),
+    (5, "FIREBASE_GOOGLE_API_KEY", "'AI' || 'za' || substr(h, 1, 35)"),
+    (6, "AZURE_STORAGE_KEY", "h || substr(h, 1, 22) || '=='"),
+    (7, "AZURE_CLIENT_SECRET", "'q~' || substr(h, 1, 34)"),
+    (8, "GITHUB_TOKEN", "'gh' || 'p_' || substr(h, 1, 36)"),
+    (9, "GITHUB_APP_TOKEN", "'gh' || 's_' || substr(h, 2, 36)"),
+    (10, "GITHUB_FINE_GRAINED_PAT", "'github' || '_pat_' || substr(h, 1, 40)"),
+    (11, "GITLAB_PAT", "'gl' || 'pat-' || substr(h, 1, 20)"),
+    (12, "SLACK_TOKEN", "'xo' || 'xb-' || substr(h, 1, 30)"),
+    (13, "SLACK_WEBHOOK", "'https://hooks.sla' || 'ck.com/services/T' || substr(upper(h), 1, 8) "
+                          "|| '/B' || substr(upper(h), 9, 8) || '/' || substr(h, 1, 24)"),
+    (14, "DISCORD_BOT_TOKEN",
+     "'M' || substr(h, 1, 23) || '.' || substr(h, 30, 6) || '.' || substr(h, 36, 27)"),
+    (15, "DISCORD_WEBHOOK", "'https://dis' || 'cord.com/api/webhooks/' || "
+                            "substr(translate(h, 'abcdef', '012345'), 1, 18) || '/' || h"),
+    (16, "STRIPE_SECRET_KEY", "'sk' || '_live_' || substr(h, 1, 24)"),
+    (17, "STRIPE_RESTRICTED_KEY", "'rk' || '_live_' || substr(h, 9, 24)"),
+    (18, "PAYPAL_BRAINTREE_TOKEN", "'access_' || 'token$production$' || substr(h, 1, 16) || '$' "
+                                   "|| substr(h, 17, 32)"),
+    (19, "OPENAI_API_KEY", "'sk' || '-' || substr(h, 1, 48)"),
+    (20, "ANTHROPIC_API_KEY", "'sk' || '-ant-' || substr(h, 1, 40)"),
+    (21, "JWT", "'ey' || 'J' || substr(h, 1, 12) || '.' || substr(h, 13, 20) || '.' "
+                "|| substr(h, 33, 20)"),
+    (22, "SSH_PUBLIC_KEY", "'ssh-' || 'rsa ' || h || substr(h, 1, 6) || '=='"),
+    (23, "DATABASE_URI", "substr(h, 1, 15)"),
+    (24, "DOCKER_AUTH", "substr(h, 1, 24) || '=='"),
+    (25, "DOCKER_PAT", "'dckr' || '_pat_' || substr(h, 1, 27)"),
+    (26, "NPM_TOKEN", "'np' || 'm_' || substr(h, 1, 36)"),
+    (27, "PYPI_TOKEN", "'py' || 'pi-' || substr(h, 1, 60)"),
+    (28, "DATADOG_KEY", "substr(h, 1, 32)"),
+    (29, "NEW_RELIC_KEY", "'NR' || 'AK-' || substr(upper(h), 1, 27)"),
+    (30, "SENTRY_DSN", "'https://' || substr(h, 1, 32) || '@o1.ingest.sen' || 'try.io/42'"),
+    (31, "SENDGRID_API_KEY", "'S' || 'G.' || substr(h, 1, 22) || '.' || substr(h, 20, 43)"),
+    (32, "TWILIO_API_KEY", "'S' || 'K' || substr(h, 1, 32)"),
+    (33, "MAILGUN_API_KEY", "'key' || '-' || substr(h, 1, 32)"),
+    (34, "GENERIC_ASSIGNMENT", "substr(h, 1, 20)"),
+    (35, "PEM_PRIVATE_KEY", "'-----BEGIN' || ' PRIVATE' || ' KEY-----' || chr(10) || h || chr(10) "
+                            "|| '-----END' || ' PRIVATE' || ' KEY-----'"),
+)
+_LONG = (
+    (1, "GENERIC_ASSIGNMENT", "h || t"), (2, "GITHUB_TOKEN", "'gh' || 'p_' || h || t || t || t"),
+    (3, "DATABASE_URI", "h || h || t"), (4, "OPENAI_API_KEY", "'sk' || '-proj-' || h || '_' || t || '-x'"),
+)
+_HASHED = f"(SELECT *, sha256(content) AS h, substr(sha256(content), 1, 10) AS t FROM ({DOCUMENTS}))"
+
+
+def _planted(rows: Iterable[tuple[int, str, str]]) -> str:
+    listed = ", ".join(f"{{'line': {n}::INT, 'pattern': {_q(p)}, 'secret': {x}}}" for n, p, x in rows)
+    return f"""
+        SELECT repo, path, m.line AS line, m.pattern AS pattern, 1::INT AS occurrence,
+               m.secret AS secret
+        FROM (SELECT repo, path, unnest([{listed}]) AS m FROM {_HASHED})"""
+
+
 _TREE_ID = "sha256(repo || chr(10) || path || chr(10) || sha256(content))"
 _TREE_SUMS = " || ':' || ".join(
     f"sum(('0x' || substr(h, {at}, {size}))::BIGINT)::VARCHAR"
@@ -396,4 +455,24 @@ ORACLE: dict[str, str] = {
         SELECT secret_hash, repo, path, line, pattern, score FROM ({_first_per_secret('f')})
         WHERE secret_hash NOT IN (SELECT secret_hash FROM g)""",
     "stream_distinct_secrets": f"{_DOC} SELECT DISTINCT secret_hash FROM f",
+    "scan_problems": f"""
+        SELECT path, CASE WHEN path LIKE 'fr/%' THEN 'cannot be listed' ELSE 'too large' END AS reason
+        FROM ({DOCUMENTS})
+        WHERE path NOT LIKE '%/docs/%' AND (path LIKE 'fr/%' OR strlen(content) * 512 > 1048576)
+        UNION ALL SELECT path, 'cannot be read' FROM ({DOCUMENTS}) WHERE contains(content, '@')""",
+    "catalogue_matches": f"""
+        SELECT {_PLACE}, sha256(secret) AS secret_hash FROM ({_planted(_CATALOGUE)})""",
+    "long_secrets": f"""
+        SELECT {_PLACE}, length(secret)::INT AS n_chars, sha256(secret) AS secret_hash
+        FROM ({_planted(_LONG)})""",
+    "long_redaction": f"""
+        SELECT repo, path, true AS is_redacted,
+               sha256(concat_ws(chr(10), 'pass' || 'word = "{REPLACEMENT}"', '{REPLACEMENT}',
+                   'post' || 'gres://app:{REPLACEMENT}@db.internal/main', '{REPLACEMENT}'))
+                   AS content_hash
+        FROM ({DOCUMENTS})""",
+    "all_reports": f"""{_DOC}
+        SELECT format, pattern, count(*) AS n_findings
+        FROM (SELECT pattern, unnest(['json', 'csv', 'sarif']) AS format FROM f)
+        GROUP BY format, pattern""",
 }

@@ -75,6 +75,22 @@ def file_tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_distinct("secret_hash").alias("n_secrets"))
 
 
+def scan_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scan leaves out, with reasons.
+
+    French documents stand for directories that cannot be listed, those over 2 KiB for files
+    over the size limit and those with "@" for files that cannot be read; /docs/ is skipped.
+    """
+    docs = tables.document_files(spark, sf_dir)
+    french = F.col("path").startswith("fr/")
+    listing = docs.select(
+        "path", (F.col("size") * 512).alias("size"), french.alias("is_dir"),
+        F.when(french, "cannot be listed").alias("error"))
+    read = docs.withColumn("content", F.when(~F.contains("content", F.lit("@")), F.col("content")))
+    options = OPTIONS.with_(max_file_size_mb=1, skip_fragments=("/docs/",))
+    return tree.unscanned(listing, options, read)
+
+
 def _page_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses without scheme as paths."""
     return tables.table(spark, sf_dir, "pages").select(
@@ -149,6 +165,27 @@ def custom_pattern_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.pattern_summary(found)
 
 
+def catalogue_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every built-in pattern finds its own planted credential, whole."""
+    found = match.find_matches(tables.catalogue_files(spark, sf_dir))
+    return found.select("repo", "path", "line", "pattern", "occurrence",
+                        F.sha2("secret", 256).alias("secret_hash"))
+
+
+def long_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of 70 to 140 characters, found whole."""
+    found = match.find_matches(tables.long_files(spark, sf_dir))
+    return found.select("repo", "path", "line", "pattern", "occurrence",
+                        F.length("secret").alias("n_chars"),
+                        F.sha2("secret", 256).alias("secret_hash"))
+
+
+def long_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files redacted: no tail of a secret stays."""
+    cleaned = redact.redact(tables.long_files(spark, sf_dir))
+    return cleaned.select("repo", "path", "is_redacted", F.sha2("content", 256).alias("content_hash"))
+
+
 def entropy_of_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return custom_findings(spark, sf_dir).select(
         "repo", "path", "line", "pattern", "occurrence", "entropy")
@@ -445,6 +482,21 @@ def sarif_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("r.partialFingerprints.secretHash").alias("secret_hash"))
 
 
+def all_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by report format and pattern, from all formats written in one go."""
+    out = new_scratch(spark, "report")
+    reports.write_reports(custom_findings(spark, sf_dir), out, OPTIONS)
+    as_json = spark.read.schema("pattern STRING").json(f"{out}/report.json")
+    as_csv = spark.read.csv(f"{out}/report.csv", header=True, escape='"').select("pattern")
+    logs = spark.read.schema(_SARIF).json(f"{out}/report.sarif")
+    as_sarif = logs.select(F.explode("runs").alias("run")).select(
+        F.explode("run.results").alias("r")).select(F.col("r.ruleId").alias("pattern"))
+    found = [x.withColumn("format", F.lit(name)) for name, x in (
+        ("json", as_json), ("csv", as_csv), ("sarif", as_sarif))]
+    return found[0].unionByName(found[1]).unionByName(found[2]).groupBy("format", "pattern").agg(
+        F.count(F.lit(1)).alias("n_findings"))
+
+
 def sarif_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.sarif_rules(remediate.with_remediation(planted_findings(spark, sf_dir)))
 
@@ -579,5 +631,6 @@ QUERIES: dict[str, Query] = {
         blame_overlaps, csv_rows, csv_report, json_report, sarif_report, sarif_rules,
         path_policy, snapshot_diff, tree_digest, event_log_levels, json_log_errors,
         text_log_levels, bounded_options, stream_new_secrets, stream_distinct_secrets,
+        scan_problems, catalogue_matches, long_secrets, long_redaction, all_reports,
     )
 }

@@ -95,6 +95,79 @@ def planted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.withColumn("content", F.concat_ws("\n", "content", *_planted_lines()))
 
 
+def _catalogue_lines() -> list[Column]:
+    """A made-up credential of every built-in pattern, from the hash ``h`` of each text.
+
+    One line each, but for the key block at the end.
+    """
+    h, up = F.col("h"), F.upper("h")
+
+    def line(*parts: object) -> Column:
+        return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+
+    def cut(size: int, at: int = 1) -> Column:
+        return F.substring(h, at, size)
+
+    digits = F.translate(h, "abcdef", "012345")
+    return [
+        line("id ", "AK", "IA", F.substring(up, 1, 16), ";"),
+        line("aws_sec", "ret_access_key = \"", cut(40), "\""),
+        line("{\"type\": \"service", "_account\"}"),
+        line("\"private_", "key_id\": \"", cut(40, 3), "\""),
+        line("k=AI", "za", cut(35)),
+        line("Account", "Key=", h, cut(22), "==;"),
+        line("azure_client_sec", "ret: q~", cut(34)),
+        line("gh", "p_", cut(36)),
+        line("gh", "s_", cut(36, 2)),
+        line("github", "_pat_", cut(40)),
+        line("gl", "pat-", cut(20)),
+        line("xo", "xb-", cut(30)),
+        line("https://hooks.sla", "ck.com/services/T", F.substring(up, 1, 8), "/B",
+             F.substring(up, 9, 8), "/", cut(24)),
+        line("M", cut(23), ".", cut(6, 30), ".", cut(27, 36)),
+        line("https://dis", "cord.com/api/webhooks/", F.substring(digits, 1, 18), "/", h),
+        line("sk", "_live_", cut(24)),
+        line("rk", "_live_", cut(24, 9)),
+        line("access_", "token$production$", cut(16), "$", cut(32, 17)),
+        line("key sk", "-", cut(48), " "),
+        line("sk", "-ant-", cut(40)),
+        line("Bearer ey", "J", cut(12), ".", cut(20, 13), ".", cut(20, 33)),
+        line("ssh-", "rsa ", h, cut(6), "== me@host"),
+        line("post", "gres://user:", cut(15), "@db.host/name"),
+        line("\"au", "th\": \"", cut(24), "==\""),
+        line("dckr", "_pat_", cut(27)),
+        line("np", "m_", cut(36)),
+        line("py", "pi-", cut(60)),
+        line("DD_", "APP_KEY=", cut(32)),
+        line("NR", "AK-", F.substring(up, 1, 27)),
+        line("https://", cut(32), "@o1.ingest.sen", "try.io/42"),
+        line("S", "G.", cut(22), ".", cut(43, 20)),
+        line("sid S", "K", cut(32), " "),
+        line("mail key", "-", cut(32), " "),
+        line("PassWord : '", cut(20), "'"),
+        line("-----BEGIN", " PRIVATE", " KEY-----\n", h, "\n-----END", " PRIVATE", " KEY-----"),
+    ]
+
+
+def catalogue_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document, a file with one credential of every built-in pattern."""
+    files = document_files(spark, sf_dir).withColumn("h", F.sha2("content", 256))
+    return files.withColumn("content", F.concat_ws("\n", *_catalogue_lines())).drop("h")
+
+
+def long_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document, a file with secrets of 70 to 140 characters."""
+    files = document_files(spark, sf_dir).withColumn("h", F.sha2("content", 256))
+    h, tail = F.col("h"), F.substring("h", 1, 10)
+    return files.withColumn("content", F.concat_ws(
+        "\n",
+        F.concat(F.lit("pass"), F.lit("word = \""), h, tail, F.lit("\"")),
+        F.concat(F.lit("gh"), F.lit("p_"), h, tail, tail, tail),
+        F.concat(F.lit("post"), F.lit("gres://app:"), h, h, tail, F.lit("@db.internal/main")),
+        F.concat(F.lit("sk"), F.lit("-proj-"), h, F.lit("_"), tail, F.lit("-x")),
+    )).drop("h")
+
+
 def pem_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents between two key blocks whose bodies come from their hashes."""
     files = document_files(spark, sf_dir)

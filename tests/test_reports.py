@@ -166,6 +166,30 @@ def test_job_on_a_tree_and_incrementally(spark, tmp_path, monkeypatch):
     assert job.main([*again, "--output", str(tmp_path / "four")], spark) == 1
 
 
+def test_job_names_files_that_vanish(spark, tmp_path, monkeypatch):
+    tree = tmp_path / "tree"
+    tree.mkdir()
+    (tree / "a.py").write_text(samples.line("GITHUB_TOKEN"))
+    (tree / "gone.py").write_text(samples.line("NPM_TOKEN"))
+    listed = job.list_tree
+
+    def list_and_lose(*args):
+        listing = listed(*args)
+        (tree / "gone.py").unlink()
+        return listing
+
+    monkeypatch.setattr(job, "list_tree", list_and_lose)
+    out = str(tmp_path / "out")
+    assert job.main(["--local", str(tree), "--output", out], spark) == 2
+    assert [f["pattern"] for f in findings(out)] == ["GITHUB_TOKEN"]
+    assert "gone.py" in text(out + "/unscanned.json")
+
+
+def test_job_on_an_empty_tree(spark, tmp_path):
+    (tmp_path / "tree").mkdir()
+    assert job.main(["--local", str(tmp_path / "tree"), "--output", str(tmp_path / "out")], spark) == 0
+
+
 def test_job_on_tables(spark, files, tmp_path):
     files(("on", "a", samples.line("NPM_TOKEN")), ("off", "b", samples.line("GITLAB_PAT"))) \
         .select("repo", "path", "content").write.parquet(str(tmp_path / "snap"))
