@@ -27,6 +27,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 OPTIONS = ScanOptions()
 
+# Bytes of the parts in which several documents are written together.
+_PART_BYTES = 8 * 2**20
+
 # User patterns that occur in the given tables.
 CUSTOM_PATTERNS: tuple[Pattern, ...] = (
     custom_pattern("EMAIL", r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+",
@@ -63,12 +66,20 @@ def line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as a directory tree of text files, then scanned from there.
 
-    The parts are bounded in rows, so a large source becomes many files.
+    The parts are bounded in bytes, so a large source becomes many files and a long document one
+    of its own.  The size limit lies above the largest of them: every document is scanned.
     """
     root = new_scratch(spark, "tree")
-    tables.document_files(spark, sf_dir).select("repo", F.col("content").alias("value")) \
-        .write.option("maxRecordsPerFile", 200).partitionBy("repo").text(root)
-    found = detect(tree.scan_tree(spark, root, OPTIONS), OPTIONS, CUSTOM_PATTERNS)
+    docs = tables.document_files(spark, sf_dir)
+    for is_long, most in ((False, 200), (True, 1)):
+        docs.where((F.coalesce("size", F.lit(0)) > _PART_BYTES // 200 - 1) == is_long).select(
+            "repo", F.col("content").alias("value")).write.mode("append").option(
+            "maxRecordsPerFile", most).partitionBy("repo").text(root)
+    listing = tree.list_tree(spark, root, OPTIONS.max_depth, OPTIONS.skip_fragments)
+    largest = listing.agg(F.coalesce(F.max("size"), F.lit(0)).alias("size")).first()["size"]
+    options = OPTIONS.with_(max_file_size_mb=max(OPTIONS.max_file_size_mb, -(-largest // 2**20)))
+    found = detect(
+        tree.scan_tree(spark, root, options, listing=listing), options, CUSTOM_PATTERNS)
     repo = F.regexp_extract("path", "^repo=([^/]+)/", 1)
     return found.groupBy(repo.alias("repo"), "pattern").agg(
         F.count(F.lit(1)).alias("n_findings"),
