@@ -84,8 +84,15 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         problems = table.where(
             F.octet_length("content") > options.max_file_size_mb * 1024 * 1024).select(
             "path", F.lit("too large").alias("reason"))
+        # No size rule drops a row without content.
+        unread = within_limits(
+            table.where("content IS NULL").select("repo", "path", F.lit(0).alias("size")),
+            options.with_(max_depth=args.max_depth))
         if args.repos:
-            files = active_only(files, spark.read.parquet(args.repos))
+            repos = spark.read.parquet(args.repos)
+            files, unread = active_only(files, repos), active_only(unread, repos)
+        problems = problems.unionByName(
+            unread.select("path", F.lit("cannot be read").alias("reason")))
     custom = load_custom_patterns(spark, args.custom_patterns) if args.custom_patterns else []
     baseline = blame = None
     known = args.baseline or (options.baseline_path if options.incremental else None)

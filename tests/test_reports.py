@@ -204,3 +204,18 @@ def test_job_on_tables(spark, files, tmp_path):
                      "--blame", str(tmp_path / "blame"), "--output", out], spark) == 0
     finding, = findings(out)
     assert finding["repo"] == "on" and finding["git_blame"]["author"] == "Ann"
+
+
+def test_job_names_rows_without_content(spark, files, tmp_path):
+    files(("on", "a", samples.line("NPM_TOKEN")), ("on", "lost", None), ("off", "old", None),
+          ("on", "x/vendor/skipped", None)).select("repo", "path", "content") \
+        .write.parquet(str(tmp_path / "snap"))
+    spark.createDataFrame([("on", False), ("off", True)], "repo STRING, archived BOOLEAN") \
+        .write.parquet(str(tmp_path / "repos"))
+    args = ["--table", str(tmp_path / "snap"), "--repos", str(tmp_path / "repos")]
+    out = str(tmp_path / "out")
+    assert job.main([*args, "--output", out], spark) == 2
+    assert [f["pattern"] for f in findings(out)] == ["NPM_TOKEN"]
+    assert [json.loads(x) for x in text(out + "/unscanned.json").split("\n") if x] == [
+        {"path": "lost", "reason": "cannot be read"}]
+    assert job.main([*args, "--allow-unscanned", "--output", out + "2"], spark) == 0
