@@ -3,9 +3,10 @@
 The patterns find addresses, card and phone numbers in their plain forms.  The field finds more:
 forms the patterns miss, such as ``name (at) host dot org`` or a phone number without its plus.
 Stretches of a text that may hold personal data are cut into units (digits, letters, blanks,
-marks); every run of up to ``LONGEST`` units is a candidate segment, scored as a whole by
-features of its digits, groups, separators, checksums and surroundings, for every kind.  Dynamic
-programming picks the segments of the highest total; units in none score zero.
+marks); every run of up to ``LONGEST`` units, and every written-out address of any length, is a
+candidate segment, scored as a whole by features of its digits, groups, separators, checksums and
+surroundings, for every kind.  Runs of numbers with more digits than any kind has are none.
+Dynamic programming picks the segments of the highest total; units in none score zero.
 
 The field is trained here, by maximum likelihood, on stretches drawn from a bounded sample of the
 documents (labelled by the patterns), on other ways of writing what the patterns found there,
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from keysift.llm.common import read_table, slices
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST = 24
+# A card of 16 digits parted by a blank, a mark and a blank has 61 units.
+LONGEST = 64
+MOST_DIGITS = 19
 # Documents to train on: those with the smallest hashes that hold a digit or "@".
 SAMPLE_DOCS = 600
 # The smallest hashes are sought among about so many times as many documents.
@@ -100,6 +103,7 @@ _WRITTEN_OUT = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{_
                           rf"[A-Za-z0-9-]{{1,64}}(?:{_DOT}[A-Za-z0-9-]{{1,64}})+")
 _NUMBERS = re.compile(r"[+(]?[0-9][0-9 ().\-/\[\]]*[0-9]")
 _UNITS = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
+_GOES_ON = re.compile(rf"(?i){_DOT}[A-Za-z0-9-]")
 _MARKED = re.compile(r"(?i)[(\[{ ](at|dot)[)\]} ]")
 # Words before a number or address that tell its kind.
 _CUES = frozenset(("tel", "phone", "call", "fax", "mobile", "mail", "email", "contact", "card",
@@ -149,6 +153,9 @@ def _features(text: str, a: int, b: int) -> list[str]:
         form = re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.([A-Za-z]{2,})", plain)
         found.append(f"address {bool(form)} {plain.count('@')}")
         found.append(f"marked {bool(_MARKED.search(span))} {bool(form)}")
+        found.append(f"dot after {bool(_GOES_ON.match(text[b:b + 16]))}")
+    else:
+        found.append("no address")
     if re.match(r"[^\W_]", before) and re.match(r"[^\W_]", span[0]):
         found.append("cut on the left")
     if re.match(r"[^\W_]", after) and re.match(r"[^\W_]", span[-1]):
@@ -161,18 +168,30 @@ def _features(text: str, a: int, b: int) -> list[str]:
 
 def segments(text: str, a: int, b: int) -> tuple[list[int], list[tuple[int, int]]]:
     """Unit edges of a stretch, and the candidates as pairs of edge numbers."""
-    edges = [a, *(m.end() for m in _UNITS.finditer(text, a, b))]
+    edges, digits, others = [a], [0], [0]  # digits, and units of letters or "@", before each edge
+    for m in _UNITS.finditer(text, a, b):
+        edges.append(m.end())
+        digits.append(digits[-1] + len(_digits(m[0])))
+        others.append(others[-1] + (m[0].isalpha() or m[0] == "@"))
     found = []
     for i in range(len(edges) - 1):
         c = text[edges[i]]
         if not (c.isalnum() or c in "+(._%-"):
             continue
         for j in range(i + 1, min(i + LONGEST, len(edges) - 1) + 1):
+            if digits[j] - digits[i] > MOST_DIGITS and others[j] == others[i]:
+                continue
             span = text[edges[i]:edges[j]]
             if span[-1].isalnum() and (
-                    "@" in span or _MARKED.search(span) or len(_digits(span)) >= 7
+                    "@" in span or _MARKED.search(span) or digits[j] - digits[i] >= 7
                     or span.count(".") >= 3):
                 found.append((i, j))
+    if len(edges) - 1 > LONGEST:
+        number = {x: n for n, x in enumerate(edges)}
+        for m in _WRITTEN_OUT.finditer(text, a, b):
+            i, j = (number.get(x, -1) for x in m.span())
+            if i >= 0 and j - i > LONGEST and text[edges[j] - 1].isalnum():
+                found.append((i, j))
     return edges, found
 
 
@@ -228,6 +247,8 @@ def _made_up(rng: np.random.Generator) -> list[tuple[str, list[Span]]]:
         three = [number(3), number(3), number(4)]
         sorts = [
             (f"{local}{a}{host}{d}{end}", 0), (f"{local}@{host}{d}{end}", 0),
+            (f"{local}{a}{host}{d}{local}{d}{end}", 0),
+            (f"{local}.{host}{a}{end}{d}{host}{d}co{d}uk", 0),
             ("[.]".join(quad(256)), 1), (".".join(quad(256)), 1),
             (fours(card(True), str(rng.choice([".", "/", " ", "-"]))), 2), (card(True), 2),
             (f"({three[0]}) {three[1]}-{three[2]}", 3), (f"{mark.join(three)}", 3),

@@ -115,3 +115,25 @@ def test_odd_rows(spark, field):
     assert pii.find(df.limit(0), field).count() == 0
     empty = spark.createDataFrame([], "doc_id LONG, text STRING")
     assert pii.fit(empty).spans("ring (888) 555-6841", []) != []
+
+
+@pytest.mark.parametrize("entity", [
+    "jane (at) mail (dot) example (dot) co (dot) uk",
+    "jane.doe (at) mail (dot) example (dot) co (dot) uk",
+    "jane at a" + " (dot) bc" * 40 + " (dot) org"])
+def test_long_written_out_addresses_are_found_whole(field, entity):
+    text = f"write to us: {entity}, please"
+    assert [(text[a:b], pii.KINDS[k]) for a, k, b in field.spans(text, [])] == [(entity, "email")]
+
+
+@pytest.mark.parametrize("mark", [".", "/", " - "])
+def test_a_card_of_single_digits_is_one_candidate(mark):
+    text = mark.join("4111111111111111")
+    edges, spans = pii.segments(text, 0, len(text))
+    assert (0, len(edges) - 1) in spans
+
+
+def test_candidates_of_long_rows_of_numbers_are_few():
+    text = "12 " * 20_000
+    edges, spans = pii.segments(text, 0, len(text))
+    assert len(spans) < 10 * len(edges)
