@@ -199,7 +199,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_undetermined(docs: DataFrame) -> DataFrame:
-    """The documents with a language; those with a null text or without any letter go."""
+    """The documents with a language; those with a null text or without any letter go.
+
+    Where no language can be learned, one stands for all: every text with a letter stays.
+    """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    found = predict(rows, learn_from(docs)).where(F.col("lang_pred") != UNDETERMINED)
+    learned = learn_from(docs) or {"any": np.ones(DIMENSIONS)}
+    found = predict(rows, learned).where(F.col("lang_pred") != UNDETERMINED)
     return found.select("row.*")

@@ -60,3 +60,11 @@ def test_undetermined_documents_go(spark):
         "doc_id LONG, text STRING, lang STRING, lang_pred STRING")
     got = langid.drop_undetermined(df)
     assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 4]
+
+
+def test_documents_stay_where_no_language_is_learned(spark):
+    df = spark.createDataFrame(
+        [(1, "der die", None), (2, "9", None), (3, None, None), (4, "the of", None), (None, "la", None)],
+        "doc_id LONG, text STRING, lang STRING")
+    got = langid.drop_undetermined(df).collect()
+    assert sorted(r["text"] for r in got) == ["der die", "la", "the of"]
