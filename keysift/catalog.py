@@ -81,7 +81,7 @@ PATTERNS: tuple[Pattern, ...] = (
     Pattern("GCP_PRIVATE_KEY_ID", "CRITICAL", "cloud", "[0-9a-f]{40}",
             lead=r'"private_key_id"[ \t]*:[ \t]*"', tail='"', hints=('"private_key_id"',),
             description="Google Cloud private key id"),
-    Pattern("FIREBASE_GOOGLE_API_KEY", "HIGH", "cloud", "AIza[0-9A-Za-z_-]{35}",
+    Pattern("FIREBASE_GOOGLE_API_KEY", "HIGH", "cloud", "AIza[0-9A-Za-z_-]{35,}",
             hints=("AIza",), description="Firebase or Google API key"),
     Pattern("AZURE_STORAGE_KEY", "CRITICAL", "cloud", "[A-Za-z0-9+/]{86}==",
             lead="AccountKey=", hints=("AccountKey=",), description="Azure storage account key"),
@@ -100,7 +100,7 @@ PATTERNS: tuple[Pattern, ...] = (
     Pattern("SLACK_TOKEN", "HIGH", "messaging", "xox[pbar]-[0-9A-Za-z-]{10,}",
             hints=("xox",), description="Slack token"),
     Pattern("SLACK_WEBHOOK", "HIGH", "messaging",
-            r"https://hooks\.slack\.com/services/T[A-Z0-9]{6,12}/B[A-Z0-9]{6,12}/[A-Za-z0-9]{20,28}",
+            r"https://hooks\.slack\.com/services/T[A-Z0-9]{6,12}/B[A-Z0-9]{6,12}/[A-Za-z0-9]{20,}",
             hints=("hooks.slack.com",), description="Slack incoming webhook"),
     Pattern("DISCORD_BOT_TOKEN", "HIGH", "messaging",
             r"[MN][A-Za-z0-9]{23,25}\.[A-Za-z0-9_-]{6}\.[A-Za-z0-9_-]{27,}",
@@ -113,7 +113,7 @@ PATTERNS: tuple[Pattern, ...] = (
     Pattern("STRIPE_RESTRICTED_KEY", "CRITICAL", "payment", "rk_live_[0-9A-Za-z]{16,}",
             hints=("rk_live_",), description="Stripe restricted key"),
     Pattern("PAYPAL_BRAINTREE_TOKEN", "CRITICAL", "payment",
-            r"access_token\$production\$[0-9a-z]{16}\$[0-9a-f]{32}",
+            r"access_token\$production\$[0-9a-z]{16}\$[0-9a-f]{32,}",
             hints=("access_token$production$",), description="PayPal Braintree access token"),
     Pattern("OPENAI_API_KEY", "CRITICAL", "ai", "sk-(?:proj-[A-Za-z0-9_-]{20,}|[A-Za-z0-9]{20,})",
             lead=_NOT_ALNUM_BEFORE, tail=_NOT_ALNUM_AFTER, hints=("sk-",),
@@ -148,13 +148,13 @@ PATTERNS: tuple[Pattern, ...] = (
     Pattern("DATADOG_KEY", "HIGH", "monitoring", "[a-f0-9]{32,}",
             lead="(?:datadog|dd)[_-]?(?:api|app)[_-]?key" + _ASSIGN, ignore_case=True,
             hints=("datadog", "dd_ap", "dd-ap", "ddap"), description="Datadog key"),
-    Pattern("NEW_RELIC_KEY", "HIGH", "monitoring", "NRAK-[A-Z0-9]{27}",
+    Pattern("NEW_RELIC_KEY", "HIGH", "monitoring", "NRAK-[A-Z0-9]{27,}",
             hints=("NRAK-",), description="New Relic key"),
     Pattern("SENTRY_DSN", "MEDIUM", "monitoring",
-            r"https://[0-9a-f]{32}@[a-z0-9.]{1,64}sentry\.io/[0-9]{1,20}",
+            r"https://[0-9a-f]{32}@[a-z0-9.]{1,64}sentry\.io/[0-9]+",
             hints=("sentry.io/",), description="Sentry DSN"),
     Pattern("SENDGRID_API_KEY", "HIGH", "messaging",
-            r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}", hints=("SG.",),
+            r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43,}", hints=("SG.",),
             description="SendGrid API key"),
     Pattern("TWILIO_API_KEY", "HIGH", "messaging", "SK[0-9a-f]{32}",
             lead=_NOT_ALNUM_BEFORE, tail=_NOT_HEX_AFTER, hints=("SK",),

@@ -98,3 +98,12 @@ def test_one_template_per_pattern():
     aws = template_for("AWS_ACCESS_KEY_ID")
     assert aws.rotation_command == "aws iam create-access-key --user-name USERNAME"
     assert len(aws.immediate_actions) == 5 and len(aws.prevention) == 3
+
+
+@pytest.mark.parametrize("name", [
+    "SLACK_WEBHOOK", "FIREBASE_GOOGLE_API_KEY", "NEW_RELIC_KEY", "PAYPAL_BRAINTREE_TOKEN",
+    "SENDGRID_API_KEY", "SENTRY_DSN"])
+def test_values_longer_than_usual_are_whole(name):
+    pattern, usual = BY_NAME[name], samples.POSITIVE[name][1]
+    long = usual + "7" * 30
+    assert [m.group(pattern.group) for m in re.finditer(pattern.regex, long)] == [long]
