@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from keysift.llm import (
-    digest, knn, langid, linededup, mixing, pieces, pii, pitmanyor, simhash, warc,
+    alignment, decontaminate, digest, knn, langid, linededup, mixing, pieces, pii, pitmanyor,
+    simhash, warc, whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +23,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": langid.op8_language_id,
     "op9_exact_top_k": knn.op9_exact_top_k,
     "op10_document_fingerprints": digest.op10_document_fingerprints,
+    "op11_decontamination": decontaminate.op11_decontamination,
+    "op12_token_alignment": alignment.op12_token_alignment,
+    "op13_whitening": whitening.op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -29,4 +33,5 @@ ORACLE: dict[str, str] = {
     "op1_warc": warc.SQL,
     "op2_mix_sources": mixing.SQL,
     "op9_exact_top_k": knn.SQL,
+    "op11_decontamination": decontaminate.SQL,
 }

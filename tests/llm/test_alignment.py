@@ -1,0 +1,134 @@
+"""Token alignment against joined overlaps, token by token."""
+
+import hashlib
+from collections import Counter
+
+import numpy as np
+import sentencepiece
+import tokenizers
+from pyspark.sql import functions as F
+
+from keysift.llm import alignment
+
+SF = "/root/testdata/sf0.001"
+ODD = ["", None, " ", "a", "  two  blanks ", "tabs\tand\nlines\r\n", "▁ mark", "<0x41> A <s> </s> <unk>",
+       "x <|endoftext|> y<|endoftext|>", "mañana café naïve", "漢字かな交じり文", "🙂🙃 é", "\x00nul",
+       "don't we'll I'm", "A" * 500, "https://example.org/a?b=c&d=1234567890", "ﬁ ﬀ ①", " nbsp　wide"]
+
+
+def brute(text):
+    """(A ids, B ids, groups) of a text by joining overlapping ranges; None without tokens."""
+    a_model = tokenizers.Tokenizer.from_file(alignment.MODEL_A)
+    a_model.encode_special_tokens = True
+    b_model = sentencepiece.SentencePieceProcessor(model_file=alignment.MODEL_B)
+    letters = alignment._byte_letters()
+    if not text:
+        return None
+    whole = (" " + text).encode()
+    a = a_model.encode(" " + text, add_special_tokens=False).ids
+    b = b_model.encode(text)
+    parts = [[bytes(letters[c] for c in a_model.id_to_token(i)) for i in a],
+             [bytes([int(b_model.id_to_piece(i)[3:5], 16)]) if b_model.is_byte(i) else
+              b_model.id_to_piece(i).replace("▁", " ").encode() for i in b]]
+    if any(b"".join(x) != whole for x in parts):
+        return None
+    ranges = []
+    for x in parts:
+        ends = np.cumsum([len(t) for t in x]).tolist()
+        ranges.append(list(zip([0, *ends], ends)))
+    cuts = sorted({e for _, e in ranges[0]} & {e for _, e in ranges[1]})
+    groups, start = [], 0
+    for cut in cuts:
+        groups.append(([i for i, (_, e) in zip(a, ranges[0]) if start < e <= cut],
+                       [i for i, (_, e) in zip(b, ranges[1]) if start < e <= cut]))
+        start = cut
+    return a, b, groups
+
+
+def written(groups):
+    return ";".join("|".join(",".join(map(str, side)) for side in g) for g in groups)
+
+
+def check(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "id LONG, text STRING")
+    vocabularies = alignment.Vocabularies.load()
+    aligned = alignment.align(df, vocabularies, with_groups=True)
+    got = {r["id"]: r for r in alignment.with_link_counts(aligned, vocabularies).collect()}
+    found = [brute(t) for t in texts]
+    links = [[(g[0][-1], g[1][-1]) for g in f[2]] if f else [] for f in found]
+    total = Counter(p for x in links for p in x)
+    best = {}
+    for (_, b), n in total.items():
+        best[b] = max(best.get(b, 0), n)
+    for i, f in enumerate(found):
+        r = got[i]
+        if f is None:
+            assert (r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["n_best"], r["count_sum"],
+                    r["groups_sha256"], r["groups"]) == (0, 0, 0, 0, 0, 0, "", ""), texts[i]
+            continue
+        assert (r["n_a"], r["n_b"], r["n_groups"], r["n_links"]) == (
+            len(f[0]), len(f[1]), len(f[2]), len(links[i])), texts[i]
+        assert r["groups"] == written(f[2])
+        assert r["groups_sha256"] == hashlib.sha256(written(f[2]).encode()).hexdigest()
+        assert r["n_best"] == sum(total[p] == best[p[1]] for p in links[i])
+        assert r["count_sum"] == sum(total[p] for p in links[i])
+    return got, found
+
+
+def test_odd_texts(spark):
+    got, found = check(spark, ODD)
+    assert sum(f is not None for f in found) > 8 and got[3]["n_groups"]
+
+
+def test_documents(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()
+    check(spark, [r["text"] for r in rows])
+
+
+def test_long_texts_in_parts(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("text").take(40)
+    text = " ".join(r["text"] for r in rows) * 2
+    long_word = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(30000))
+    check(spark, [text, "short one", long_word, text + " ▁", None])
+
+
+def test_parts_give_the_same_as_the_whole(spark):
+    aligner = alignment._Aligner(alignment.Vocabularies.load())
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("text").take(60)
+    for r in rows:
+        whole = aligner.align(aligner.encode([" " + r["text"]]))[0]
+        parts = list(alignment.parts_of(r["text"], 50))
+        assert "".join(parts) == " " + r["text"]
+        cut = aligner.align(aligner.encode(parts))
+        assert b";".join(x[2] for x in cut) == whole[2]
+        assert np.array_equal(np.concatenate([x[1] for x in cut]), whole[1])
+
+
+def test_pointers_reach_the_last_token_of_long_chains():
+    # Ends that never meet before the last one: one group, reached only over all tokens.
+    a = np.array([*range(2, 4001, 2), 4001])
+    b = np.array([*range(1, 4000, 2), 4001])
+    in_a, in_b = alignment.groups(a, b)
+    assert set(in_a) == set(in_b) == {0}
+    in_a, in_b = alignment.groups(np.array([1, 3, 4]), np.array([1, 2, 4]))
+    assert in_a.tolist() == [0, 1, 1] and in_b.tolist() == [0, 1, 1]
+
+
+def test_counts_of_pairs_and_extra_columns(spark):
+    vocabularies = alignment.Vocabularies.load()
+    df = spark.createDataFrame([(1, "the cat", "x", 5), (1, "the cat", "y", 6), (None, "the dog", "z", 7)],
+                               "id LONG, text STRING, places STRING, n_a LONG")
+    aligned = alignment.align(df, vocabularies)
+    assert sorted(str(r["id"]) for r in aligned.collect()) == ["1", "1", "None"]
+    counts = alignment.link_counts(aligned, vocabularies).collect()
+    assert max(r["n"] for r in counts) == 3 and sum(r["n"] for r in counts) == 6
+    empty = alignment.align(df.where("false"), vocabularies)
+    assert alignment.with_link_counts(empty, vocabularies).collect() == []
+
+
+def test_every_link_is_a_known_pair(spark):
+    vocabularies = alignment.Vocabularies.load()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    for r in alignment.link_counts(alignment.align(docs, vocabularies), vocabularies).collect():
+        a, b = vocabularies.a_bytes[r["a"]], vocabularies.b_bytes[r["b"]]
+        assert a.endswith(b) or b.endswith(a)

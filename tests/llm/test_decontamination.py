@@ -1,0 +1,126 @@
+"""Phrase and proximity matches against a look at every place of every text."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from keysift import session
+from keysift.llm import decontaminate
+
+WORD = re.compile(decontaminate.WORD)
+
+
+def split(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return WORD.findall(low)
+
+
+def brute(docs, items, size=10):
+    cuts = set()
+    for item, text in items:
+        w = split(text)
+        if w:
+            for s in range(max(1, len(w) - size + 1)):
+                cuts.add((item, tuple(w[s:s + size])))
+    found = []
+    for doc, text in docs:
+        w, hit, named = split(text), set(), set()
+        for item, cut in cuts:
+            for s in range(len(w) - len(cut) + 1):
+                if tuple(w[s:s + len(cut)]) == cut:
+                    hit.update(range(s, s + len(cut)))
+                    named.add(item)
+        listed = ",".join(sorted(str(x) for x in named if x is not None))
+        found.append((doc, len(w), len(hit), len(named),
+                      hashlib.sha256(listed.encode()).hexdigest(), bool(hit)))
+    return sorted(found, key=str)
+
+
+def check(spark, docs, items, size=10):
+    got = decontaminate.contamination(
+        spark.createDataFrame(docs, "id LONG, text STRING"),
+        spark.createDataFrame(items, "item_id LONG, text STRING"), size)
+    got = sorted(map(tuple, got.collect()), key=str)
+    assert got == brute(docs, items, size)
+    return got
+
+
+def made(seed, letters, docs=60, items=8):
+    draw = random.Random(seed)
+    text = lambda n: " ".join(draw.choice(letters) for _ in range(n))
+    benchmark = [(i, text(draw.randint(0, 30))) for i in range(items)]
+    rows = []
+    for i in range(docs):
+        parts = [text(draw.randint(0, 40))]
+        for _ in range(draw.randint(0, 3)):
+            w = draw.choice(benchmark)[1].split()
+            s = draw.randint(0, max(0, len(w) - 5))
+            parts += [" ".join(w[s:s + draw.randint(5, 30)]), text(draw.randint(0, 5))]
+        rows.append((i, " ".join(parts)))
+    return rows, benchmark
+
+
+@pytest.mark.parametrize("seed,letters", [(1, "a"), (2, "ab"), (3, "abcdefgh"),
+                                          (4, ["w%d" % i for i in range(300)])])
+def test_equals_brute_force(spark, seed, letters):
+    docs, items = made(seed, letters)
+    got = check(spark, docs, items)
+    assert any(r[-1] for r in got)
+    check(spark, docs, items, 3)
+
+
+def test_shuffled_instead_of_broadcast(spark, monkeypatch):
+    docs, items = made(5, "abcdefgh")
+    want = check(spark, docs, items)
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    assert check(spark, docs, items) == want
+    monkeypatch.setattr(session, "SALTED_ROWS", 0)
+    assert check(spark, docs, items) == want
+
+
+def test_odd_rows(spark):
+    passage = "One two THREE, four-five six/seven eight nine ten éleven Ñ"
+    docs = [(1, passage), (1, passage), (None, "x " + passage.lower()), (2, None), (3, ""), (4, ".,;"),
+            (5, passage.replace("Ñ", "ñ")), (6, "one two three"), (7, "short ITEM"), (8, "ITEM short"),
+            (9, ("filler " * 5000 + passage + " ") * 3 + "short item"), (10, "Ünter ünter")]
+    items = [(10, passage), (9, "short item"), (9, "short item"), (None, "unter"), (11, None), (12, ""),
+             (13, "!!"), (14, "Ünter"), (None, "short item")]
+    got = check(spark, docs, items)
+    by_id = {r[0]: r for r in got}
+    assert by_id[1][2] == 12 and by_id[5][2] == 11 and by_id[10][2] == 1 and by_id[7][3] == 2
+    assert check(spark, docs, []) and check(spark, [], items) == []
+
+
+def test_extra_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5, "x", 2.0)],
+                                 "id LONG, text STRING, at LONG, term STRING, n_words DOUBLE")
+    items = spark.createDataFrame([(7, "a b", 3)], "item_id LONG, text STRING, phrase LONG")
+    assert [tuple(r)[:4] for r in decontaminate.contamination(docs, items).collect()] == [(1, 3, 2, 1)]
+
+
+def test_blocks_of_positions(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK", 7)
+    docs, items = made(6, "abc")
+    check(spark, docs, items)
+
+
+@pytest.mark.parametrize("letters,within", [("ab", 5), ("abcdefgh", 12), ("abcdefgh", 30)])
+def test_near_matches(spark, letters, within):
+    docs, items = made(7, letters, docs=30, items=5)
+    rows = spark.createDataFrame(docs, "id LONG, text STRING").select(
+        F.col("id").alias("at"), "text")
+    table = spark.createDataFrame(items, "item_id LONG, text STRING")
+    occurrences, owners = decontaminate.phrases(table)
+    vocabulary = decontaminate.terms(occurrences)
+    postings = decontaminate.index(rows, vocabulary)
+    ranked = decontaminate.by_rarity(occurrences, vocabulary, postings)
+    named = {}
+    for r in occurrences.collect():
+        named.setdefault(r["phrase"], set()).add(r["word"])
+    want = {(p, doc, s) for doc, text in docs for w in [split(text)] for s in range(len(w))
+            for p, kinds in named.items() if w[s] in kinds and kinds <= set(w[s:s + within])}
+    got = [tuple(r) for r in decontaminate.near_matches(postings, ranked, within).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want

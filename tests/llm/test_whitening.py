@@ -1,0 +1,137 @@
+"""Whitening against floating point covariances and exact sums in plain Python."""
+
+import math
+
+import numpy as np
+import pytest
+
+from keysift.llm import whitening
+
+SF = "/root/testdata/sf0.001"
+
+
+def brute(rows):
+    """(n, deviations by row, eigenvalues, vectors, mean, x by row) from all usable rows."""
+    usable = [(i, tuple(math.floor(64 * c) + 1000000 for c in v)) for i, v in rows
+              if v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    fit = sorted({x for _, x in usable})
+    n, sums = len(fit), [sum(c) for c in zip(*fit)]
+    deviation = [sum((n * a - s) ** 2 for a, s in zip(x, sums)) for _, x in usable]
+    mean = np.array([s / n for s in sums])
+    centred = np.array([[(n * a - s) / n for a, s in zip(x, sums)] for x in fit])
+    values, vectors = np.linalg.eigh(centred.T @ centred / n)
+    return n, deviation, values[::-1], vectors[:, ::-1], mean, usable
+
+
+def check(spark, rows, kind="FLOAT", tolerance=1e-9):
+    df = spark.createDataFrame(rows, f"id LONG, vector ARRAY<{kind}>")
+    if kind == "FLOAT":
+        rows = [(i, None if v is None else [None if c is None else float(np.float32(c)) for c in v])
+                for i, v in rows]
+    got = whitening.whiten(df).collect()
+    n, deviation, values, vectors, mean, usable = brute(rows)
+    count = min(16, len(values))
+    assert len(got) == len(usable) * count
+    assert {r["n"] for r in got} == {n}
+    assert sorted((str(r["id"]), int(r["deviation_exact"])) for r in got if r["component"] == 1) == sorted(
+        (str(i), d) for (i, _), d in zip(usable, deviation))
+    assert all(r["deviation"] == (int(r["deviation_exact"]) if int(r["deviation_exact"]) < 2**63 else None)
+               for r in got)
+    assert all(r["identity_error"] < 1e-9 for r in got)
+    for c in range(1, count + 1):
+        mine = sorted((str(r["id"]), r["whitened"]) for r in got if r["component"] == c)
+        away = []
+        for sign in (1, -1):
+            want = sorted((str(i), sign * ((np.array(x) - mean) @ vectors[:, c - 1])
+                           / np.sqrt(values[c - 1])) for i, x in usable)
+            away.append(max(abs(a[1] - b[1]) for a, b in zip(mine, want)))
+        assert min(away) < tolerance
+        assert next(r["explained"] for r in got if r["component"] == c) == pytest.approx(
+            values[c - 1] / values.sum(), rel=1e-9)
+    return got
+
+
+def test_equals_brute_force(spark):
+    random = np.random.default_rng(1)
+    base = random.normal(size=(300, 24)) * np.linspace(0.2, 3, 24)
+    rows = [(i, v.tolist()) for i, v in enumerate(base)]
+    check(spark, rows)
+    check(spark, rows, "DOUBLE")
+
+
+def test_repeats_nulls_and_non_finite_entries(spark):
+    random = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(random.normal(size=(120, 5)))]
+    rows += [(1000 + i, rows[3][1]) for i in range(200)]
+    rows += [(None, rows[4][1]), (2000, None), (2001, [1.0, None, 2.0, 3.0, 4.0]),
+             (2002, [math.nan, 0.0, 0.0, 0.0, 0.0]), (2003, [math.inf, 0.0, 0.0, 0.0, 0.0]),
+             (3, rows[3][1])]
+    assert len(check(spark, rows)) == 5 * 322
+
+
+def test_given_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select(
+        "vec_id", "embedding").collect()]
+    check(spark, rows)
+
+
+def test_faint_directions_beside_outliers(spark):
+    random = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(random.normal(size=(400, 20)) * 2)]
+    rows[7][1][2] = 3e12
+    rows[8][1][3] = -2e9
+    got = whitening.whiten(spark.createDataFrame(rows, "id LONG, vector ARRAY<DOUBLE>")).collect()
+    assert len(got) == 400 * 16 and all(r["identity_error"] < 1e-6 for r in got)
+    found = np.zeros((400, 16))
+    for r in got:
+        found[r["id"], r["component"] - 1] = r["whitened"]
+    assert np.abs(found.T @ found / 400 - np.eye(16)).max() < 1e-4
+    _, deviation, *_ = brute(rows)
+    assert [int(r["deviation_exact"]) for r in sorted(got, key=lambda r: r["id"])
+            if r["component"] == 1] == deviation
+    assert any(r["deviation"] is None for r in got)
+
+
+def test_directions_without_variance_are_no_components(spark):
+    random = np.random.default_rng(4)
+    flat = random.normal(size=(50, 3)) * 4
+    rows = [(i, [*v.tolist(), 5.0, float(v[0])]) for i, v in enumerate(flat)]
+    got = whitening.whiten(spark.createDataFrame(rows, "id LONG, vector ARRAY<DOUBLE>")).collect()
+    assert {r["component"] for r in got} == {1, 2, 3}
+    assert all(r["identity_error"] < 1e-9 for r in got)
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(4)], "id LONG, vector ARRAY<DOUBLE>")
+    assert whitening.whiten(same).collect() == []
+
+
+def test_other_lengths_and_empty_tables(spark):
+    kind = "id LONG, vector ARRAY<FLOAT>"
+    rows = [(i, [float(i), float(i * i), 1.0 * (i % 3)]) for i in range(20)]
+    odd = [(90, [1.0]), (91, []), (92, [1.0, 2.0, 3.0, 4.0])]
+    alone = whitening.whiten(spark.createDataFrame(rows, kind)).collect()
+    both = whitening.whiten(spark.createDataFrame(rows + odd, kind)).collect()
+    assert sorted(map(tuple, alone)) == sorted(map(tuple, both))
+    for empty in ([], [(1, None)], [(1, [])], [(1, [None, 1.0])]):
+        df = whitening.whiten(spark.createDataFrame(empty, kind))
+        assert df.collect() == [] and df.columns[:2] == ["id", "component"]
+
+
+@pytest.mark.parametrize("rows,low,high", [
+    (1, -5, 5), (63, 0, 1), (64, -100, 100), (65, -(1 << 40), 1 << 40), (200, -(1 << 62), 1 << 62),
+    (8192, -3000, 70000)])
+def test_cross_products_are_exact(rows, low, high):
+    x = np.random.default_rng(rows).integers(low, high, size=(rows, 4), endpoint=True)
+    x[:, 1] = 7
+    sums, cross = whitening.cross_products(x)
+    exact = x.astype(object)
+    assert list(sums) == list(exact.sum(axis=0))
+    assert (cross == np.triu(exact.T @ exact)).all()
+
+
+def test_chunks_over_many_tasks_add_up(spark):
+    random = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(random.normal(size=(3000, 4)) * 50)]
+    df = spark.createDataFrame(rows, "id LONG, vector ARRAY<DOUBLE>")
+    one = whitening.fit(df.coalesce(1))
+    many = whitening.fit(df.repartition(40))
+    assert one.n == many.n and one.sums == many.sums
+    assert (one.directions == many.directions).all()
