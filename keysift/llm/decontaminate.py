@@ -175,7 +175,7 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The same by comparing all runs of words.
 SQL = rf"""
 WITH doc AS (
-  SELECT doc_id, row_number() OVER () AS at, regexp_extract_all(translate(coalesce(text, ''),
+  SELECT doc_id, row_number() OVER () AS spot, regexp_extract_all(translate(coalesce(text, ''),
     '{_UPPER}', '{_LOWER}'), '{WORD}') AS w FROM documents),
 item AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
@@ -187,17 +187,17 @@ cut AS (
         WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM cut),
 placed AS (
-  SELECT at, n, s, array_to_string(w[s:s + n - 1], ' ') AS phrase
-  FROM (SELECT at, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM doc JOIN sizes ON len(w) >= n)),
-matches AS (SELECT at, s, p.n, item_id FROM placed p JOIN cut c ON p.phrase = c.phrase AND p.n = c.n),
+  SELECT spot, n, s, array_to_string(w[s:s + n - 1], ' ') AS phrase
+  FROM (SELECT spot, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM doc JOIN sizes ON len(w) >= n)),
+matches AS (SELECT spot, s, p.n, item_id FROM placed p JOIN cut c ON p.phrase = c.phrase AND p.n = c.n),
 hit AS (
-  SELECT at, count(DISTINCT pos) AS n_hit
-  FROM (SELECT at, unnest(range(s, s + n)) AS pos FROM matches) GROUP BY at),
+  SELECT spot, count(DISTINCT pos) AS n_hit
+  FROM (SELECT spot, unnest(range(s, s + n)) AS pos FROM matches) GROUP BY spot),
 named AS (
-  SELECT at, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-  FROM (SELECT DISTINCT at, CAST(item_id AS VARCHAR) AS item FROM matches) GROUP BY at)
+  SELECT spot, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT spot, CAST(item_id AS VARCHAR) AS item FROM matches) GROUP BY spot)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
   coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AS contaminated
-FROM doc d LEFT JOIN hit USING (at) LEFT JOIN named USING (at)
+FROM doc d LEFT JOIN hit USING (spot) LEFT JOIN named USING (spot)
 """

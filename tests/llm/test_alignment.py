@@ -1,5 +1,6 @@
 """Token alignment against joined overlaps, token by token."""
 
+import functools
 import hashlib
 from collections import Counter
 
@@ -16,11 +17,16 @@ ODD = ["", None, " ", "a", "  two  blanks ", "tabs\tand\nlines\r\n", "▁ mark",
        "don't we'll I'm", "A" * 500, "https://example.org/a?b=c&d=1234567890", "ﬁ ﬀ ①", " nbsp　wide"]
 
 
-def brute(text):
-    """(A ids, B ids, groups) of a text by joining overlapping ranges; None without tokens."""
+@functools.cache
+def models():
     a_model = tokenizers.Tokenizer.from_file(alignment.MODEL_A)
     a_model.encode_special_tokens = True
-    b_model = sentencepiece.SentencePieceProcessor(model_file=alignment.MODEL_B)
+    return a_model, sentencepiece.SentencePieceProcessor(model_file=alignment.MODEL_B)
+
+
+def brute(text):
+    """(A ids, B ids, groups) of a text by joining overlapping ranges; None without tokens."""
+    a_model, b_model = models()
     letters = alignment._byte_letters()
     if not text:
         return None
@@ -36,12 +42,15 @@ def brute(text):
     for x in parts:
         ends = np.cumsum([len(t) for t in x]).tolist()
         ranges.append(list(zip([0, *ends], ends)))
-    cuts = sorted({e for _, e in ranges[0]} & {e for _, e in ranges[1]})
-    groups, start = [], 0
-    for cut in cuts:
-        groups.append(([i for i, (_, e) in zip(a, ranges[0]) if start < e <= cut],
-                       [i for i, (_, e) in zip(b, ranges[1]) if start < e <= cut]))
-        start = cut
+    cuts = {e for _, e in ranges[0]} & {e for _, e in ranges[1]}
+    groups = [([], [])]
+    for side, ids in enumerate((a, b)):
+        at = 0
+        for i, (_, end) in zip(ids, ranges[side]):
+            if at == len(groups):
+                groups.append(([], []))
+            groups[at][side].append(i)
+            at += end in cuts
     return a, b, groups
 
 
