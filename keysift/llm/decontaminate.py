@@ -23,6 +23,8 @@ from keysift.session import join_keys, key_filter
 WINDOW = 10
 #: Words of lower-cased text: ASCII letters and digits, and all that is not ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# What stands between words; cutting there costs a tenth of finding all words.
+_GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Lists that are intersected before the others are looked at.
 RARE = 2
 # Positions of a block in which hit words are counted.
@@ -33,7 +35,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
     low = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(low, _GAPS), "")
 
 
 def phrases(items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
