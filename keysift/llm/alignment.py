@@ -38,7 +38,7 @@ MODEL_A = "/opt/tokenizers/byte_bpe_50k.json"
 MODEL_B = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 # Characters of a part, and bytes of parts that are encoded together.
-PART = 1 << 16
+PART = 1 << 12
 BLOCK = 1 << 20
 _CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 
@@ -164,7 +164,7 @@ class _Aligner:
         return found
 
     def align(self, encoded: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
-        """(number of groups, places of the links in ``pairs``, text of the groups) by part."""
+        """(number of groups, links as a * size of B + b, text of the groups) by part."""
         if not encoded:
             return []
         n_a, n_b = (np.array([len(x[k]) for x in encoded]) for k in (0, 1))
@@ -173,7 +173,7 @@ class _Aligner:
         group_a, group_b = groups(a_ends, b_ends)
         last_a = np.flatnonzero(np.diff(group_a, append=-1))  # the last token of each group
         last_b = np.flatnonzero(np.diff(group_b, append=-1))
-        links = np.searchsorted(self.pairs, a[last_a] * len(self.b_bytes) + b[last_b])
+        links = a[last_a] * len(self.b_bytes) + b[last_b]
         # Each group is written as its A ids, then its B ids.
         before_b = np.concatenate([[0], last_b + 1])
         place_a = np.arange(len(a)) + before_b[group_a]
@@ -203,7 +203,7 @@ class _Document:
     def __init__(self, keep_groups: bool) -> None:
         self.sound, self.n_a, self.n_b, self.n_groups = True, 0, 0, 0
         self.digest = hashlib.sha256()
-        self.places, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.links, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
         self.fresh: list[np.ndarray] = []
         self.held = 0
         self.written: list[bytes] | None = [] if keep_groups else None
@@ -222,12 +222,14 @@ class _Document:
 
     def close(self) -> None:
         """Links by pair: never more than there are pairs, however long the text."""
-        fresh, times = np.unique(np.concatenate([np.empty(0, np.int64), *self.fresh]),
-                                 return_counts=True)
-        places, where = np.unique(np.concatenate([self.places, fresh]), return_inverse=True)
-        counts = np.zeros(len(places), np.int64)
-        np.add.at(counts, where, np.concatenate([self.counts, times]))
-        self.places, self.counts, self.fresh, self.held = places, counts, [], 0
+        if not self.fresh:
+            return
+        fresh, times = np.unique(np.concatenate(self.fresh), return_counts=True)
+        if len(self.links):
+            fresh, where = np.unique(np.concatenate([self.links, fresh]), return_inverse=True)
+            before, times = np.concatenate([self.counts, times]), np.zeros(len(fresh), np.int64)
+            np.add.at(times, where, before)
+        self.links, self.counts, self.fresh, self.held = fresh, times, [], 0
 
 
 def align(
@@ -277,8 +279,9 @@ def align(
                     *[long_array(np.array([getattr(d, c) for d in rows], np.int64))
                       for c in ("n_a", "n_b", "n_groups")],
                     pa.array([d.digest.hexdigest() if d.n_groups else "" for d in rows]),
-                    *[pa.array([getattr(d, c).astype("<i4").tobytes() for d in rows], pa.binary())
-                      for c in ("places", "counts")],
+                    pa.array([np.searchsorted(vocabularies.pairs, d.links).astype("<i4").tobytes()
+                              for d in rows], pa.binary()),
+                    pa.array([d.counts.astype("<i4").tobytes() for d in rows], pa.binary()),
                     pa.array([None if d.written is None else b";".join(d.written).decode()
                               for d in rows], pa.string()),
                 ], names=["id", "n_a", "n_b", "n_groups", "groups_sha256", "places", "counts",
