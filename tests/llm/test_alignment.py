@@ -113,6 +113,19 @@ def test_parts_give_the_same_as_the_whole(spark):
         assert np.array_equal(np.concatenate([x[1] for x in cut]), whole[1])
 
 
+def test_both_ways_to_the_first_ids_agree(spark):
+    aligner = alignment._Aligner(alignment.Vocabularies.load())
+    assert aligner.quick
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    texts = [" " + r["text"] for r in rows] + [" " + x for x in ODD if x]
+    texts += [" " + "".join(chr(c) for c in range(256)), " can't  won't\t\n x\n\n y   z", " \u00aa\u00b2\u00bc5"]
+    plain = [x for x in texts if alignment._PLAIN.fullmatch(x)]
+    assert len(plain) > 900 and len(plain) < len(texts)
+    for text in plain:
+        assert aligner.quick.encode_ordinary(text) == aligner.a.encode(
+            text, add_special_tokens=False).ids
+
+
 def test_pointers_reach_the_last_token_of_long_chains():
     # Ends that never meet before the last one: one group, reached only over all tokens.
     a = np.array([*range(2, 4001, 2), 4001])
