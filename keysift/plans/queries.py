@@ -150,7 +150,7 @@ def match_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = match.find_matches(tables.all_files(spark, sf_dir), CUSTOM_PATTERNS)
     return found.groupBy("pattern").agg(
         F.count(F.lit(1)).alias("n_matches"),
-        F.count_distinct("secret").alias("n_secrets"),
+        F.count_distinct(F.sha2("secret", 256)).alias("n_secrets"),
         F.count_distinct("repo", "path").alias("n_files"))
 
 
@@ -612,9 +612,10 @@ def stream_new_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, table,
         dedup.deduplicate(detect(tables.page_files(spark, sf_dir), OPTIONS, CUSTOM_PATTERNS)))
     checkpoint = new_scratch(spark, "progress")
-    for _ in range(2):  # The second run finds nothing new to do.
+    for _ in range(2):  # The second run finds nothing new to do, before or after a merge.
         streaming.scan_new(_streamed_documents(spark, sf_dir), table, checkpoint, OPTIONS,
                            CUSTOM_PATTERNS).awaitTermination()
+        streaming.merge_parts(spark, table)
     return streaming.read_findings_table(spark, table).where("batch_id >= 0").select(
         "secret_hash", "repo", "path", "line", "pattern", "score")
 

@@ -53,6 +53,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _path(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system and path of a path, as Spark's own readers resolve it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    system, found = _path(spark, path)
+    system.delete(found, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all task slots when a scan would leave most of them idle.
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,19 +15,76 @@ from keysift.catalog import Pattern
 from keysift.operators.dedup import deduplicate
 from keysift.options import ScanOptions
 from keysift.plans.scan import detect
+from keysift.session import delete_folder
 
-_TABLE = schemas.FINDINGS + ", run STRING, batch_id BIGINT"
+# Leading hex digits of a hash that name its folder.
+PREFIX = 2
+_ROWS = schemas.FINDINGS + ", run STRING, batch_id BIGINT"
+_TABLE = _ROWS + ", part STRING, prefix STRING"
+_MERGES = "merged STRING, replaced ARRAY<STRING>"
+# The run of findings that were there before any stream.
+_BEFORE = "before"
+_MERGED = "merged-"
 
 
-def read_findings_table(spark: SparkSession, table: str) -> DataFrame:
-    return spark.read.schema(_TABLE).parquet(table)
+def _prefix(secret_hash: Column) -> Column:
+    return F.substring(secret_hash, 1, PREFIX)
+
+
+def _write_part(rows: DataFrame, table: str, part: str) -> None:
+    """One file for each hash prefix, sorted by hash; the part is replaced if it is there."""
+    rows.select("*", _prefix(F.col("secret_hash")).alias("prefix")).repartition(
+        "prefix").sortWithinPartitions("prefix", "secret_hash").write.mode("overwrite").partitionBy(
+        "prefix").parquet(f"{table}/findings/part={part}")
+
+
+def _live(spark: SparkSession, table: str) -> DataFrame:
+    """All rows with their part and prefix, without parts that a merge has replaced or left undone."""
+    merges = spark.read.schema(_MERGES).json(f"{table}/merges").collect()  # a row for each merge
+    replaced = {x for r in merges for x in r["replaced"]}
+    done = [r["merged"] for r in merges if r["merged"] not in replaced]
+    rows = spark.read.schema(_TABLE).parquet(f"{table}/findings")
+    rows = rows.where(~F.col("part").startswith(_MERGED) | F.col("part").isin(done))
+    return rows.where(~F.col("part").isin(sorted(replaced))) if replaced else rows
+
+
+def read_findings_table(
+    spark: SparkSession, table: str, prefixes: Sequence[str] | None = None
+) -> DataFrame:
+    """The findings with their run and batch; with ``prefixes``, only those folders are read."""
+    rows = _live(spark, table)
+    if prefixes is not None:
+        rows = rows.where(F.col("prefix").isin(list(prefixes)))
+    return rows.drop("part", "prefix")
 
 
 def create_findings_table(spark: SparkSession, table: str, known: DataFrame | None = None) -> None:
-    """An empty findings table, or one holding the findings of an earlier scan (batch -1)."""
+    """An empty findings table, or one holding the findings of an earlier scan (batch -1).
+
+    Rows lie in ``findings/part=<run and batch>/prefix=<start of the hash>``; ``merges`` lists
+    which parts were merged into which.
+    """
     columns = [f.name for f in spark.createDataFrame([], schemas.FINDINGS).schema]
     rows = spark.createDataFrame([], schemas.FINDINGS) if known is None else known.select(*columns)
-    rows.write.mode("overwrite").parquet(f"{table}/run=before/batch_id=-1")
+    _write_part(rows.select("*", F.lit(_BEFORE).alias("run"), F.lit(-1).cast("long").alias("batch_id")),
+                table, f"{_BEFORE}-0")
+    spark.createDataFrame([], _MERGES).write.mode("overwrite").json(f"{table}/merges")
+
+
+def earlier_hashes(
+    spark: SparkSession, table: str, batch: DataFrame, run: str, batch_id: int
+) -> DataFrame:
+    """(secret_hash) of ``batch`` (secret_hash) that other batches of the table hold.
+
+    Only folders of the prefixes in the batch are read (at most 16^PREFIX names come to the
+    driver), and of them only the hash, run and batch; what is read is never shuffled for a
+    small batch, as only its hashes are kept.
+    """
+    prefixes = [r[0] for r in batch.select(_prefix(F.col("secret_hash"))).distinct().collect()]
+    earlier = read_findings_table(spark, table, [p for p in prefixes if p is not None]).where(
+        (F.col("run") != run) | (F.col("batch_id") != batch_id))
+    return earlier.select("secret_hash").join(
+        batch.select("secret_hash"), "secret_hash", "left_semi").distinct()
 
 
 def scan_new(
@@ -38,11 +96,10 @@ def scan_new(
 ) -> StreamingQuery:
     """Scan what has arrived, append findings with unseen hashes to ``table``, and stop.
 
-    Each batch owns a directory named by its checkpoint and number and replaces it, so streams with
-    checkpoints of their own can share a table.  It compares itself with all other batches, so a batch that is run again after a failure
-    leaves the same rows.  Only the hash column of the table is read, and only its
-    hashes that the batch holds are kept, so the history does not have to be
-    shuffled for a small batch.
+    Each batch owns a part named by its checkpoint and number and replaces it, so streams with
+    checkpoints of their own can share a table.  It compares itself with all other batches, so a
+    batch that is run again after a failure leaves the same rows.  What a batch reads of the table
+    follows from its own hashes (``earlier_hashes``); ``merge_parts`` keeps the files few.
     """
     options = options or ScanOptions()
     custom = list(custom)
@@ -52,12 +109,11 @@ def scan_new(
         spark = batch.sparkSession
         found = deduplicate(detect(batch, options, custom)).persist()
         try:
-            earlier = read_findings_table(spark, table).where(
-                (F.col("run") != run) | (F.col("batch_id") != batch_id))
-            seen = earlier.select("secret_hash").join(
-                found.select("secret_hash"), "secret_hash", "left_semi").distinct()
-            fresh = found.join(seen, "secret_hash", "left_anti")
-            fresh.write.mode("overwrite").parquet(f"{table}/run={run}/batch_id={batch_id}")
+            seen = earlier_hashes(spark, table, found, run, batch_id)
+            fresh = found.join(seen, "secret_hash", "left_anti").select(*found.columns)
+            _write_part(fresh.select("*", F.lit(run).alias("run"),
+                                     F.lit(batch_id).cast("long").alias("batch_id")),
+                        table, f"{run}-{batch_id}")
         finally:
             found.unpersist()
 
@@ -69,6 +125,36 @@ def scan_new(
     )
 
 
+def merge_parts(spark: SparkSession, table: str, keep: bool = False) -> int:
+    """Merge the parts of finished batches into one; returns how many were merged.
+
+    The last batch of each run may still be run again and stays as it is; all earlier ones are
+    finished, and so are earlier merges.  The merged part counts only once ``merges`` names it,
+    and from then on the replaced ones don't, so a merge that is cut off has no effect.  The
+    replaced parts are then deleted, unless ``keep`` is set for readers that are still at work.
+    Only one merge may run at a time; streams may go on meanwhile.
+    """
+    live = _live(spark, table)
+    # A row for each part and run.
+    held = live.groupBy("part", "run").agg(F.max("batch_id").alias("batch_id")).collect()
+    last: dict[str, int] = {}
+    for r in held:
+        last[r["run"]] = max(last.get(r["run"], -1), r["batch_id"])
+    open_ = {r["part"] for r in held if not r["part"].startswith(_MERGED)
+             and r["run"] != _BEFORE and r["batch_id"] == last[r["run"]]}
+    replaced = sorted({r["part"] for r in held} - open_)
+    if len(replaced) < 2:
+        return 0
+    merged = f"{_MERGED}{uuid.uuid4().hex}"
+    _write_part(live.where(F.col("part").isin(replaced)).drop("part", "prefix"), table, merged)
+    spark.createDataFrame([(merged, replaced)], _MERGES).coalesce(1).write.mode("append").json(
+        f"{table}/merges")
+    if not keep:
+        for part in replaced:
+            delete_folder(spark, f"{table}/findings/part={part}")
+    return len(replaced)
+
+
 def distinct_secrets(
     findings: DataFrame, ingest_time: str | None = None, horizon: str = "7 days"
 ) -> DataFrame:

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +87,81 @@ def test_duplicates_across_batches(spark, arriving, tmp_path, timed):
         .start().awaitTermination()
     rows = [r[0] for r in spark.read.parquet(out).collect()]
     assert len(rows) == len(set(rows)) == 2
+
+
+def _stored(spark, files, table, batches):
+    """A table with so many stored batches of ten hashes each, and one batch of its hashes."""
+    streaming.create_findings_table(spark, table)
+    one = detect(files(("r", "p", KEY))).limit(1)
+    rows = one.crossJoin(spark.range(batches * 10)).select(
+        *[c for c in one.columns if c != "secret_hash"],
+        F.sha2(F.col("id").cast("string"), 256).alias("secret_hash"), F.lit("old").alias("run"),
+        F.floor(F.col("id") / 10).alias("batch_id"))
+    rows.select("*", F.concat(F.lit("old-"), F.col("batch_id")).alias("part"),
+                streaming._prefix(F.col("secret_hash")).alias("prefix")).coalesce(1).write.mode(
+        "append").partitionBy("part", "prefix").parquet(f"{table}/findings")
+
+
+def _sizes(table):
+    return {os.path.join(d, x): os.path.getsize(os.path.join(d, x))
+            for d, _, names in os.walk(f"{table}/findings") for x in names if x.endswith(".parquet")}
+
+
+def test_a_small_batch_reads_a_small_part_of_a_long_history(spark, files, tmp_path):
+    table = str(tmp_path / "table")
+    _stored(spark, files, table, 100)
+    batch = spark.range(5, 1000, 100).select(F.sha2(F.col("id").cast("string"), 256).alias("secret_hash"))
+    for _ in range(2):
+        seen = streaming.earlier_hashes(spark, table, batch, "now", 0)
+        assert seen.count() == 10
+        assert "PartitionFilters: [" in seen._jdf.queryExecution().toString()
+        prefixes = [r[0][:2] for r in batch.collect()]
+        read = streaming.read_findings_table(spark, table, prefixes).select(
+            F.input_file_name().alias("f")).distinct().collect()
+        sizes = _sizes(table)
+        share = sum(sizes[r["f"].removeprefix("file://")] for r in read) / sum(sizes.values())
+        assert share < 0.05
+        # The last batch stays apart, all others are one part with one file for each prefix.
+        assert streaming.merge_parts(spark, table) in (99, 0)
+        assert len(_sizes(table)) < 256 + 11
+    assert streaming.read_findings_table(spark, table).count() == 1000
+
+
+def test_merges_leave_the_rows_as_they_are(spark, files, arriving, tmp_path):
+    add, stream = arriving
+    table, progress = str(tmp_path / "table"), str(tmp_path / "progress")
+    streaming.create_findings_table(spark, table, detect(files(("r0", "x", KEY))))
+    rows = lambda: sorted(map(tuple, streaming.read_findings_table(spark, table).select(
+        "secret_hash", "run", "batch_id").collect()))
+    for n, line in enumerate((OTHER, THIRD, KEY + " " + samples.line("PYPI_TOKEN"))):
+        add(("r1", f"p{n}", line))
+        streaming.scan_new(stream(), table, progress).awaitTermination()
+    before = rows()
+    assert len(before) == 4
+    assert streaming.merge_parts(spark, table, keep=True) == 3 and rows() == before
+    assert streaming.merge_parts(spark, table) == 0
+    # A batch that is run again after the merge leaves the same rows, too.
+    streaming.scan_new(stream(), table, str(tmp_path / "other")).awaitTermination()
+    assert rows() == before
+
+
+def test_a_merge_that_was_cut_off_has_no_effect(spark, files, arriving, tmp_path, monkeypatch):
+    add, stream = arriving
+    table, progress = str(tmp_path / "table"), str(tmp_path / "progress")
+    streaming.create_findings_table(spark, table)
+    for line in (KEY, OTHER, THIRD):
+        add(("r1", "a", line))
+        streaming.scan_new(stream(), table, progress).awaitTermination()
+    write = streaming._write_part
+
+    def stop(*args):
+        write(*args)
+        raise OSError("cut off")
+
+    monkeypatch.setattr(streaming, "_write_part", stop)
+    with pytest.raises(OSError):
+        streaming.merge_parts(spark, table)
+    monkeypatch.undo()
+    assert streaming.read_findings_table(spark, table).count() == 3
+    assert streaming.merge_parts(spark, table) == 2
+    assert streaming.read_findings_table(spark, table).count() == 3
