@@ -20,6 +20,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from keysift.functions.regex_tree import required_literals
+
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 
 
@@ -178,6 +180,13 @@ def leading_text(regex: str) -> str:
     return plain[:-1] if regex[len(plain):][:1] in ("?", "*", "{") else plain
 
 
+def literal_hints(regex: str) -> tuple[str, ...]:
+    """Texts, anywhere in a regex, of which every match holds one; none if they are too short to help."""
+    found = required_literals(regex)
+    fit = all(len(x) >= 3 and x.isascii() and x.isprintable() and not set(x) & set("'\\") for x in found)
+    return found if fit else ()
+
+
 def custom_pattern(
     name: str | None,
     regex: str,

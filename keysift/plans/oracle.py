@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from keysift.catalog import PATTERNS, Pattern, custom_pattern
 from keysift.operators.redact import REPLACEMENT
 from keysift.options import BASE_SCORES, DEFAULT_CONTEXT_DIRS, DEFAULT_DENYLIST
-from keysift.plans.queries import CUSTOM_PATTERNS
+from keysift.plans.queries import CUSTOM_PATTERNS, JUDGED
 from keysift.remediation import DEFAULT_TEMPLATE, templates
 
 
@@ -63,7 +63,9 @@ def _hits(name: str, files: str, patterns: Iterable[Pattern]) -> str:
                    {str(p.marker).lower()} AS marker,
                    regexp_extract_all(content, {_q(p.regex)}, 0) AS found,
                    string_split_regex(content, {_q(p.regex)}) AS parts FROM {name}_files"""
-        for p in patterns if p.scope == "file")
+        for p in patterns if p.scope == "file") or f"""
+            SELECT repo, path, '' AS pattern, '' AS severity, false AS marker, [''] AS found,
+                   [''] AS parts FROM {name}_files WHERE false"""
     return f"""
     {name}_files AS MATERIALIZED ({files}),
     {name}_lines AS (
@@ -244,6 +246,20 @@ _TREE_SUMS = " || ':' || ".join(
 
 _LOADED = (*PATTERNS, *CUSTOM_PATTERNS, custom_pattern(None, "[0-9]{3}-[0-9]{4}"))
 
+# The powers of the patterns that two or more repetitions can read together.
+_POWERS = {"TWO_RUNS": 1, "BETWEEN": 1, "FIVE_RUNS": 4, "FOUR_ANY": 3}
+_ACCEPTED = [custom_pattern(name, regex) for name, regex, kind in JUDGED
+             if kind == "linear" or _POWERS.get(name) == 1]
+
+
+def _verdict_row(name: str, kind: str) -> str:
+    power = {"linear": 0, "polynomial": _POWERS.get(name)}.get(kind, "CAST(NULL AS INTEGER)")
+    accepted = kind == "linear" or _POWERS.get(name) == 1
+    return f"({_q(name)}, {accepted}, {_q(kind)}, {power}, {not accepted and kind != 'unreadable'})"
+
+
+_VERDICTS = ", ".join(_verdict_row(name, kind) for name, _, kind in JUDGED)
+
 ORACLE: dict[str, str] = {
     "line_index": f"""
         SELECT repo, path, unnest(generate_series(1, len(parts)))::INT AS line,
@@ -273,6 +289,11 @@ ORACLE: dict[str, str] = {
     "match_findings": f"{_ALL} SELECT {_PLACE}, secret_hash FROM f",
     "custom_pattern_scan": f"""WITH {_hits('f', DOCUMENTS, _LOADED)}
         SELECT pattern, count(*) AS n_findings FROM f_hits GROUP BY pattern""",
+    "pattern_verdicts": f"""WITH {_hits('f', DOCUMENTS, _ACCEPTED)},
+        counted AS (SELECT pattern, count(*) AS n FROM f_hits GROUP BY pattern)
+        SELECT v.pattern, accepted, kind, power, has_bad_input, coalesce(n, 0)::BIGINT AS n_matches
+        FROM (VALUES {_VERDICTS}) AS v (pattern, accepted, kind, power, has_bad_input)
+        LEFT JOIN counted c ON v.pattern = c.pattern""",
     "entropy_of_secrets": f"{_DOC} SELECT {_PLACE}, entropy FROM f",
     "entropy_of_texts": """
         SELECT page_id, abs(round(sum((n / length(url)) * log2(n / length(url))), 4)) AS entropy

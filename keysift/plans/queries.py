@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysift.catalog import Pattern, custom_pattern
+from keysift.catalog import Pattern, custom_pattern, literal_hints
 from keysift.functions import bounded, scoring
 from keysift.operators import (
     blame, dedup, incremental, lines, match, path_audit, redact, remediate, snapshot, summary,
@@ -176,6 +176,46 @@ def custom_pattern_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.pattern_summary(found)
 
 
+# User patterns to be judged, by name, with what has to come out.
+JUDGED: tuple[tuple[str, str, str], ...] = (
+    ("MAIL", r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", "linear"),
+    ("ADDRESS", r"[0-9]{1,3}(\.[0-9]{1,3}){3}", "linear"),
+    ("DIGITS16", "[0-9]{16}", "linear"),
+    ("ASSIGNED", "token = \"[0-9a-f]+\"", "linear"),
+    ("SUFFIX", "[a-z]+tion[.,]", "linear"),
+    ("LINKED", "[A-Z][a-z]+( [A-Z][a-z]+)+", "linear"),
+    ("CHOSEN", "(the|que|und|les) [a-z]+", "linear"),
+    ("SHORT_PARTS", "([a-z]{2} )+[a-z]{9}", "linear"),
+    ("OPTIONAL", "([a-z]?)+9", "linear"),
+    ("TWO_RUNS", "[a-z]+ *[a-z]*[0-9]{4}", "polynomial"),
+    ("BETWEEN", "token.*=.*[0-9]{2}", "polynomial"),
+    ("NESTED", "(a+)+b", "exponential"),
+    ("NESTED_DEEP", "((a*))*b", "exponential"),
+    ("SAME_CHOICE", "(a|a)*b", "exponential"),
+    ("OVERLAPPING", "(?:a|b|ab)*c", "exponential"),
+    ("OPTIONAL_PAIR", "(a?b?)*c", "exponential"),
+    ("COUNTED", "(a{0,3})*b", "exponential"),
+    ("FIVE_RUNS", "a*a*a*a*a*b", "polynomial"),
+    ("FOUR_ANY", ".*a.*b.*c.*d", "polynomial"),
+    ("REFERENCE", r"([a-z])\1\1", "unreadable"),
+)
+
+
+def pattern_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the guard says of user patterns, and the matches in the documents of the accepted ones."""
+    found = [(name, pattern_source.verdict(spark, regex), regex) for name, regex, _ in JUDGED]
+    accepted = [custom_pattern(name, regex, hints=literal_hints(regex))
+                for name, v, regex in found if v.accepted]
+    hits = match.find_matches(tables.document_files(spark, sf_dir), accepted, ()).groupBy(
+        "pattern").agg(F.count(F.lit(1)).alias("n_matches"))
+    verdicts = spark.createDataFrame(
+        [(name, v.accepted, v.kind, v.power, v.bad_input is not None) for name, v, _ in found],
+        "pattern STRING, accepted BOOLEAN, kind STRING, power INT, has_bad_input BOOLEAN")
+    return verdicts.join(hits, "pattern", "left").select(
+        "pattern", "accepted", "kind", "power", "has_bad_input",
+        F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"))
+
+
 def catalogue_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every built-in pattern finds its own planted credential, whole."""
     found = match.find_matches(tables.catalogue_files(spark, sf_dir))
@@ -643,6 +683,6 @@ QUERIES: dict[str, Query] = {
         blame_overlaps, csv_rows, csv_report, json_report, sarif_report, sarif_rules,
         path_policy, snapshot_diff, tree_digest, event_log_levels, json_log_errors,
         text_log_levels, bounded_options, stream_new_secrets, stream_distinct_secrets,
-        scan_problems, catalogue_matches, long_secrets, long_redaction, all_reports,
+        scan_problems, pattern_verdicts, catalogue_matches, long_secrets, long_redaction, all_reports,
     )
 }

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import PySparkException
 
 from keysift import schemas
-from keysift.catalog import Pattern, custom_pattern
+from keysift.catalog import Pattern, custom_pattern, literal_hints
+from keysift.functions.ambiguity import Verdict, judge
 
 # Limits on user patterns.
 MAX_PATTERNS = 100
@@ -59,20 +62,21 @@ def read_custom_patterns(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def check_custom_patterns(rows: DataFrame) -> DataFrame:
-    """Adds ``reason``: why a pattern is refused by its length, or null."""
-    return rows.withColumn("reason", F.when(F.length("regex") > MAX_PATTERN_LENGTH, "too long"))
-
+def verdict(spark: SparkSession, regex: str) -> Verdict:
+    """Whether a pattern can be used: the engine compiles it and cannot be made to take for ever.
 
-def _problem(spark: SparkSession, regex: str) -> str | None:
-    """Why a pattern cannot be used: it may take for ever, or the engine refuses it."""
-    if repeats_inside_repeat(regex):
-        return "nested quantifiers"
+    Nothing is run; the engine's own compiler and the regex's automaton decide.
+    """
+    if len(regex) > MAX_PATTERN_LENGTH:
+        return Verdict(False, "too large", None, "too long")
     try:
-        spark.range(1).select(F.lit("").rlike(regex)).first()
-    except PySparkException:
-        return "does not compile"
-    return None
+        spark._jvm.java.util.regex.Pattern.compile(regex)
+    except IllegalArgumentException:
+        return Verdict(False, "unreadable", None, "does not compile")
+    found = judge(regex)
+    if found.kind == "exponential" and repeats_inside_repeat(regex):
+        return replace(found, reason="nested quantifiers")
+    return found
 
 
 class RefusedPatterns(ValueError):
@@ -90,13 +94,13 @@ def load_custom_patterns(spark: SparkSession, path: str, strict: bool = True) ->
     ``RefusedPatterns``, so no pattern is left out unseen; without ``strict`` the accepted ones are
     returned.
     """
-    rows = check_custom_patterns(read_custom_patterns(spark, path)).take(MAX_PATTERNS + 1)
+    rows = read_custom_patterns(spark, path).take(MAX_PATTERNS + 1)
     if not rows or len(rows) > MAX_PATTERNS:
         raise RefusedPatterns(path, {"file": f"more than {MAX_PATTERNS} patterns" if rows else
                                      "no pattern found"})
-    reasons = [r["reason"] or _problem(spark, r["regex"]) for r in rows]
+    reasons = [verdict(spark, r["regex"]).reason for r in rows]
     refused = {f"{n}. {r['name']}": why for n, (r, why) in enumerate(zip(rows, reasons), 1) if why}
     if refused and strict:
         raise RefusedPatterns(path, refused)
-    return [custom_pattern(r["name"], r["regex"], r["description"])
+    return [custom_pattern(r["name"], r["regex"], r["description"], hints=literal_hints(r["regex"]))
             for r, why in zip(rows, reasons) if why is None]
