@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from keysift.options import ScanOptions
 from keysift.plans.scan import scan
 from keysift.session import materialize
-from keysift.sinks.reports import FORMATS, write_reports
+from keysift.sinks.reports import FORMATS, write_documents, write_reports
 from keysift.sources import baseline as baselines
 from keysift.sources.blame import parse_porcelain
 from keysift.sources.files import active_only, from_table, label_repos, within_limits
@@ -29,6 +29,10 @@ from keysift.sources.patterns import load_custom_patterns
 from keysift.sources.tree import list_tree, scan_tree, tree_roots, unscanned
 
 
+# Reasons named in the printout.
+_SHOWN = 20
+
+
 def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="keysift", description="Find credentials in files")
     source = parser.add_mutually_exclusive_group(required=True)
@@ -45,6 +49,8 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
                         help="exit normally though some files could not be scanned")
     parser.add_argument("--output", metavar="DIR", required=True)
     parser.add_argument("--output-format", choices=[*FORMATS, "all"], default="json")
+    parser.add_argument("--single-files", action="store_true",
+                        help="write each report as one file instead of a folder of parts")
     parser.add_argument("--fail-on-high", action="store_true")
     return parser.parse_args(argv)
 
@@ -104,19 +110,22 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         blame = parse_porcelain(spark.read.parquet(args.blame))
     findings = scan(files, options, custom, baseline, blame)
     formats = FORMATS if args.output_format == "all" else [args.output_format]
-    summary = write_reports(findings, args.output, options, formats,
-                            described={c.name: c.description for c in custom})
+    write = write_documents if args.single_files else write_reports
+    summary = write(findings, args.output, options, formats,
+                    described={c.name: c.description for c in custom})
     if reading is not None and reading.get["unread"]:
         problems = unscanned(listing, options, whole)
     problems.write.json(f"{args.output}/unscanned.json")
-    left_out = {r["reason"]: r["n"] for r in spark.read.schema("path STRING, reason STRING").json(
+    counted = {r["reason"]: r["n"] for r in spark.read.schema("path STRING, reason STRING").json(
         f"{args.output}/unscanned.json").groupBy("reason").agg(F.count("*").alias("n")).orderBy(
-        F.desc("n")).limit(20).collect()}
+        F.desc("n")).limit(_SHOWN + 1).collect()}
     levels = summary["by_risk_level"]
     print(f"{levels['high_risk']} high-risk, {levels['medium_risk']} medium-risk, "
           f"{levels['low_risk']} low-risk")
+    left_out = list(counted.items())
     if left_out:
-        print("not scanned: " + ", ".join(f"{n} {reason}" for reason, n in left_out.items()))
+        print("not scanned: " + ", ".join(f"{n} {reason}" for reason, n in left_out[:_SHOWN])
+              + (", and for further reasons" if len(left_out) > _SHOWN else ""))
     if args.fail_on_high and levels["high_risk"] > 0:
         return 1
     return 2 if left_out and not args.allow_unscanned else 0

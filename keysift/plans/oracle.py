@@ -246,6 +246,8 @@ _TREE_SUMS = " || ':' || ".join(
 
 _LOADED = (*PATTERNS, *CUSTOM_PATTERNS, custom_pattern(None, "[0-9]{3}-[0-9]{4}"))
 
+_ORDER = "ORDER BY score DESC, repo, path, line, pattern, occurrence"
+
 # The powers of the patterns that two or more repetitions can read together.
 _POWERS = {"TWO_RUNS": 1, "BETWEEN": 1, "FIVE_RUNS": 4, "FOUR_ANY": 3}
 _ACCEPTED = [custom_pattern(name, regex) for name, regex, kind in JUDGED
@@ -421,6 +423,18 @@ ORACLE: dict[str, str] = {
                pattern || ' (' || classification || ', score ' || score || ')' AS message,
                repo || '/' || path AS uri, line AS start_line, secret_hash
         FROM f""",
+    "json_document": f"""{_DOC}
+        SELECT (SELECT count(*) FROM f) AS total_findings, (SELECT count(*) FROM f)::INT AS n_listed,
+               (row_number() OVER ({_ORDER}) - 1)::INT AS place, repo, path, line, pattern, score,
+               secret_hash, severity
+        FROM f""",
+    "sarif_document": f"""{_DOC}
+        SELECT '2.1.0' AS version, (row_number() OVER ({_ORDER}) - 1)::INT AS place,
+               pattern AS rule_id,
+               CASE risk_level WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning'
+                               ELSE 'note' END AS level,
+               true AS has_rule, repo || '/' || path AS uri, line AS start_line, secret_hash
+        FROM f""",
     "sarif_rules": f"""{_PLANT}, {_ADVICE}
         SELECT DISTINCT pattern AS rule_id, 'Possible ' || pattern || ' in source' AS description,
                docs_url AS help_uri, severity FROM advised""",

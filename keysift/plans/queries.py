@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -484,6 +485,11 @@ _FINDING = """
 """
 
 
+def _nested(layout: str) -> str:
+    """A column layout as the fields of a struct."""
+    return re.sub(r"(\w+) (STRING|INT|DOUBLE|BIGINT|STRUCT)", r"\1: \2", layout)
+
+
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON report, read back: its summary beside every finding."""
     out = new_scratch(spark, "report")
@@ -533,6 +539,34 @@ def sarif_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("r.partialFingerprints.secretHash").alias("secret_hash"))
 
 
+def json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report as one JSON object, read back: each finding with its place in the report."""
+    out = new_scratch(spark, "report")
+    reports.write_documents(custom_findings(spark, sf_dir), out, OPTIONS, ["json"])
+    whole = spark.read.schema(f"{_HEAD}, findings ARRAY<STRUCT<{_nested(_FINDING)}>>").json(
+        f"{out}/report.json", multiLine=True)
+    found = whole.select("scan_metadata.total_findings", F.size("findings").alias("n_listed"),
+                         F.posexplode("findings").alias("place", "f"))
+    return found.select("total_findings", "n_listed", "place", "f.repo", "f.path", "f.line",
+                        "f.pattern", "f.score", "f.secret_hash", "f.remediation.severity")
+
+
+def sarif_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report as one SARIF log, read back: each result with its place in the log."""
+    out = new_scratch(spark, "report")
+    reports.write_documents(custom_findings(spark, sf_dir), out, OPTIONS, ["csv", "sarif"])
+    run = spark.read.schema(_SARIF).json(f"{out}/report.sarif", multiLine=True).select(
+        "version", F.explode("runs").alias("run"))
+    result = run.select("version", F.col("run.tool.driver.rules.id").alias("rules"),
+                        F.posexplode("run.results").alias("place", "r"))
+    at = F.get(F.col("r.locations"), F.lit(0))["physicalLocation"]
+    return result.select(
+        "version", "place", F.col("r.ruleId").alias("rule_id"), F.col("r.level").alias("level"),
+        F.array_contains("rules", F.col("r.ruleId")).alias("has_rule"),
+        at["artifactLocation"]["uri"].alias("uri"), at["region"]["startLine"].alias("start_line"),
+        F.col("r.partialFingerprints.secretHash").alias("secret_hash"))
+
+
 def all_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings by report format and pattern, from all formats written in one go."""
     out = new_scratch(spark, "report")
@@ -683,6 +717,6 @@ QUERIES: dict[str, Query] = {
         blame_overlaps, csv_rows, csv_report, json_report, sarif_report, sarif_rules,
         path_policy, snapshot_diff, tree_digest, event_log_levels, json_log_errors,
         text_log_levels, bounded_options, stream_new_secrets, stream_distinct_secrets,
-        scan_problems, pattern_verdicts, catalogue_matches, long_secrets, long_redaction, all_reports,
+        scan_problems, pattern_verdicts, json_document, sarif_document, catalogue_matches, long_secrets, long_redaction, all_reports,
     )
 }

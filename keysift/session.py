@@ -64,6 +64,41 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     system.delete(found, True)
 
 
+def join_files(
+    spark: SparkSession, folder: str, target: str, head: bytes, tail: bytes, skipped: int = 0
+) -> None:
+    """One file of ``head``, the part files of a folder in the order of their names, and ``tail``.
+
+    The first ``skipped`` bytes of the parts are left out.  Bytes go from stream to stream; the
+    file is written under another name and then renamed.
+    """
+    system, at = _path(spark, target)
+    source, parts = _path(spark, folder)
+    hidden = _path(spark, f"{target}.{uuid.uuid4().hex}")[1]
+    hadoop = spark._jvm.org.apache.hadoop
+    names = sorted(x.getPath().getName() for x in source.listStatus(parts)) if source.exists(
+        parts) else []
+    out = system.create(hidden, True)
+    try:
+        out.write(head)
+        for name in names:
+            if not name.startswith("part-"):
+                continue
+            read = source.open(hadoop.fs.Path(parts, name))
+            try:
+                while skipped and read.read() >= 0:
+                    skipped -= 1
+                hadoop.io.IOUtils.copyBytes(read, out, 1 << 16, False)
+            finally:
+                read.close()
+        out.write(tail)
+    finally:
+        out.close()
+    system.delete(at, True)
+    if not system.rename(hidden, at):
+        raise OSError(f"cannot write {target}")
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all task slots when a scan would leave most of them idle.
 

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from keysift.catalog import PATTERNS
 from keysift.operators.dedup import report_order
-from keysift.operators.remediate import with_remediation
+from keysift.operators.remediate import remediation, with_remediation
 from keysift.operators.summary import pattern_summary, risk_summary
 from keysift.options import ScanOptions
-from keysift.session import materialize
+from keysift.session import join_files, materialize, new_scratch
 
 # The CSV columns in order.
 CSV_COLUMNS = (
@@ -80,14 +80,16 @@ def relative_uri(path: Column) -> Column:
     return F.replace(escaped, F.lit("%2F"), F.lit("/"))
 
 
-def sarif_result() -> Column:
-    """One finding as a SARIF result; the fingerprint is the hash, never the secret."""
+def sarif_result(place: Column | None = None) -> Column:
+    """One finding as a SARIF result at its path or ``place``; the fingerprint is the hash, never the
+    secret."""
+    place = F.col("path") if place is None else place
     message = F.concat(
         F.col("pattern"), F.lit(" ("), F.col("classification"), F.lit(", score "),
         F.col("score").cast("string"), F.lit(")"),
     )
     location = F.struct(F.struct(
-        F.struct(relative_uri(F.col("path")).alias("uri")).alias("artifactLocation"),
+        F.struct(relative_uri(place).alias("uri")).alias("artifactLocation"),
         F.struct(F.col("line").alias("startLine")).alias("region"),
     ).alias("physicalLocation"))
     return F.to_json(F.struct(
@@ -116,16 +118,12 @@ def report_summary(findings: DataFrame) -> dict:
 
 
 def _sorted(stored: DataFrame) -> DataFrame:
-    """Findings with their advice, in report order (Spark drops a sort that stands below a join)."""
-    return with_remediation(stored).orderBy(*report_order())
+    """Findings in report order; their advice is added behind the sort and not shuffled."""
+    return stored.orderBy(*report_order()).withColumn("remediation", remediation())
 
 
-def write_json_report(
-    stored: DataFrame, path: str, summary_path: str, options: ScanOptions, summary: dict,
-    timestamp: str | None = None,
-) -> None:
-    """Sorted findings as JSON Lines, and one object with metadata and summary beside them."""
-    head = {
+def report_head(summary: dict, options: ScanOptions, timestamp: str | None = None) -> dict:
+    return {
         "scan_metadata": {
             "timestamp": timestamp or _now(),
             "organization": options.organization,
@@ -134,6 +132,14 @@ def write_json_report(
         },
         "summary": {k: summary[k] for k in ("by_risk_level", "by_pattern")},
     }
+
+
+def write_json_report(
+    stored: DataFrame, path: str, summary_path: str, options: ScanOptions, summary: dict,
+    timestamp: str | None = None,
+) -> None:
+    """Sorted findings as JSON Lines, and one object with metadata and summary beside them."""
+    head = report_head(summary, options, timestamp)
     ordered = _sorted(stored)
     ordered.select(finding_json(ordered).alias("value")).write.text(path)
     stored.sparkSession.createDataFrame([(json.dumps(head),)], "value STRING").coalesce(
@@ -145,6 +151,15 @@ def write_csv_report(stored: DataFrame, path: str) -> None:
     csv_rows(_sorted(stored)).write.option("escape", '"').csv(path, header=True)
 
 
+def _rules(stored: DataFrame, described: Mapping[str, str] | None) -> dict[str, dict]:
+    """The rules of a SARIF log by pattern, in order."""
+    names = {p.name: p.description for p in PATTERNS} | dict(described or {})
+    found = sarif_rules(with_remediation(stored), names).collect()  # a row for each pattern
+    return {r["rule_id"]: {"id": r["rule_id"], "shortDescription": {"text": r["description"]},
+                           "helpUri": r["help_uri"]}
+            for r in sorted(found, key=lambda r: r["rule_id"])}
+
+
 def write_sarif_report(
     stored: DataFrame, path: str, options: ScanOptions, described: Mapping[str, str] | None = None,
 ) -> None:
@@ -153,11 +168,9 @@ def write_sarif_report(
     Findings are sorted over the cluster and cut where the repository changes or a log is full,
     so no task holds all findings of a large repository.
     """
-    names = {p.name: p.description for p in PATTERNS} | dict(described or {})
-    rules = sarif_rules(with_remediation(stored), names).collect()  # a row for each pattern
-    rule = F.create_map(*[F.lit(x) for r in rules for x in (r["rule_id"], json.dumps({
-        "id": r["rule_id"], "shortDescription": {"text": r["description"]},
-        "helpUri": r["help_uri"]}))]) if rules else F.lit(None).cast("map<string,string>")
+    rules = _rules(stored, described)
+    rule = F.create_map(*[F.lit(x) for name, text in rules.items() for x in (name, json.dumps(text))]
+                        ) if rules else F.lit(None).cast("map<string,string>")
     number = F.monotonically_increasing_id()
     ordered = stored.orderBy("repo", *report_order()).select(
         "repo", "pattern", sarif_result().alias("result"), number.alias("n"))
@@ -174,7 +187,7 @@ def write_sarif_report(
     logs.select("repo", value.alias("value")).write.partitionBy("repo").text(path)
 
 
-def write_reports(
+def write_documents(
     findings: DataFrame,
     out_dir: str,
     options: ScanOptions | None = None,
@@ -182,16 +195,75 @@ def write_reports(
     timestamp: str | None = None,
     described: Mapping[str, str] | None = None,
 ) -> dict:
-    """Write the wanted formats below ``out_dir`` and return the summary.
+    """Write each wanted format as one file, ``report.json``, ``.csv`` or ``.sarif``; returns the summary.
 
-    The layout is the same for every size: folders of parts.  The findings are stored once; the
-    scan is not repeated per format.  ``described`` has the descriptions of user patterns.
+    One JSON object with all findings, one table with one head line, one SARIF log with one run whose
+    paths begin with the repository.  The findings are sorted once for all formats and written in
+    ordered parts by the tasks; the parts are then joined byte by byte between head and tail, so
+    neither a task nor the driver holds all findings.  A file appears whole or not at all.  For
+    very many findings the parts of ``write_reports`` are read and written faster.
     """
     options = options or ScanOptions()
+    formats = _known(formats)
+    spark = findings.sparkSession
+    stored = materialize(findings, "findings")
+    summary = report_summary(stored)
+    ordered = stored.orderBy(*report_order()).select(
+        "*", F.monotonically_increasing_id().alias("n"), remediation().alias("remediation"))
+    flat = csv_rows(ordered).columns
+    advice = F.col("remediation")
+    row = F.struct(*[
+        F.get(advice["immediate_actions"], F.lit(0)).alias(c) if c == "remediation_summary"
+        else advice[c].alias(c) if c in ("rotation_command", "docs_url") else F.col(c) for c in flat])
+    lines = {
+        "json": F.concat(F.lit(","), finding_json(ordered)),
+        "csv": F.to_csv(row, {"escape": '"'}),
+        "sarif": F.concat(F.lit(","), sarif_result(F.concat_ws("/", "repo", "path"))),
+    }
+    parts = new_scratch(spark, "lines")
+    ordered.select("n", F.explode(F.array(*[
+        F.struct(F.lit(f).alias("format"), lines[f].alias("value")) for f in formats])).alias("line")
+    ).select("line.format", "n", "line.value").sortWithinPartitions("format", "n").select(
+        "format", "value").write.partitionBy("format").text(parts)
+    run = {"tool": {"driver": {"name": "keysift", "version": options.scanner_version,
+                               "rules": list(_rules(stored, described).values())}}}
+    log = {"version": SARIF_VERSION, "$schema": SARIF_SCHEMA}
+    ends = {
+        "json": (json.dumps(report_head(summary, options, timestamp))[:-1] + ', "findings": [\n', "]}\n"),
+        "csv": (",".join(CSV_COLUMNS) + "\n", ""),
+        "sarif": (json.dumps(log)[:-1] + ', "runs": [' + json.dumps(run)[:-1] + ', "results": [\n', "]}]}\n"),
+    }
+    for f in formats:
+        head, tail = ends[f]
+        # The comma before the first finding is left out.
+        join_files(spark, f"{parts}/format={f}", f"{out_dir}/report.{f}", head.encode(), tail.encode(),
+                   skipped=0 if f == "csv" else 1)
+    return summary
+
+
+def _known(formats: Iterable[str]) -> list[str]:
     formats = list(formats)
     unknown = set(formats) - set(FORMATS)
     if unknown:
         raise ValueError(f"unknown report formats: {sorted(unknown)}")
+    return formats
+
+
+def write_reports(
+    findings: DataFrame,
+    out_dir: str,
+    options: ScanOptions | None = None,
+    formats: Iterable[str] = FORMATS,
+    timestamp: str | None = None,
+    described: Mapping[str, str] | None = None,
+) -> dict:
+    """Write the wanted formats below ``out_dir`` and return the summary.
+
+    The layout is the same for every size: folders of parts.  The findings are stored once; the
+    scan is not repeated per format.  ``described`` has the descriptions of user patterns.
+    """
+    options = options or ScanOptions()
+    formats = _known(formats)
     stored = materialize(findings, "findings")
     summary = report_summary(stored)
     if "json" in formats:
