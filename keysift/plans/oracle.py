@@ -10,6 +10,7 @@ from collections.abc import Iterable
 
 from keysift.catalog import PATTERNS, Pattern, custom_pattern
 from keysift.operators.redact import REPLACEMENT
+from keysift.operators.tree_digest import BLOCK
 from keysift.options import BASE_SCORES, DEFAULT_CONTEXT_DIRS, DEFAULT_DENYLIST
 from keysift.plans.queries import CUSTOM_PATTERNS, JUDGED
 from keysift.remediation import DEFAULT_TEMPLATE, templates
@@ -246,6 +247,23 @@ _TREE_SUMS = " || ':' || ".join(
 
 _LOADED = (*PATTERNS, *CUSTOM_PATTERNS, custom_pattern(None, "[0-9]{3}-[0-9]{4}"))
 
+def _folded(entries: str) -> str:
+    """Directories with the hash of their sorted children, wide ones in blocks by hash of the name."""
+    return f"""
+        SELECT repo, dir, CASE WHEN max(block) = '' THEN max(digest)
+            ELSE sha256(string_agg(block || ' ' || digest, chr(10) ORDER BY block || ' ' || digest)) END
+            AS digest
+        FROM (
+            SELECT repo, dir, block, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest
+            FROM (
+                SELECT *, kind || ' ' || digest || ' ' || name AS line,
+                       substr(sha256(name), 1, ceil(log2(greatest(
+                           count(*) OVER (PARTITION BY repo, dir) / {BLOCK}.0, 1)) / 4)::INT) AS block
+                FROM ({entries}))
+            GROUP BY repo, dir, block)
+        GROUP BY repo, dir"""
+
+
 _ORDER = "ORDER BY score DESC, repo, path, line, pattern, occurrence"
 
 # The powers of the patterns that two or more repetitions can read together.
@@ -465,6 +483,29 @@ ORACLE: dict[str, str] = {
         SELECT repo, path, CASE WHEN path LIKE 'es/%' THEN 'removed'
             WHEN path LIKE 'de/%' THEN 'changed' ELSE 'same' END AS change FROM ({DOCUMENTS})
         UNION ALL SELECT repo, path, 'added' FROM ({PAGES})""",
+    "directory_digests": f"""
+        WITH files AS (
+            SELECT repo, path, sha256(content) AS digest FROM ({DOCUMENTS} UNION ALL {PAGES})),
+        second AS ({_folded("""SELECT repo, regexp_replace(path, '/[^/]*$', '') AS dir,
+            split_part(path, '/', 3) AS name, 'file' AS kind, digest FROM files
+            WHERE path LIKE '%/%'""")}),
+        first AS ({_folded("""SELECT repo, split_part(dir, '/', 1) AS dir, split_part(dir, '/', 2) AS name,
+            'directory' AS kind, digest FROM second""")}),
+        root AS ({_folded("""SELECT repo, '' AS dir, dir AS name, 'directory' AS kind, digest FROM first
+            UNION ALL SELECT repo, '', path, 'file', digest FROM files WHERE path NOT LIKE '%/%'""")})
+        SELECT repo, dir, 2 AS depth, digest FROM second UNION ALL SELECT repo, dir, 1, digest FROM first
+        UNION ALL SELECT repo, dir, 0, digest FROM root""",
+    "tree_changes": f"""
+        WITH d AS (SELECT repo, path, lang, CASE lang WHEN 'es' THEN 'removed' ELSE 'changed' END AS change
+                   FROM (SELECT *, split_part(path, '/', 1) AS lang FROM ({DOCUMENTS})))
+        SELECT repo, path, 'file' AS kind, change FROM d WHERE lang IN ('es', 'de')
+        UNION ALL SELECT DISTINCT repo, regexp_replace(path, '/[^/]*$', ''), 'directory', change
+            FROM d WHERE lang IN ('es', 'de')
+        UNION ALL SELECT DISTINCT repo, lang, 'directory', change FROM d WHERE lang IN ('es', 'de')
+        UNION ALL SELECT repo, '', 'directory', CASE WHEN bool_and(lang = 'es') THEN 'removed'
+            ELSE 'changed' END FROM d GROUP BY repo HAVING bool_or(lang IN ('es', 'de'))
+        UNION ALL SELECT repo, path, 'file', 'added' FROM ({PAGES})
+        UNION ALL SELECT DISTINCT repo, '', 'directory', 'added' FROM ({PAGES})""",
     "tree_digest": f"""
         SELECT count(*) AS n_files,
                sha256(count(*)::VARCHAR || ':' || {_TREE_SUMS}) AS digest

@@ -14,6 +14,7 @@ from keysift.functions import bounded, scoring
 from keysift.operators import (
     blame, dedup, incremental, lines, match, path_audit, redact, remediate, snapshot, summary,
 )
+from keysift.operators import tree_digest as trees
 from keysift.options import ScanOptions
 from keysift.plans import tables
 from keysift.plans.scan import detect, scan
@@ -604,16 +605,33 @@ def path_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return path_audit.audit_paths(listing)
 
 
-def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents against a later state: Spanish files gone, German ones edited, pages new."""
+def _later_state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents, and a later state: Spanish files gone, German ones edited, pages new."""
     before = tables.document_files(spark, sf_dir)
     lang = F.substring_index("path", "/", 1)
     edited = before.where(lang != "es").withColumn(
         "content", F.concat("content", F.when(lang == "de", "\n").otherwise("")))
-    after = edited.unionByName(tables.page_files(spark, sf_dir))
+    return before, edited.unionByName(tables.page_files(spark, sf_dir))
+
+
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against a later state: Spanish files gone, German ones edited, pages new."""
+    before, after = _later_state(spark, sf_dir)
     return snapshot.snapshot_diff(before, after).select("repo", "path", "change")
 
 
+def directory_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of every directory of documents and pages."""
+    files = tables.document_files(spark, sf_dir).unionByName(tables.page_files(spark, sf_dir))
+    return trees.directory_digests(files)
+
+
+def tree_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs between the two states, found from the roots down."""
+    before, after = _later_state(spark, sf_dir)
+    return trees.tree_changes(trees.tree_entries(before), trees.tree_entries(after))
+
+
 def tree_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.tree_digest(tables.document_files(spark, sf_dir))
 
@@ -717,6 +735,6 @@ QUERIES: dict[str, Query] = {
         blame_overlaps, csv_rows, csv_report, json_report, sarif_report, sarif_rules,
         path_policy, snapshot_diff, tree_digest, event_log_levels, json_log_errors,
         text_log_levels, bounded_options, stream_new_secrets, stream_distinct_secrets,
-        scan_problems, pattern_verdicts, json_document, sarif_document, catalogue_matches, long_secrets, long_redaction, all_reports,
+        scan_problems, pattern_verdicts, json_document, sarif_document, directory_digests, tree_changes, catalogue_matches, long_secrets, long_redaction, all_reports,
     )
 }
