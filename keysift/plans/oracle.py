@@ -527,6 +527,12 @@ ORACLE: dict[str, str] = {
                CASE WHEN floor(o_totalprice) / 16384 BETWEEN 1.1 AND 10.0
                     THEN floor(o_totalprice) / 16384 ELSE 2.0 END::DOUBLE AS backoff_base
         FROM orders""",
+    "stream_recurring_secrets": f"""{_DOC},
+        timed AS (SELECT *, regexp_extract(path, '([0-9]+)[.]txt$', 1)::BIGINT AS minute FROM f)
+        SELECT secret_hash, repo, path, line, pattern
+        FROM (SELECT *, lag(minute) OVER (PARTITION BY secret_hash
+                  ORDER BY minute, repo, path, line, pattern, occurrence) AS ahead FROM timed)
+        WHERE ahead IS NULL OR minute - ahead >= 60""",
     "stream_new_secrets": f"""{_DOC_PAGE}
         SELECT secret_hash, repo, path, line, pattern, score FROM ({_first_per_secret('f')})
         WHERE secret_hash NOT IN (SELECT secret_hash FROM g)""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -722,6 +723,30 @@ def stream_distinct_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("secret_hash STRING").parquet(out)
 
 
+def stream_recurring_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of a stream of documents, one a minute by id, that were not seen in the hour before."""
+    docs = _document_stream(
+        spark, sf_dir, "documents", "doc_id BIGINT, text STRING, lang STRING, source STRING")
+    files = file_source.from_table(
+        docs, F.col("source"), tables.document_path(), F.col("text"))
+    number = F.regexp_extract("path", "([0-9]+)[.]txt$", 1).cast("long")
+    found = detect(files, OPTIONS, CUSTOM_PATTERNS).select(
+        "secret_hash", "repo", "path", "line", "pattern", "occurrence",
+        F.timestamp_seconds(number * 60).alias("seen_at"))
+    out, checkpoint = new_scratch(spark, "stream"), new_scratch(spark, "progress")
+    before = {k: spark.conf.get(k, None) for k in streaming.ROCKSDB}
+    for k, v in streaming.ROCKSDB.items():
+        spark.conf.set(k, v)
+    try:
+        streaming.recurring_secrets(found, "seen_at", timedelta(hours=1)).writeStream.format(
+            "parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(
+            availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(found.schema).parquet(out).drop("seen_at", "occurrence")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -735,6 +760,7 @@ QUERIES: dict[str, Query] = {
         blame_overlaps, csv_rows, csv_report, json_report, sarif_report, sarif_rules,
         path_policy, snapshot_diff, tree_digest, event_log_levels, json_log_errors,
         text_log_levels, bounded_options, stream_new_secrets, stream_distinct_secrets,
-        scan_problems, pattern_verdicts, json_document, sarif_document, directory_digests, tree_changes, catalogue_matches, long_secrets, long_redaction, all_reports,
+        scan_problems, pattern_verdicts, json_document, sarif_document, directory_digests, tree_changes,
+        stream_recurring_secrets, catalogue_matches, long_secrets, long_redaction, all_reports,
     )
 }

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from datetime import timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from keysift import schemas
 from keysift.catalog import Pattern
@@ -168,3 +171,61 @@ def distinct_secrets(
         return findings.dropDuplicates(["secret_hash"])
     return findings.withWatermark(ingest_time, horizon).dropDuplicatesWithinWatermark(
         ["secret_hash"])
+
+
+class _Sightings(StatefulProcessor):
+    """Remembers when a hash was seen last, until it has not been seen for the horizon."""
+
+    def __init__(self, time: str, order: list[str], horizon_ms: int) -> None:
+        self.time, self.order, self.horizon_ms = time, order, horizon_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "seen BIGINT")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values([self.time, *self.order], kind="stable")
+        seen = frame[self.time].astype("datetime64[ms]").astype("int64").to_numpy()
+        never = -self.horizon_ms - 1 + seen[0]
+        before = self.last.get()[0] if self.last.exists() else never
+        # The latest sighting ahead of each row, in time.
+        ahead = np.maximum.accumulate(np.concatenate([[before], seen[:-1]]))
+        latest = max(before, int(seen[-1]))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(latest + self.horizon_ms)
+        self.last.update((latest,))
+        yield frame[seen - ahead >= self.horizon_ms]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def recurring_secrets(
+    findings: DataFrame, time: str, horizon: timedelta = timedelta(days=7),
+    lateness: timedelta = timedelta(hours=1),
+) -> DataFrame:
+    """The findings of a stream whose hash was not seen in the ``horizon`` before them, by event time.
+
+    A secret that stays in sight is reported once; one that comes back after the horizon is reported
+    again.  The state holds a time for each hash seen in the last horizon: a timer at the end of it
+    removes the hash, so the state follows the traffic of one horizon and not the history.  Findings
+    later than ``lateness`` are dropped; a null hash or time is no sighting.  The rows of one hash in
+    one batch are sorted by one task.  The session needs the RocksDB state store
+    (``ROCKSDB``).
+    """
+    order = [c for c in ("repo", "path", "line", "pattern", "occurrence") if c in findings.columns]
+    timed = findings.where(F.col("secret_hash").isNotNull() & F.col(time).isNotNull())
+    return timed.withWatermark(time, f"{int(lateness.total_seconds() * 1000)} milliseconds").groupBy(
+        "secret_hash").transformWithStateInPandas(
+        statefulProcessor=_Sightings(time, order, int(horizon.total_seconds() * 1000)),
+        outputStructType=findings.schema, outputMode="Append", timeMode="EventTime")
+
+
+#: Settings for streams with timers.
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass":
+           "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}

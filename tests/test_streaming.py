@@ -1,4 +1,5 @@
 import os
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -165,3 +166,42 @@ def test_a_merge_that_was_cut_off_has_no_effect(spark, files, arriving, tmp_path
     assert streaming.read_findings_table(spark, table).count() == 3
     assert streaming.merge_parts(spark, table) == 2
     assert streaming.read_findings_table(spark, table).count() == 3
+
+
+@pytest.fixture()
+def rocksdb(spark):
+    for name, value in streaming.ROCKSDB.items():
+        spark.conf.set(name, value)
+    yield
+    for name in streaming.ROCKSDB:
+        spark.conf.unset(name)
+
+
+def test_a_secret_is_reported_again_after_the_horizon_and_forgotten(spark, rocksdb, tmp_path):
+    start = datetime(2025, 1, 1)
+    batches = [
+        [("a", 0, "p0"), ("a", 30, "p1"), ("b", 5, "p2"), (None, 1, "p3"), ("n", None, "p4")],
+        [("a", 85, "p5"), ("b", 70, "p6"), ("b", 6, "p7"), ("c", 100, "p8"), ("c", 90, "p9")],
+        [("d", 1000, "q1"), ("d", 1000, "q0")],
+        [("d", 1030, "q2"), ("a", 1001, "q3")],
+        [("d", 2000, "q4")],
+        [("e", 2001, "q5")],
+    ]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in batches:
+        spark.createDataFrame(
+            [(h, None if m is None else start + timedelta(minutes=m), "r", p) for h, m, p in rows],
+            "secret_hash STRING, seen_at TIMESTAMP, repo STRING, path STRING").coalesce(1).write.mode(
+            "append").parquet(source)
+        stream = spark.readStream.schema(
+            "secret_hash STRING, seen_at TIMESTAMP, repo STRING, path STRING").parquet(source)
+        streaming.recurring_secrets(
+            stream, "seen_at", timedelta(minutes=60), timedelta(minutes=1)).writeStream.format(
+            "parquet").option("path", out).option("checkpointLocation", str(tmp_path / "p")).trigger(
+            availableNow=True).start().awaitTermination()
+    got = sorted((r["secret_hash"], r["path"]) for r in spark.read.parquet(out).collect())
+    # a: 0, 30 and 85 are less than an hour apart; b is back after 65 minutes; p7 comes too late.
+    assert got == [("a", "p0"), ("a", "q3"), ("b", "p2"), ("b", "p6"), ("c", "p9"), ("d", "q0"),
+                   ("d", "q4"), ("e", "q5")]
+    held = spark.read.format("statestore").option("stateVarName", "last").load(str(tmp_path / "p"))
+    assert {r["key"]["secret_hash"] for r in held.collect()} == {"d", "e"}
