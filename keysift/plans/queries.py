@@ -687,8 +687,8 @@ def bounded_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _document_stream(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(
-        sf_dir)
+    # As a glob, the path may be a file as well as a folder of parts.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def _streamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
