@@ -132,7 +132,8 @@ def learn(training: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.nda
             pa.array([np.rint(x).astype(np.int64) for x in sums.values()], pa.list_(pa.int64())),
         ], ["lang", "total"])
 
-    totals = training.where("lang IS NOT NULL").select("text", "lang").mapInArrow(
+    # The name of texts without a language is no language.
+    totals = training.where(F.col("lang").isNotNull() & (F.col("lang") != UNDETERMINED)).select("text", "lang").mapInArrow(
         task, "lang string, total array<long>")
     values = totals.select("lang", F.posexplode("total").alias("i", "x")).groupBy("lang", "i").agg(
         F.sum("x").alias("x"))

@@ -219,14 +219,34 @@ def with_first(pages: DataFrame, payload: Column, least: int = 0) -> DataFrame:
         "page_id", "url", "payload", "first_id")
 
 
+def arrow_uri(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI with the scheme that Spark's own readers take for it.
+
+    Without a scheme that is the default file system's, so writers and readers use one store.  Off a
+    local master a folder of the machines' own file system has to be named as such, by ``file:``.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    uri = store.makeQualified(path).toUri()
+    scheme = uri.getScheme()
+    if scheme == "file":
+        master = spark.conf.get("spark.master", "local")
+        if not folder.startswith("file:") and master != "local" and not master.startswith("local["):
+            raise ValueError(f"{folder} is a folder of one machine: name a shared one, with its scheme")
+        return "file://" + uri.getPath()
+    # The names that Hadoop and Arrow have for one store.
+    return {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + uri.toString()[len(scheme):]
+
+
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write ``pages`` (page_id, url, payload, first_id) to ``folder``; the list of archives.
 
     Columns: archive, records, bytes.  The list is stored, so what it names is written once.
     """
+    place = arrow_uri(pages.sparkSession, folder)
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = arrow_fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith(
-            "file:") else f"file://{folder}")
+        store, root = arrow_fs.FileSystem.from_uri(place)
         store.create_dir(root, recursive=True)
         listed: list[tuple] = []
 
@@ -265,12 +285,17 @@ def read_archives(
     """One row for each record of the archives in ``folder`` (of those listed, if a list is given).
 
     Columns as in ``RECORD``.  A frame or record that is not right gives a row with ``error`` and nulls;
-    the records after it are still read.  Without ``payloads`` that column is null.
+    the records after it are still read.  A listed archive that is missing, or holds another number of
+    records than the list says, gives such a row, too.  Without ``payloads`` that column is null.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
-    if listed is not None:
-        files = files.join(listed.select("archive"), "archive", "left_semi")
+    if listed is None:
+        files = files.withColumn("records", F.lit(None).cast("long"))
+        missing = None
+    else:
+        missing = listed.select("archive").join(files.select("archive"), "archive", "left_anti")
+        files = files.join(listed.select("archive", "records"), "archive")
 
     def number(fields: dict, name: str) -> int | None:
         return int(fields[name]) if name in fields else None
@@ -280,6 +305,7 @@ def read_archives(
         for batch in batches:
             for i in range(batch.num_rows):
                 name, rows, held = batch.column("archive")[i].as_py(), [], 0
+                count, wanted = 0, batch.column("records")[i].as_py()
                 for offset, data, error in frames(batch.column("content")[i].as_py()):
                     row = {"archive": name, "offset": offset, "error": error}
                     if error is None:
@@ -296,14 +322,21 @@ def read_archives(
                     if not payloads:
                         row.pop("payload", None)
                     rows.append(row)
+                    count += 1
                     held += len(row.get("payload") or b"")
                     if held > 4 << 20 or len(rows) >= 4096:
                         yield pa.RecordBatch.from_pylist(rows, schema)
                         rows, held = [], 0
+                if wanted is not None and wanted != count:
+                    rows.append({"archive": name, "error": f"{count} records instead of {wanted}"})
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
-    return files.select("archive", "content").mapInArrow(task, RECORD)
+    found = files.select("archive", "content", "records").mapInArrow(task, RECORD)
+    if missing is None:
+        return found
+    lost = missing.withColumn("error", F.lit("no such archive"))
+    return found.unionByName(lost, allowMissingColumns=True)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

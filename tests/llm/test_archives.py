@@ -93,3 +93,24 @@ def test_no_pages(spark, tmp_path):
     spark.createDataFrame([], "page_id LONG, url STRING, html STRING").write.parquet(
         str(tmp_path / "pages.parquet"))
     assert warc.op1_warc(spark, str(tmp_path)).count() == 0
+
+
+def test_lost_archives_and_records_are_errors(spark, tmp_path):
+    folder = str(tmp_path / "w")
+    df = spark.createDataFrame([(i, "u", f"text {i} " * 40) for i in range(30)],
+                               "page_id LONG, url STRING, html STRING")
+    listed = warc.write_archives(warc.with_first(df.coalesce(1), F.col("html")), folder, archive_bytes=4000)
+    names = sorted(r["archive"] for r in listed.collect())
+    assert len(names) > 2
+    more = listed.withColumn("records", F.col("records") + (F.col("archive") == names[1]).cast("long"))
+    (tmp_path / "w" / names[0]).unlink()
+    errors = {r["archive"]: r["error"] for r in warc.read_archives(spark, folder, more).where(
+        "error IS NOT NULL").collect()}
+    assert errors.keys() == {names[0], names[1]} and errors[names[0]] == "no such archive"
+    assert "records instead of" in errors[names[1]]
+
+
+def test_one_store_for_writers_and_readers(spark, tmp_path):
+    assert warc.arrow_uri(spark, f"{tmp_path}/a b") == f"file://{tmp_path}/a b"
+    assert warc.arrow_uri(spark, f"file:{tmp_path}/x") == f"file://{tmp_path}/x"
+    assert warc.arrow_uri(spark, f"file://{tmp_path}/x") == f"file://{tmp_path}/x"

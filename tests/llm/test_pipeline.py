@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(queries.ORACLE[name])
     names = [d[0] for d in want.description]
@@ -23,7 +23,7 @@ def test_query_equals_sql(spark, name):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in queries.QUERIES
 
 
 def test_stages_keep_extra_columns_and_clean_documents(spark):
@@ -53,3 +53,12 @@ def test_empty_documents_pass_through(spark):
 def test_run_gives_the_rows_of_the_last_stage(spark):
     got = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "text", "ids", "decoded"} <= set(got.columns) and got.count() > 0
+
+
+def test_documents_labelled_as_undetermined_stay(spark):
+    rows = [(i, "plain words of one language here", "en") for i in range(40)]
+    rows += [(40 + i, "otras palabras de otra lengua", "und") for i in range(40)]
+    rows += [(80, "123 !", "und"), (81, None, "und"), (82, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING")
+    kept = corpus_pipeline.language_id(spark, docs, SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(80))
