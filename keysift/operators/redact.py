@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -13,12 +14,75 @@ from keysift.functions import prefilter
 REPLACEMENT = "***REMOVED***"
 
 
+def _spans(text: Column, pattern: Pattern) -> Column:
+    """(s, e) of every secret of a pattern, in characters from 0; the end is exclusive.
+
+    A text is what lies between the matches and the matches in turn, so running lengths give the
+    places.  Each match is its lead, the secret and its tail.
+    """
+    def groups(n: int) -> Column:
+        return F.regexp_extract_all(text, F.lit(pattern.redaction_regex), F.lit(n))
+
+    columns = [F.split(text, pattern.redaction_regex, -1).alias("between"), groups(0).alias("match")]
+    if pattern.group:
+        columns += [groups(1).alias("lead"), groups(2).alias("tail")]
+    turns = F.arrays_zip(*columns)
+    none = F.array().cast("array<struct<s:int,e:int>>")
+
+    def add(seen: Column, turn: Column) -> Column:
+        at = seen["at"] + F.length(turn["between"])
+        start, end = at, at + F.length(turn["match"])
+        after = end
+        if pattern.group:
+            start, end = at + F.length(turn["lead"]), end - F.length(turn["tail"])
+        span = F.struct(start.alias("s"), end.alias("e"))
+        return F.when(turn["match"].isNull(), seen).otherwise(
+            F.struct(after.alias("at"), F.concat(seen["spans"], F.array(span)).alias("spans")))
+
+    found = F.aggregate(turns, F.struct(F.lit(0).alias("at"), none.alias("spans")), add,
+                        lambda seen: seen["spans"])
+    return F.when(text.rlike(pattern.regex), found).otherwise(none)
+
+
 def _redact(text: Column, patterns: Iterable[Pattern], replacement: str) -> Column:
-    """The patterns one after the other; text around a secret stays."""
-    quoted = replacement.replace("\\", "\\\\").replace("$", "\\$")
-    for pattern in patterns:
-        text = F.regexp_replace(text, F.lit(pattern.redaction_regex), F.lit(f"$1{quoted}$2"))
-    return text
+    """The text with every secret replaced; secrets that overlap are one, whatever found them first."""
+    spans = F.array_sort(F.flatten(F.array(*[_spans(text, p) for p in patterns])))
+
+    def splice(done: Column, span: Column) -> Column:
+        kept = F.substring(text, done["at"] + 1, span["s"] - done["at"])
+        return F.when(span["s"] < done["at"], F.struct(
+            F.greatest(done["at"], span["e"]).alias("at"), done["out"].alias("out"))).otherwise(
+            F.struct(span["e"].alias("at"),
+                     F.concat(done["out"], kept, F.lit(replacement)).alias("out")))
+
+    return F.aggregate(
+        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), splice,
+        lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+
+
+# The long expressions depend on the patterns alone and name no table, so they are built once.
+
+
+@functools.cache
+def _whole(by_file: tuple[Pattern, ...], replacement: str) -> Column:
+    """The content with the secrets of file patterns replaced."""
+    content = F.col("content")
+    return F.when(F.expr(prefilter.file_condition("content", by_file)),
+                  _redact(content, by_file, replacement)).otherwise(content)
+
+
+@functools.cache
+def _joined(by_line: tuple[Pattern, ...], replacement: str) -> Column:
+    """The pieces with the secrets of line patterns replaced, as one text."""
+    hinted = prefilter.condition("p", prefilter.hinted(by_line))
+    flags = F.expr(f"transform(_pieces, p -> {hinted})")
+
+    def rewrite(piece: Column, flag: Column) -> Column:
+        for pattern in prefilter.unhinted(by_line):
+            flag = flag | piece.rlike(pattern.regex)
+        return F.when(flag, _redact(piece, by_line, replacement)).otherwise(piece)
+
+    return F.array_join(F.zip_with("_pieces", flags, rewrite), "")
 
 
 def redact(
@@ -31,37 +95,22 @@ def redact(
 
     File patterns act on the whole text.  Line patterns act line by line, as in
     detection: the text is cut behind each line end, lines that may match are
-    rewritten, and the pieces are joined again.  Markers are no secrets and stay.
+    rewritten, and the pieces are joined again.  All patterns look at the text as it is, not at what
+    another one left, so their order has no effect.  Markers are no secrets and stay.
     """
     patterns = [p for p in (*builtin, *custom) if not p.marker]
-    by_line = [p for p in patterns if p.scope == "line"]
-    by_file = [p for p in patterns if p.scope == "file"]
-    original = F.col("content")
-    whole = original
-    if by_file:
-        whole = F.when(
-            F.expr(prefilter.file_condition("content", by_file)),
-            _redact(original, by_file, replacement),
-        ).otherwise(original)
-
-    staged = files.withColumn("_whole", whole)
+    by_line = tuple(p for p in patterns if p.scope == "line")
+    by_file = tuple(p for p in patterns if p.scope == "file")
+    staged = files.withColumn("_whole", _whole(by_file, replacement) if by_file else F.col("content"))
     text = F.col("_whole")
     if by_line:
         staged = staged.withColumn("_pieces", F.when(
             F.expr(prefilter.file_condition("_whole", by_line)),
             F.split("_whole", r"(?<=\n)|(?<=\r)(?!\n)")))
-        hinted = prefilter.condition("p", prefilter.hinted(by_line))
-        flags = F.expr(f"transform(_pieces, p -> {hinted})")
-
-        def rewrite(piece: Column, flag: Column) -> Column:
-            for pattern in prefilter.unhinted(by_line):
-                flag = flag | piece.rlike(pattern.regex)
-            return F.when(flag, _redact(piece, by_line, replacement)).otherwise(piece)
-
-        text = F.coalesce(F.array_join(F.zip_with("_pieces", flags, rewrite), ""), text)
+        text = F.coalesce(_joined(by_line, replacement), text)
     return (
         staged.withColumn("_text", text)
-        .withColumn("is_redacted", ~F.col("_text").eqNullSafe(original))
+        .withColumn("is_redacted", ~F.col("_text").eqNullSafe(F.col("content")))
         .withColumn("content", F.col("_text"))
         .drop("_whole", "_pieces", "_text")
     )

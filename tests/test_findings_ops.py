@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import samples
+from keysift.catalog import PATTERNS, custom_pattern
 from keysift.operators import blame, dedup, incremental, redact, remediate, snapshot, summary
 from keysift.options import ScanOptions
 from keysift.plans.scan import detect, scan
@@ -246,3 +247,20 @@ def test_long_secrets_are_whole_and_redacted(files):
     assert {r["pattern"] for r in found} >= {"GITHUB_TOKEN", "DATABASE_URI", "OPENAI_API_KEY"}
     for r in redact.redact(df).collect():
         assert tail not in r["content"] and "AAAA" not in r["content"] and "pppp" not in r["content"]
+
+
+def test_overlapping_secrets_are_replaced_once_in_any_order(files):
+    found = [custom_pattern("A", "ab+c"), custom_pattern("B", "c[0-9]+d"), custom_pattern("C", "bb"),
+             custom_pattern("D", "d+x"), custom_pattern("E", "🙂+")]
+    text = "1 abbc42ddx 2 abc 3 c7d\nbb c\r\n🙂ab🙂🙂abc9d é ddx abcabc"
+    want = "1 *** 2 *** 3 ***\n*** c\r\n***ab****** é *** ******"
+    for order in (found, found[::-1], found[2:] + found[:2]):
+        out = redact.redact(files(("r", "p", text), ("r", "q", "")), order, (), "***").collect()
+        assert {r["path"]: r["content"] for r in out} == {"p": want, "q": ""}
+
+
+def test_overlapping_file_and_line_patterns(files):
+    inner = "-----BEGIN" + " PRIVATE" + " KEY-----\nAAAA\nBBBB\n-----END" + " PRIVATE" + " KEY-----"
+    out = redact.redact(files(("r", "p", f"x = {inner}\ny {inner}")), builtin=[
+        p for p in PATTERNS if p.name == "PEM_PRIVATE_KEY"] + [custom_pattern("L", "[AB]{4}")]).first()
+    assert out["content"] == f"x = {redact.REPLACEMENT}\ny {redact.REPLACEMENT}"
