@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -56,6 +58,17 @@ def scan_stats(files: DataFrame, findings: DataFrame) -> DataFrame:
     return both.withColumn("findings_per_file", ratio)
 
 
+def scan_stats_of_run(files: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The same of ``find(files)`` with one read: the files are counted while they are searched."""
+    seen = Observation()
+    found = find(files.observe(seen, F.count(F.lit(1)).alias("n_files")))
+    n_findings = found.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    n_files = seen.get["n_files"]
+    ratio = round(n_findings / n_files, 6) if n_files else None
+    return files.sparkSession.createDataFrame(
+        [(n_files, n_findings, ratio)], "n_files LONG, n_findings LONG, findings_per_file DOUBLE")
+
+
 def log_levels(logs: DataFrame) -> DataFrame:
     return logs.groupBy("level").agg(F.count(F.lit(1)).alias("n_records"))
 

@@ -394,6 +394,16 @@ ORACLE: dict[str, str] = {
                count(DISTINCT repo) AS n_repos, max(score) AS max_score, min(repo) AS first_repo,
                max(repo) AS last_repo, min(path) AS first_path, max(path) AS last_path
         FROM f GROUP BY secret_hash""",
+    "reuse_over_runs": "WITH " + _findings("f", DOCUMENTS, _USER) + ", " + _findings(
+        "g", PAGES, _USER) + ", " + _findings("h", CONVERSATIONS, _USER) + """,
+        runs AS (
+            SELECT '1 half' AS run, * FROM f WHERE regexp_extract(path, '([0-9]+)[.]txt$', 1)::BIGINT % 2 = 0
+            UNION ALL SELECT '2 whole', * FROM f UNION ALL SELECT '3 pages', * FROM g
+            UNION ALL SELECT '4 turns', * FROM h)
+        SELECT secret_hash, count(DISTINCT run) AS n_runs, count(*) AS n_findings,
+               count(DISTINCT (repo, path)) AS n_files, count(DISTINCT repo) AS n_repos,
+               max(score) AS max_score, min(run) AS first_run, max(run) AS last_run
+        FROM runs GROUP BY secret_hash""",
     "sorted_findings": f"""{_PLANT}
         SELECT score, {_PLACE} FROM f
         ORDER BY score DESC, repo, path, line, pattern, occurrence""",

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from keysift.catalog import Pattern, custom_pattern, literal_hints
 from keysift.functions import bounded, scoring
 from keysift.operators import (
-    blame, dedup, incremental, lines, match, path_audit, redact, remediate, snapshot, summary,
+    blame, dedup, incremental, lines, match, path_audit, redact, remediate, reuse, snapshot,
+    summary,
 )
 from keysift.operators import tree_digest as trees
 from keysift.options import ScanOptions
@@ -321,8 +322,8 @@ def total_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.scan_stats(
-        tables.document_listing(spark, sf_dir), custom_findings(spark, sf_dir))
+    return summary.scan_stats_of_run(
+        tables.document_files(spark, sf_dir), lambda files: detect(files, OPTIONS, CUSTOM_PATTERNS))
 
 
 def ci_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,6 +339,21 @@ def secret_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.secret_reuse(all_findings(spark, sf_dir))
 
 
+def reuse_over_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reuse over four runs, each kept as sketches only: even documents, all documents, pages, turns."""
+    documents = materialize(custom_findings(spark, sf_dir), "findings")
+    even = F.regexp_extract("path", "([0-9]+)[.]txt$", 1).cast("long") % 2 == 0
+    runs = {
+        "1 half": documents.where(even), "2 whole": documents,
+        "3 pages": detect(tables.page_files(spark, sf_dir), OPTIONS, CUSTOM_PATTERNS),
+        "4 turns": detect(tables.conversation_files(spark, sf_dir), OPTIONS, CUSTOM_PATTERNS),
+    }
+    kept = new_scratch(spark, "sketches")
+    for name, found in runs.items():
+        reuse.run_sketches(found, F.lit(name)).write.mode("append").parquet(kept)
+    return reuse.reuse_over_runs(spark.read.parquet(kept))
+
+
 def sorted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = materialize(planted_findings(spark, sf_dir), "findings")
     return dedup.sort_findings(stored).select(
@@ -761,6 +777,6 @@ QUERIES: dict[str, Query] = {
         path_policy, snapshot_diff, tree_digest, event_log_levels, json_log_errors,
         text_log_levels, bounded_options, stream_new_secrets, stream_distinct_secrets,
         scan_problems, pattern_verdicts, json_document, sarif_document, directory_digests, tree_changes,
-        stream_recurring_secrets, catalogue_matches, long_secrets, long_redaction, all_reports,
+        stream_recurring_secrets, reuse_over_runs, catalogue_matches, long_secrets, long_redaction, all_reports,
     )
 }
