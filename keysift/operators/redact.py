@@ -10,43 +10,14 @@ from pyspark.sql import functions as F
 
 from keysift.catalog import PATTERNS, Pattern
 from keysift.functions import prefilter
+from keysift.functions.spans import secret_spans
 
 REPLACEMENT = "***REMOVED***"
 
 
-def _spans(text: Column, pattern: Pattern) -> Column:
-    """(s, e) of every secret of a pattern, in characters from 0; the end is exclusive.
-
-    A text is what lies between the matches and the matches in turn, so running lengths give the
-    places.  Each match is its lead, the secret and its tail.
-    """
-    def groups(n: int) -> Column:
-        return F.regexp_extract_all(text, F.lit(pattern.redaction_regex), F.lit(n))
-
-    columns = [F.split(text, pattern.redaction_regex, -1).alias("between"), groups(0).alias("match")]
-    if pattern.group:
-        columns += [groups(1).alias("lead"), groups(2).alias("tail")]
-    turns = F.arrays_zip(*columns)
-    none = F.array().cast("array<struct<s:int,e:int>>")
-
-    def add(seen: Column, turn: Column) -> Column:
-        at = seen["at"] + F.length(turn["between"])
-        start, end = at, at + F.length(turn["match"])
-        after = end
-        if pattern.group:
-            start, end = at + F.length(turn["lead"]), end - F.length(turn["tail"])
-        span = F.struct(start.alias("s"), end.alias("e"))
-        return F.when(turn["match"].isNull(), seen).otherwise(
-            F.struct(after.alias("at"), F.concat(seen["spans"], F.array(span)).alias("spans")))
-
-    found = F.aggregate(turns, F.struct(F.lit(0).alias("at"), none.alias("spans")), add,
-                        lambda seen: seen["spans"])
-    return F.when(text.rlike(pattern.regex), found).otherwise(none)
-
-
 def _redact(text: Column, patterns: Iterable[Pattern], replacement: str) -> Column:
     """The text with every secret replaced; secrets that overlap are one, whatever found them first."""
-    spans = F.array_sort(F.flatten(F.array(*[_spans(text, p) for p in patterns])))
+    spans = F.array_sort(F.flatten(F.array(*[secret_spans(text, p) for p in patterns])))
 
     def splice(done: Column, span: Column) -> Column:
         kept = F.substring(text, done["at"] + 1, span["s"] - done["at"])

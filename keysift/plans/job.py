@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
+from keysift.operators.pieces import detect_in_pieces
 from keysift.options import ScanOptions
 from keysift.plans.scan import scan
 from keysift.session import materialize
@@ -26,7 +27,9 @@ from keysift.sources import baseline as baselines
 from keysift.sources.blame import parse_porcelain
 from keysift.sources.files import active_only, from_table, label_repos, within_limits
 from keysift.sources.patterns import load_custom_patterns
-from keysift.sources.tree import list_tree, scan_tree, tree_roots, unscanned
+from keysift.sources.tree import (
+    list_tree, over_limit, read_pieces, scan_tree, tree_roots, unscanned,
+)
 
 
 # Reasons named in the printout.
@@ -41,6 +44,8 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
     parser.add_argument("--repos", metavar="PATH", help="parquet table (repo, archived)")
     parser.add_argument("--blame", metavar="PATH", help="parquet table (repo, path, porcelain)")
     parser.add_argument("--max-depth", type=int)
+    parser.add_argument("--scan-large", action="store_true",
+                        help="scan files of a tree over the size limit, too, in pieces")
     parser.add_argument("--spread", action="store_true",
                         help="shuffle a table of few files by path before the scan")
     parser.add_argument("--custom-patterns", metavar="FILE")
@@ -76,6 +81,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             wanted = active_only(wanted, spark.read.parquet(args.repos))
         files = scan_tree(spark, root, options, listing=wanted)
         problems = unscanned(listing, options)
+        large = over_limit(wanted, options) if args.scan_large else None
         # Counted while the scan reads them; the usual scan has none and reads nothing twice.
         reading, whole = Observation(), files
         files = files.observe(reading, F.count_if(F.col("content").isNull()).alias("unread"))
@@ -108,13 +114,20 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     if args.blame:
         options = options.with_(attach_blame=True)
         blame = parse_porcelain(spark.read.parquet(args.blame))
-    findings = scan(files, options, custom, baseline, blame)
+    more = None
+    if args.local and large is not None:
+        pieces = read_pieces(spark, root, large)
+        more = detect_in_pieces(pieces, options, custom)
+        unread = pieces.where("content IS NULL").select("path", F.lit("cannot be read").alias("reason"))
+        problems = problems.where("reason != 'too large'").unionByName(unread)
+    findings = scan(files, options, custom, baseline, blame, more=more)
     formats = FORMATS if args.output_format == "all" else [args.output_format]
     write = write_documents if args.single_files else write_reports
     summary = write(findings, args.output, options, formats,
                     described={c.name: c.description for c in custom})
     if reading is not None and reading.get["unread"]:
-        problems = unscanned(listing, options, whole)
+        again = unscanned(listing, options, whole)
+        problems = again if more is None else again.where("reason != 'too large'").unionByName(unread)
     problems.write.json(f"{args.output}/unscanned.json")
     counted = {r["reason"]: r["n"] for r in spark.read.schema("path STRING, reason STRING").json(
         f"{args.output}/unscanned.json").groupBy("reason").agg(F.count("*").alias("n")).orderBy(

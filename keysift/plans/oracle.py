@@ -288,6 +288,9 @@ ORACLE: dict[str, str] = {
     "file_tree_scan": f"""{_DOC}
         SELECT repo, pattern, count(*) AS n_findings, count(DISTINCT secret_hash) AS n_secrets
         FROM f GROUP BY repo, pattern""",
+    "long_file_scan": f"""{_DOC}
+        SELECT repo, pattern, count(*) AS n_findings, count(DISTINCT secret_hash) AS n_secrets
+        FROM f GROUP BY repo, pattern""",
     "size_and_depth_filter": """
         SELECT path, size FROM (
             SELECT regexp_extract(url, '^https?://(.*)$', 1) AS path,

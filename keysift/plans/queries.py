@@ -17,6 +17,7 @@ from keysift.operators import (
     summary,
 )
 from keysift.operators import tree_digest as trees
+from keysift.operators.pieces import detect_in_pieces
 from keysift.options import ScanOptions
 from keysift.plans import tables
 from keysift.plans.scan import detect, scan
@@ -67,11 +68,11 @@ def line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         "repo", "path", "line", F.length("text").alias("n_chars"))
 
 
-def file_tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as a directory tree of text files, then scanned from there.
+def _document_tree(spark: SparkSession, sf_dir: str) -> str:
+    """Documents written as a directory tree of text files.
 
     The parts are bounded in bytes, so a large source becomes many files and a long document one
-    of its own.  The size limit lies above the largest of them: every document is scanned.
+    of its own.
     """
     root = new_scratch(spark, "tree")
     docs = tables.document_files(spark, sf_dir)
@@ -79,15 +80,37 @@ def file_tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs.where((F.coalesce("size", F.lit(0)) > _PART_BYTES // 200 - 1) == is_long).select(
             "repo", F.col("content").alias("value")).write.mode("append").option(
             "maxRecordsPerFile", most).partitionBy("repo").text(root)
+    return root
+
+
+def _counted(found: DataFrame) -> DataFrame:
+    repo = F.regexp_extract("path", "^repo=([^/]+)/", 1)
+    return found.groupBy(repo.alias("repo"), "pattern").agg(
+        F.count(F.lit(1)).alias("n_findings"),
+        F.count_distinct("secret_hash").alias("n_secrets"))
+
+
+def long_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tree, with every file over the limit and read in pieces of 256 KiB."""
+    root = _document_tree(spark, sf_dir)
+    listing = tree.list_tree(spark, root)
+    late = tree.over_limit(listing, OPTIONS.with_(max_file_size_mb=0))
+    pieces = tree.read_pieces(spark, root, late, 1 << 18, 1 << 15)
+    return _counted(detect_in_pieces(pieces, OPTIONS, CUSTOM_PATTERNS))
+
+
+def file_tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as a directory tree of text files, then scanned from there.
+
+    The size limit lies above the largest of them: every document is scanned.
+    """
+    root = _document_tree(spark, sf_dir)
     listing = tree.list_tree(spark, root, OPTIONS.max_depth, OPTIONS.skip_fragments)
     largest = listing.agg(F.coalesce(F.max("size"), F.lit(0)).alias("size")).first()["size"]
     options = OPTIONS.with_(max_file_size_mb=max(OPTIONS.max_file_size_mb, -(-largest // 2**20)))
     found = detect(
         tree.scan_tree(spark, root, options, listing=listing), options, CUSTOM_PATTERNS)
-    repo = F.regexp_extract("path", "^repo=([^/]+)/", 1)
-    return found.groupBy(repo.alias("repo"), "pattern").agg(
-        F.count(F.lit(1)).alias("n_findings"),
-        F.count_distinct("secret_hash").alias("n_secrets"))
+    return _counted(found)
 
 
 def scan_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -777,6 +800,6 @@ QUERIES: dict[str, Query] = {
         path_policy, snapshot_diff, tree_digest, event_log_levels, json_log_errors,
         text_log_levels, bounded_options, stream_new_secrets, stream_distinct_secrets,
         scan_problems, pattern_verdicts, json_document, sarif_document, directory_digests, tree_changes,
-        stream_recurring_secrets, reuse_over_runs, catalogue_matches, long_secrets, long_redaction, all_reports,
+        stream_recurring_secrets, reuse_over_runs, long_file_scan, catalogue_matches, long_secrets, long_redaction, all_reports,
     )
 }

@@ -32,10 +32,16 @@ def scan(
     baseline: DataFrame | None = None,
     blame: DataFrame | None = None,
     known_fakes: DataFrame | None = None,
+    more: DataFrame | None = None,
 ) -> DataFrame:
-    """A whole scan: detect, deduplicate, drop what the baseline has, attach authors."""
+    """A whole scan: detect, deduplicate, drop what the baseline has, attach authors.
+
+    ``more`` holds findings made otherwise, such as those of files in pieces.
+    """
     options = options or ScanOptions()
     findings = detect(files, options, custom, known_fakes)
+    if more is not None:
+        findings = findings.unionByName(more)
     if options.deduplicate:
         findings = deduplicate(findings)
     if options.incremental and baseline is not None:

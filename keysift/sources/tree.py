@@ -116,6 +116,101 @@ def _reader(root: str) -> Callable[[_Batches], _Batches]:
     return read_all
 
 
+PIECES = (
+    "repo STRING, path STRING, size BIGINT, first_line BIGINT, first_char BIGINT, low INT, high INT, "
+    "low_line INT, low_char INT, high_line INT, high_char INT, content STRING")
+
+
+def _piece_reader(root: str, piece: int, overlap: int) -> Callable[[_Batches], _Batches]:
+    """A task that reads files piece by piece, whatever their size."""
+
+    def opened(file: str):
+        if "://" not in file:
+            return open(file, "rb")
+        system, inside = arrow_fs.FileSystem.from_uri(file)
+        return system.open_input_file(inside)
+
+    def border(data: bytes, wanted: int) -> int:
+        """Where a piece ends: behind a line end, or else between two characters."""
+        cut = data.rfind(b"\n", 0, wanted) + 1
+        if cut:
+            return cut
+        cut = wanted
+        while cut > 1 and cut < len(data) and (data[cut] & 0xC0 == 0x80 or data[cut - 1:cut + 1] == b"\r\n"):
+            cut -= 1
+        return cut
+
+    def end(text: str) -> tuple[int, int]:
+        """Line ends in a text, and characters behind the last one."""
+        plain = text.replace("\r\n", "\n").replace("\r", "\n")
+        return plain.count("\n"), len(plain) - plain.rfind("\n") - 1
+
+    def pieces_of(file: str) -> Iterator[tuple]:
+        line = char = 0
+        with opened(file) as source:
+            left, ahead = b"", source.read(piece + overlap)
+            while True:
+                size = len(ahead) if len(ahead) < piece + overlap else border(ahead, piece)
+                own, right = ahead[:size], ahead[size:]
+                texts = [x.decode("utf-8", "replace") for x in (left, own, right)]
+                low, high = len(texts[0]), len(texts[0]) + len(texts[1])
+                yield (line, char, low, high, *end(texts[0]), *end(texts[0] + texts[1]), "".join(texts))
+                if not right and len(ahead) < piece + overlap:
+                    return
+                line, char = line + end(texts[1])[0], char + len(texts[1])
+                left = (left + own)[-overlap:]
+                # The left side begins behind a line end where it holds one, else with a character.
+                at = left.find(b"\n") + 1 if left.find(b"\n") + 1 < len(left) else 0
+                while at < len(left) and left[at] & 0xC0 == 0x80:
+                    at += 1
+                left = left[at:]
+                ahead = right + source.read(piece + overlap - len(right))
+
+    def read_all(batches: _Batches) -> _Batches:
+        columns = [c.split()[0] for c in PIECES.split(", ")]
+        for batch in batches:
+            for repo, path, size in zip(batch["repo"], batch["path"], batch["size"]):
+                try:
+                    for found in pieces_of(f"{root.rstrip('/')}/{path}"):
+                        yield pd.DataFrame([(repo, path, size, *found)], columns=columns)
+                except OSError:
+                    yield pd.DataFrame([(repo, path, size, *[None] * 9)], columns=columns).astype(
+                        {c.split()[0]: "Int64" for c in PIECES.split(", ")[3:11]})
+
+    return read_all
+
+
+def read_pieces(
+    spark: SparkSession, root: str, listing: DataFrame, piece: int = 4 << 20, overlap: int = 128 << 10,
+    repo: str = "local",
+) -> DataFrame:
+    """The files of a listing (path, size, and repo if it names one) in overlapping pieces.
+
+    A row is a piece with ``overlap`` bytes on both sides: ``low`` to ``high`` are the characters that
+    are its own, also given by line and character in the line, and ``first_line`` and ``first_char``
+    count what lies before them in the file.  A piece ends behind a line end if it holds one.
+    Files are read as streams, so memory follows the piece and not the file; a file that cannot be
+    read gives one row without content.
+    """
+    if overlap < 1 or piece < overlap:
+        raise ValueError("a piece must not be smaller than the overlap, nor that than 1")
+    owner = F.col("repo") if "repo" in listing.columns else F.lit(repo).alias("repo")
+    wanted = listing.where("NOT is_dir AND error IS NULL").select(owner, "path", "size")
+    total = wanted.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()["bytes"]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // _TASK_BYTES))
+    return wanted.repartition(tasks, "path").mapInPandas(
+        _piece_reader(root.rstrip("/") or "/", piece, overlap), PIECES)
+
+
+def over_limit(listing: DataFrame, options: ScanOptions) -> DataFrame:
+    """The files of a listing that ``scan_tree`` leaves out for their size alone."""
+    kept = listing.where("NOT is_dir AND error IS NULL").where(
+        F.col("size") > options.max_file_size_mb * 1024 * 1024)
+    if options.max_depth is not None:
+        kept = kept.where(paths.depth(F.col("path")) <= options.max_depth)
+    return kept.where(~paths.is_skipped(F.col("path"), options.skip_fragments))
+
+
 def list_tree(
     spark: SparkSession, root: str, max_depth: int | None = None,
     skip_fragments: tuple[str, ...] = (),

@@ -173,36 +173,39 @@ def distinct_secrets(
         ["secret_hash"])
 
 
-class _Sightings(StatefulProcessor):
-    """Remembers when a hash was seen last, until it has not been seen for the horizon."""
-
-    def __init__(self, time: str, order: list[str], horizon_ms: int) -> None:
-        self.time, self.order, self.horizon_ms = time, order, horizon_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "seen BIGINT")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values([self.time, *self.order], kind="stable")
-        seen = frame[self.time].astype("datetime64[ms]").astype("int64").to_numpy()
-        never = -self.horizon_ms - 1 + seen[0]
-        before = self.last.get()[0] if self.last.exists() else never
-        # The latest sighting ahead of each row, in time.
-        ahead = np.maximum.accumulate(np.concatenate([[before], seen[:-1]]))
-        latest = max(before, int(seen[-1]))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(latest + self.horizon_ms)
-        self.last.update((latest,))
-        yield frame[seen - ahead >= self.horizon_ms]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+# The class is nested, so it travels to the workers whole and this package need not be installed there.
+
+
+def _sightings(time: str, order: list[str], horizon_ms: int) -> StatefulProcessor:
+    class Sightings(StatefulProcessor):
+        """Remembers when a hash was seen last, until it has not been seen for the horizon."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.last = handle.getValueState("last", "seen BIGINT")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            frame = pd.concat(list(rows)).sort_values([time, *order], kind="stable")
+            seen = frame[time].astype("datetime64[ms]").astype("int64").to_numpy()
+            never = -horizon_ms - 1 + seen[0]
+            before = self.last.get()[0] if self.last.exists() else never
+            # The latest sighting ahead of each row, in time.
+            ahead = np.maximum.accumulate(np.concatenate([[before], seen[:-1]]))
+            latest = max(before, int(seen[-1]))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(latest + horizon_ms)
+            self.last.update((latest,))
+            yield frame[seen - ahead >= horizon_ms]
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.last.clear()
+            return iter(())
+
+        def close(self) -> None:
+            pass
+
+    return Sightings()
 
 
 def recurring_secrets(
@@ -222,7 +225,7 @@ def recurring_secrets(
     timed = findings.where(F.col("secret_hash").isNotNull() & F.col(time).isNotNull())
     return timed.withWatermark(time, f"{int(lateness.total_seconds() * 1000)} milliseconds").groupBy(
         "secret_hash").transformWithStateInPandas(
-        statefulProcessor=_Sightings(time, order, int(horizon.total_seconds() * 1000)),
+        statefulProcessor=_sightings(time, order, int(horizon.total_seconds() * 1000)),
         outputStructType=findings.schema, outputMode="Append", timeMode="EventTime")
 
 
