@@ -7,7 +7,7 @@ whole text as long as no match, and no run of matches without a gap, is longer t
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,18 +22,14 @@ from keysift.options import ScanOptions
 _BASE = ("repo", "path", "first_line", "first_char", "low", "low_line", "low_char")
 
 
-def _found(text: Column, patterns: tuple[Pattern, ...], of_match: Callable[[Column], list[Column]]) -> Column:
-    """(p, s, ...) of all secrets of all patterns in a text; what is wanted of the text is cut out here,
-    so that it does not travel with every match."""
+def _found(text: Column, patterns: tuple[Pattern, ...]) -> Column:
+    """(p, s, l, secret) of all secrets of all patterns in a text."""
     def spans(number: int, pattern: Pattern) -> Column:
-        return F.transform(secret_spans(text, pattern, pattern.scope == "file"), lambda x: F.struct(
-            F.lit(number).alias("p"), x["s"].alias("s"), *of_match(x)))
+        return F.transform(secret_spans(text, pattern, whole=True), lambda x: F.struct(
+            F.lit(number).alias("p"), x["s"].alias("s"), x["l"].alias("l"), x["secret"].alias("secret")))
 
-    return F.explode(F.flatten(F.array(*[spans(n, p) for n, p in enumerate(patterns)])))
-
-
-def _secret(text: Column, span: Column) -> Column:
-    return F.substring(text, span["s"] + 1, span["e"] - span["s"])
+    # The outer form spares a check of the array's size that would make it twice.
+    return F.explode_outer(F.flatten(F.array(*[spans(n, p) for n, p in enumerate(patterns)])))
 
 
 def _attributes(rows: DataFrame, patterns: tuple[Pattern, ...]) -> DataFrame:
@@ -58,9 +54,8 @@ def _by_line(pieces: DataFrame, patterns: tuple[Pattern, ...]) -> DataFrame:
         F.expr(split_lines_sql("content"))).alias("at", "text"))
     lines = lines.where(F.col("at").between(F.col("low_line"), F.col("high_line")))
     tried = lines.where(prefilter.line_may_match("text", patterns))
-    text = F.col("text")
     found = tried.select(*_BASE, "high_line", "high_char", "at", _found(
-        text, patterns, lambda x: [_secret(text, x).alias("secret")]).alias("m"))
+        F.col("text"), patterns).alias("m")).where("m IS NOT NULL")
     begins = (F.col("at") > F.col("low_line")) | (F.col("m.s") >= F.col("low_char"))
     ends = (F.col("at") < F.col("high_line")) | (F.col("m.s") < F.col("high_char"))
     return _attributes(found.where(begins & ends).select(
@@ -71,16 +66,13 @@ def _by_line(pieces: DataFrame, patterns: tuple[Pattern, ...]) -> DataFrame:
 
 def _by_file(pieces: DataFrame, patterns: tuple[Pattern, ...]) -> DataFrame:
     rows = pieces.where(F.expr(prefilter.file_condition("content", patterns)))
-    text = F.col("content")
-
-    def of_match(x: Column) -> list[Column]:
-        return [x["l"].alias("line"),
-                F.regexp_replace(_secret(text, x), "\r\n|\r", "\n").alias("secret")]
-
-    found = rows.select(*_BASE, "high", _found(text, patterns, of_match).alias("m")).where(
+    found = rows.select(*_BASE, "high", _found(F.col("content"), patterns).alias("m")).where(
         (F.col("m.s") >= F.col("low")) & (F.col("m.s") < F.col("high")))
+    # In whole files, line ends count as one character.
+    plain = F.col("m").withField("secret", F.regexp_replace("m.secret", "\r\n|\r", "\n"))
+    found = found.withColumn("m", plain)
     return _attributes(found.select(
-        "repo", "path", (F.col("first_line") + F.col("m.line") - F.col("low_line")).cast("int").alias("line"),
+        "repo", "path", (F.col("first_line") + F.col("m.l") - F.col("low_line")).cast("int").alias("line"),
         _order().alias("char"), "m"), patterns)
 
 

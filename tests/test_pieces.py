@@ -72,19 +72,17 @@ def test_one_line_over_many_pieces(spark, tmp_path):
 
 
 def test_a_large_file_over_the_limit(spark, tmp_path):
-    text = made(9, 1_000_000)
-    (tmp_path / "big").write_text(text * 12)
+    text = made(9, 300_000)
+    (tmp_path / "big").write_text(text * 4)
     (tmp_path / "small").write_text(text[:5000])
-    listing = tree.list_tree(spark, str(tmp_path))
-    options = ScanOptions()
-    late = tree.over_limit(listing, options)
+    options = ScanOptions(max_file_size_mb=1)
+    late = tree.over_limit(tree.list_tree(spark, str(tmp_path)), options)
     assert [r["path"] for r in late.collect()] == ["big"]
-    pieces = tree.read_pieces(spark, str(tmp_path), late, 1 << 20)
-    assert pieces.count() > 5
-    once = detect(spark.createDataFrame([("local", "big", text * 12)], "repo STRING, path STRING, content STRING"))
-    got = detect_in_pieces(pieces, options)
-    assert got.count() == once.count() > 10000
-    assert got.join(once, once.columns, "left_semi").count() == once.count()
+    pieces = tree.read_pieces(spark, str(tmp_path), late, 1 << 18)
+    assert pieces.count() > 4
+    whole = detect(tree.scan_tree(spark, str(tmp_path), ScanOptions(max_file_size_mb=9)), options)
+    want = {tuple(r) for r in whole.where("path = 'big'").collect()}
+    assert {tuple(r) for r in detect_in_pieces(pieces, options).collect()} == want and len(want) > 2000
 
 
 def test_unreadable_files_and_no_files(spark, tmp_path):
